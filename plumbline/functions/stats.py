@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL_DF = 1e6
 
@@ -67,13 +68,13 @@ def t_two_sided(t, df) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student-t p over per-feature rows (no Spark builtin has this tail)."""
     return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     """Two-sided normal p."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else float("nan"))
@@ -123,7 +124,7 @@ def ols_pvalue(k: int, j: int):
     Only k(k+3)/2 sums per feature reach Python, whatever the number of samples.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def solve(xtx: pd.Series, xty: pd.Series, yty: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for a, b, c, m in zip(xtx, xty, yty, n):

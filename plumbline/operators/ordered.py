@@ -11,9 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import shuffle_width
+from plumbline.session import hold, shuffle_width
 
 _BLOCK = "__block"
+BROADCAST_ROWS = 200_000
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a per-case table onto big rows, broadcasting it only if its counted size allows.
+
+    The keys here are few-valued (often one constant), so shuffling the big side by them
+    would pile it onto one task; beyond the bound adaptive skew handling takes over.
+    """
+    kept = hold(small)
+    return df.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, keys, how)
 
 
 def equi(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -83,7 +94,7 @@ def suffix_min(df: DataFrame, by: list[str], order: str, value: str, out: str, b
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Tie-averaged ascending rank of every row within its group."""
-    hist = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    hist = hold(df.groupBy(*by, value).agg(F.count("*").alias("__n")))
     ranked = running_sum(hist, by, value, {"__cum": "__n"}).select(
         *by, value, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out)
     )
