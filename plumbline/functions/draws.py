@@ -13,11 +13,37 @@ def hash_unit(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("long") / F.lit(float(_SPAN))
 
 
+_CHUNK = 60  # bits of a digest that fit a positive long
+
+
+def _half_bits(count: Column, word, chunk_bits: int) -> Column:
+    """Binomial(count, 1/2): set bits among `count` random bits, one hash per chunk."""
+
+    def hits(chunk: Column) -> Column:
+        left = F.least(count - chunk * chunk_bits, F.lit(chunk_bits))
+        mask = F.expr("cast(1 as bigint)") * F.pow(F.lit(2.0), left).cast("long") - 1
+        return F.bit_count(word(chunk).bitwiseAND(mask)).cast("long")
+
+    chunks = F.sequence(F.lit(0), F.floor((count - 1) / chunk_bits).cast("int"))
+    many = F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, c: acc + hits(c))
+    zero = F.lit(0).cast("long")
+    return F.when(count <= 0, zero).when(count <= chunk_bits, hits(F.lit(0))).otherwise(many)
+
+
 def binomial_md5(count: Column, keys: list[Column], eps: float) -> Column:
-    """Binomial(count, eps) as a sum of keyed Bernoulli draws, four draws per digest.
+    """Binomial(count, eps) from md5-keyed draws.
 
-    Any engine with md5 reproduces it, so results can be cross-checked in plain SQL.
+    Any engine with md5 reproduces it, so results can be cross-checked in plain SQL. An even
+    split counts random bits; any other split sums Bernoulli draws, four per digest.
     """
+    if eps == 0.5:
+        joined = F.concat_ws("|", *keys)
+
+        def word(chunk: Column) -> Column:
+            digest = F.md5(F.concat_ws("|", joined, chunk.cast("string")))
+            return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+        return _half_bits(count, word, _CHUNK)
     cut = int(round(eps * _SPAN))
     blocks = F.sequence(F.lit(0), F.floor((count - 1) / 4).cast("int"))
     prefix = F.concat_ws("|", *keys)
@@ -38,7 +64,9 @@ def binomial_md5(count: Column, keys: list[Column], eps: float) -> Column:
 
 
 def binomial_xx(count: Column, keys: list[Column], eps: float) -> Column:
-    """The cheaper large-scale variant: two draws per 64-bit hash."""
+    """The cheaper large-scale variant on 64-bit hashes."""
+    if eps == 0.5:
+        return _half_bits(count, lambda chunk: F.xxhash64(*keys, chunk), _CHUNK)
     cut = int(round(eps * _SPAN))
     blocks = F.sequence(F.lit(0), F.floor((count - 1) / 2).cast("int"))
 

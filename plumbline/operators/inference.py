@@ -90,12 +90,15 @@ def fdr(tests: DataFrame, by: list[str], method: str = "bh", p: str = "p", out:
     """
     tests = hold(tests)
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    hist = tests.filter(ok).groupBy(*by, p).agg(F.count("*").alias("__n"))
+    hist = hold(tests.filter(ok).groupBy(*by, p).agg(F.count("*").alias("__n")))
+    blocks = ordered.blocks_for(hist, by)
     m = hist.groupBy(*by).agg(F.sum("__n").alias("__m"))
-    curve = hold(ordered.running_sum(hist, by, p, {"__rank": "__n"}).join(m, by))
+    curve = ordered.running_sum(hist, by, p, {"__rank": "__n"}, blocks).join(m, by)
     c = harmonic(F.col("__m")) if method == "by" else F.lit(1.0)
     curve = curve.withColumn("__raw", F.col(p) * F.col("__m") * c / F.col("__rank"))
-    curve = ordered.suffix_min(curve, by, p, "__raw", "__q").select(
+    if blocks > 1:
+        curve = hold(curve)
+    curve = ordered.suffix_min(curve, by, p, "__raw", "__q", blocks).select(
         *by, p, F.least(F.greatest("__q", F.lit(0.0)), F.lit(1.0)).alias(out)
     )
     return tests.join(curve, [*by, p], "left")

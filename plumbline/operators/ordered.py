@@ -1,9 +1,10 @@
-"""Order-dependent aggregates that never sort a whole group in one task.
+"""Order-dependent aggregates that never sort an unbounded group in one task.
 
-A plain window over one huge group is a single-task sort. Here every group is cut into
-value ranges at approximate quantiles, each range is handled on its own, and only one
-total per range is combined. Rows with equal keys share a range, so results are exact
-wherever the cuts fall; callers collapse ties first, which keeps ranges balanced.
+The largest group is measured first. While it fits a bounded sort a plain window does the
+work; beyond that every group is cut into value ranges at approximate quantiles, each range
+is handled on its own, and only one total per range is combined. Rows with equal keys share
+a range, so results are exact wherever the cuts fall; callers collapse ties first, which
+keeps the ranges balanced.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import hold, shuffle_width
+from plumbline.session import hold
 
 _BLOCK = "__block"
 BROADCAST_ROWS = 200_000
+ROWS_PER_BLOCK = 1_000_000
 
 
 def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -38,11 +40,14 @@ def equi(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -
     return df.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_block(df: DataFrame, by: list[str], order: str, blocks: int | None = None) -> DataFrame:
+def blocks_for(df: DataFrame, by: list[str]) -> int:
+    """How many value ranges keep every sort within ROWS_PER_BLOCK rows; `df` should be held."""
+    largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-largest // ROWS_PER_BLOCK))
+
+
+def with_block(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     """Adds the ordinal of the value range each row falls in, per group."""
-    n = blocks or shuffle_width(df.sparkSession)
-    if n <= 1:
-        return df.withColumn(_BLOCK, F.lit(0))
     cuts = [i / n for i in range(1, n)]
     edges = df.groupBy(*by).agg(
         F.percentile_approx(F.col(order).cast("double"), cuts, 10000).alias("__edges")
@@ -59,13 +64,14 @@ def with_block(df: DataFrame, by: list[str], order: str, blocks: int | None = No
         return F.when(take, pos + step).otherwise(pos)
 
     found = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), probe)
-    return df.join(edges, by).withColumn(_BLOCK, found).drop("__edges")
+    return attach(df, edges, by).withColumn(_BLOCK, found).drop("__edges")
 
 
-def running_sum(
-    df: DataFrame, by: list[str], order: str, values: dict[str, str], blocks: int | None = None
-) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], order: str, values: dict[str, str], blocks: int) -> DataFrame:
     """Inclusive running sums of `values` (output name -> input column) by ascending `order`."""
+    if blocks == 1:
+        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({o: F.sum(c).over(upto) for o, c in values.items()})
     blocked = with_block(df, by, order, blocks)
     totals = blocked.groupBy(*by, _BLOCK).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in values.items()])
     before = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,8 +84,11 @@ def running_sum(
     return out.drop(_BLOCK)
 
 
-def suffix_min(df: DataFrame, by: list[str], order: str, value: str, out: str, blocks: int | None = None) -> DataFrame:
+def suffix_min(df: DataFrame, by: list[str], order: str, value: str, out: str, blocks: int) -> DataFrame:
     """Minimum of `value` over this row and every row ordered after it."""
+    if blocks == 1:
+        onward = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+        return df.withColumn(out, F.min(value).over(onward))
     blocked = with_block(df, by, order, blocks)
     lows = blocked.groupBy(*by, _BLOCK).agg(F.min(value).alias("__low"))
     after = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(1, Window.unboundedFollowing)
@@ -95,7 +104,7 @@ def suffix_min(df: DataFrame, by: list[str], order: str, value: str, out: str, b
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Tie-averaged ascending rank of every row within its group."""
     hist = hold(df.groupBy(*by, value).agg(F.count("*").alias("__n")))
-    ranked = running_sum(hist, by, value, {"__cum": "__n"}).select(
+    ranked = running_sum(hist, by, value, {"__cum": "__n"}, blocks_for(hist, by)).select(
         *by, value, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out)
     )
     return df.join(ranked, [*by, value])
@@ -103,7 +112,8 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFram
 
 def position_in_group(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
     """1-based position by a unique `order` key."""
-    return running_sum(df.withColumn("__one", F.lit(1)), by, order, {out: "__one"}).drop("__one")
+    kept = hold(df.withColumn("__one", F.lit(1)))
+    return running_sum(kept, by, order, {out: "__one"}, blocks_for(kept, by)).drop("__one")
 
 
 def top_k(

@@ -35,7 +35,8 @@ def holdout_guard(n: int, eps: float) -> bool:
 # --- AUC ---------------------------------------------------------------------------
 def auc_from_hist(hist: DataFrame, by: list[str], fold: bool = True) -> DataFrame:
     """Tie-averaged AUC from (score, n1, n0) histograms; one class only gives 0.5."""
-    cum = ordered.running_sum(hold(hist), by, "score", {"cum0": "n0"})
+    hist = hold(hist)
+    cum = ordered.running_sum(hist, by, "score", {"cum0": "n0"}, ordered.blocks_for(hist, by))
     below = F.col("cum0") - F.col("n0") / 2.0
     agg = cum.groupBy(*by).agg(
         F.sum(F.col("n1") * below).alias("u"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")

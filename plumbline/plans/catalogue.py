@@ -1,6 +1,6 @@
 """Imports every plan module so the registry is complete."""
 
-from plumbline.plans import reductions  # noqa: F401
+from plumbline.plans import associations, clusterings, profiles, reductions, splits  # noqa: F401
 from plumbline.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
