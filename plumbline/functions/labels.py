@@ -50,6 +50,11 @@ GENE_COLUMN_NAMES = (
 )
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def norm_name(name: str) -> str:
     return re.sub(r"[.\- ]", "_", str(name).strip().lower())
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.labels import column as named
+
 
 def contingency(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Occupied cells of the a x b grid in long form."""
@@ -60,11 +62,11 @@ def technical_long(df: DataFrame, by: list[str], interest: str, technical: list[
     """Technical columns stacked as (column, a, b) so one pass scores them all."""
     cols = F.array(
         *[
-            F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col(c).cast("string").alias("b"))
+            F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), named(c).cast("string").alias("b"))
             for i, c in enumerate(technical)
         ]
     )
-    return df.select(*by, F.col(interest).cast("string").alias("a"), F.explode(cols).alias("s")).select(
+    return df.select(*by, named(interest).cast("string").alias("a"), F.explode(cols).alias("s")).select(
         *by, "s.pos", "s.column", "a", "s.b"
     )
 

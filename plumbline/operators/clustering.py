@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.labels import column
 from plumbline.operators import ordered
 from plumbline.operators.reduce import highly_variable, log1p_cp10k, measured, to_vectors, with_library
 from plumbline.session import hold
@@ -291,7 +292,7 @@ def supported_window(scores: DataFrame, by: list[str], settings: list[float], ch
 def find_track_column(cells: DataFrame, level: str) -> str | None:
     """First column holding the tracked level, from one pass over all columns."""
     names = [f.name for f in cells.schema.fields if f.dataType.simpleString() in ("string", "int", "bigint", "boolean")]
-    flags = cells.agg(*[F.max(F.col(c).cast("string") == str(level)).alias(c) for c in names]).first()
+    flags = cells.agg(*[F.max(column(c).cast("string") == str(level)).alias(c) for c in names]).first()
     return next((c for c in names if flags[c]), None)
 
 

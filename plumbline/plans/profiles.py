@@ -69,7 +69,7 @@ def json_safe_results(spark, sf):
 
 
 @query("case_manifest", """SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS case_id, n_name AS foil, 'nation' AS unit, CASE WHEN n_nationkey % 5 <> 0 THEN 'region' END AS grouping,
- CASE WHEN n_nationkey % 2 = 0 THEN 0.05 ELSE 0.01 END AS alpha, CASE WHEN n_nationkey % 5 = 0 THEN 'missing grouping' END AS error FROM nation""")
+ CAST(CASE WHEN n_nationkey % 2 = 0 THEN 0.05 ELSE 0.01 END AS DOUBLE) AS alpha, CASE WHEN n_nationkey % 5 = 0 THEN 'missing grouping' END AS error FROM nation""")
 def case_manifest(spark, sf):
     """A manifest written from the nation table with mixed field spellings, then read back."""
     path = scratch(spark, "manifest")
@@ -274,9 +274,9 @@ def resolved_fields(spark, sf):
 def nuisance_alignment(spark, sf):
     from plumbline.operators.association import technical_scores
 
-    cells = role_cells(spark, sf).withColumnRenamed("seq.run", "seq_run").withColumn("k", F.lit(1))
-    s = technical_scores(cells, ["k"], "condition", ["lane", "phase", "seq_run"])
-    return s.select(F.regexp_replace("column", "seq_run", "seq.run").alias("column"), F.round("v", 9).alias("v"))
+    cells = role_cells(spark, sf).withColumn("k", F.lit(1))
+    s = technical_scores(cells, ["k"], "condition", ["lane", "phase", "seq.run"])
+    return s.select("column", F.round("v", 9).alias("v"))
 
 
 # --- stored results, features, inventory -----------------------------------------------
