@@ -137,3 +137,27 @@ def design_rank(df: DataFrame, by: list[str], factors: list[str]) -> DataFrame:
         F.col("s.rank").alias("rank"),
         (F.col("s.rank") < F.col("s.columns")).alias("rank_deficient"),
     )
+
+
+MAX_DESIGN_LEVELS = 2000
+
+
+def pair_rank_deficient(occupied: DataFrame) -> bool:
+    """Rank test of intercept + two factors, for any number of levels of the second.
+
+    The one-hot design is rank short exactly when the levels fall into separate groups that
+    share no cell. Only the distinct sets of first-factor levels seen together are collected,
+    so the first factor (the comparison) must have few levels.
+    """
+    sets = occupied.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("s")).select("s").distinct().collect()
+    parent: dict[str, str] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for (levels,) in sets:
+        for other in levels:
+            parent[root(other)] = root(levels[0])
+    return len({root(x) for x in list(parent)}) > 1

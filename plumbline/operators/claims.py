@@ -104,7 +104,7 @@ def prune_routes(claims: DataFrame, columns: DataFrame, levels: DataFrame) -> Da
     # Rule order: a label is only judged on routes whose check and columns are possible.
     judged = F.col("__absent").isNotNull() & F.col("check").isin(*CHECKS) & (F.size("__missing") == 0)
     per_check = marked.groupBy(*CLAIM, "check").agg(
-        F.min(F.when(F.col("__keep"), F.struct("rpos", F.col("params").cast("map<string,string>").alias("params"))["rpos"])).alias("__first"),
+        F.min(F.when(F.col("__keep"), F.col("rpos"))).alias("__first"),
         F.flatten(F.collect_list("__missing")).alias("__missing"),
         F.collect_list(F.when(judged, F.concat("label", F.lit(" (in "), "column", F.lit(")")))).alias("__labels"),
     )

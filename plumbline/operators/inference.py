@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from plumbline.functions.labels import neg_log10
 from plumbline.functions.stats import guarded_p, ols_pvalue, t_pvalue, welch_columns
 from plumbline.operators import ordered
-from plumbline.operators.reduce import arm_means, arm_moments, arm_sizes, log2_fold, measured, unit_arm_sizes
+from plumbline.operators.reduce import (
+    arm_means,
+    arm_moments,
+    arm_sizes,
+    arm_totals,
+    log2_fold,
+    measured,
+    unit_arm_sizes,
+)
 from plumbline.session import hold
 
 
@@ -52,6 +60,12 @@ def _gene_welch(moments: DataFrame, sizes: DataFrame, by: list[str]) -> DataFram
     return m.withColumn("log2fc", log2_fold(F.col("mean_ref"), F.col("mean_alt")))
 
 
+def welch_from_moments(moments: DataFrame, sizes: DataFrame, by: list[str], scale: str = "log") -> DataFrame:
+    """Cell-level Welch per feature out of `sample_moments`, on log1p or raw counts."""
+    s1, s2 = ("log_sum", "log_sq") if scale == "log" else ("total", "total_sq")
+    return _gene_welch(arm_totals(moments, by, s1, s2), sizes, by)
+
+
 def pick_gene(tests: DataFrame, by: list[str]) -> DataFrame:
     """The feature the naive test calls most confidently: largest |t|, ties to the first name.
 
@@ -170,17 +184,13 @@ def two_factor_p(samples: DataFrame, by: list[str], other: str, adjust: bool = T
     """Naive (~ interest) and adjusted (~ interest + other) p on the same samples.
 
     `samples` has `y`, `arm` and the other factor. Adjusted is null when the factor is
-    constant, nested in the arms, or the samples do not exceed the parameters.
+    nested in the arms or the samples do not exceed the parameters.
     """
     alt = F.when(F.col("arm") == "alt", 1.0).otherwise(0.0)
     naive = ols_p(samples, by, F.col("y"), [F.lit(1.0), alt], 1, "naive_p")
     if not adjust:
         return naive.withColumn("adjusted_p", F.lit(None).cast("double"))
-    levels = factor_levels(samples, other)
-    if len(levels) < 2:
-        return naive.withColumn("adjusted_p", F.lit(None).cast("double"))
-    full = ols_p(samples, by, F.col("y"), [F.lit(1.0), alt, *dummies(other, levels)], 1, "adjusted_p")
-    return naive.join(full.drop("n_samples"), by)
+    return naive.join(demeaned_p(samples, by, other).select(*by, F.col("p").alias("adjusted_p")), by)
 
 
 def demeaned_p(samples: DataFrame, by: list[str], other: str) -> DataFrame:

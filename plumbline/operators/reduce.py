@@ -362,3 +362,74 @@ def to_vectors(rows: DataFrame, genes: DataFrame, value: str) -> DataFrame:
 def to_long(vectors: DataFrame) -> DataFrame:
     """(cell_id, pos, value) rows of the non-zero entries of an array column `vec`."""
     return vectors.select("cell_id", F.posexplode("vec").alias("pos", "value")).filter(F.col("value") != 0)
+
+
+def sample_moments(counts: DataFrame, kept: DataFrame, by: list[str]) -> DataFrame:
+    """The one heavy pass behind the replicate checks.
+
+    Per (unit, arm, feature): sums of raw counts and of log1p, and of their squares. Naive
+    tests, pseudobulk, CPM of sums, ICC and overdispersion all derive from these rows.
+    """
+    keys = [*by, "unit", "arm"]
+    x = log1p_counts(F.col("value"))
+    return (
+        measured(counts, kept, keys)
+        .groupBy(*keys, "gene")
+        .agg(
+            F.sum("value").alias("total"),
+            F.sum(F.col("value") * F.col("value")).alias("total_sq"),
+            F.sum(x).alias("log_sum"),
+            F.sum(x * x).alias("log_sq"),
+        )
+    )
+
+
+def arm_totals(moments: DataFrame, by: list[str], s1: str, s2: str) -> DataFrame:
+    """Per-feature arm power sums out of `sample_moments`."""
+    ref, alt = F.col("arm") == "ref", F.col("arm") == "alt"
+    pick = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0.0))
+    return moments.groupBy(*by, "gene").agg(
+        pick(ref, s1).alias("s1_ref"), pick(ref, s2).alias("s2_ref"), pick(alt, s1).alias("s1_alt"), pick(alt, s2).alias("s2_alt")
+    )
+
+
+def moments_icc(moments: DataFrame, samples: DataFrame, by: list[str], gene: str) -> DataFrame:
+    """ICC of log1p over units for one feature, from sample sums; `samples` has n_cells."""
+    one = moments.filter(F.col("gene") == gene).select(*by, "unit", "arm", "log_sum", "log_sq")
+    per = (
+        samples.join(one, [*by, "unit", "arm"], "left")
+        .groupBy(*by, "unit")
+        .agg(
+            F.sum("n_cells").alias("n"),
+            F.sum(F.coalesce("log_sum", F.lit(0.0))).alias("s1"),
+            F.sum(F.coalesce("log_sq", F.lit(0.0))).alias("s2"),
+        )
+        .withColumn("m", F.col("s1") / F.col("n"))
+        .withColumn("v", variance_from_sums(F.col("s1"), F.col("s2"), F.col("n")))
+    )
+    total = F.col("between") + F.col("within")
+    return (
+        per.groupBy(*by)
+        .agg(F.count("*").alias("units"), F.var_samp("m").alias("between"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("within"))
+        .withColumn("icc", F.when((F.col("units") >= 2) & (total > 0), F.col("between") / total))
+    )
+
+
+def moments_cpm(moments: DataFrame, by: list[str]) -> DataFrame:
+    """log1p CPM of each (unit, arm, feature) sum."""
+    keys = [*by, "unit", "arm"]
+    depth = moments.groupBy(*keys).agg(F.sum("total").alias("depth"))
+    return moments.join(depth, keys).withColumn("value", log1p_cpm(F.col("total"), F.col("depth")))
+
+
+def moments_overdispersion(moments: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    n = F.col("n_ref") + F.col("n_alt")
+    per = (
+        moments.groupBy(*by, "gene")
+        .agg(F.sum("total").alias("s1"), F.sum("total_sq").alias("s2"))
+        .filter(F.col("s1") > 0)
+        .join(sizes, by)
+        .withColumn("m", F.col("s1") / n)
+        .withColumn("ratio", (F.col("s2") / n - F.col("m") * F.col("m")) / F.col("m"))
+    )
+    return per.groupBy(*by).agg(F.avg("ratio").alias("overdispersion"))

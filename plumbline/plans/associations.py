@@ -11,6 +11,7 @@ from plumbline.plans import views
 from plumbline.plans.reductions import BY, arms_and_kept, picked_focus
 from plumbline.plans.registry import query
 from plumbline.plans.sqltext import FOCUS, GENE_WELCH, PICKED, base, t_p
+from plumbline.session import hold
 
 TECHNICAL = ["priority", "status", "segment", "unit"]
 V_STACK = """tech AS (
@@ -107,8 +108,19 @@ def focus_samples(spark, sf, other="priority"):
 @query("ols_naive_and_adjusted", base(GENE_WELCH, PICKED, FOCUS, SAMPLES, NAIVE_FIT, ADJUSTED_FIT)
  + f"SELECT nt.n AS n_samples, round((SELECT {t_p('t', 'df')} FROM nt), 6) AS naive_p, round((SELECT {t_p('t', 'df')} FROM adt), 6) AS adjusted_p FROM nt")
 def ols_naive_and_adjusted(spark, sf):
-    from plumbline.session import hold
+    """The adjusted fit here is the general one: every level is a design column."""
+    samples = hold(focus_samples(spark, sf))
+    levels = inf.factor_levels(samples, "priority")
+    alt = F.when(F.col("arm") == "alt", 1.0).otherwise(0.0)
+    naive = inf.ols_p(samples, BY, F.col("y"), [F.lit(1.0), alt], 1, "naive_p")
+    full = inf.ols_p(samples, BY, F.col("y"), [F.lit(1.0), alt, *inf.dummies("priority", levels)], 1, "adjusted_p")
+    out = naive.join(full.drop("n_samples"), BY)
+    return out.select("n_samples", F.round("naive_p", 6).alias("naive_p"), F.round("adjusted_p", 6).alias("adjusted_p"))
+
 
+@query("two_factor_replicate_fit", base(GENE_WELCH, PICKED, FOCUS, SAMPLES, NAIVE_FIT, ADJUSTED_FIT)
+ + f"SELECT nt.n AS n_samples, round((SELECT {t_p('t', 'df')} FROM nt), 6) AS naive_p, round((SELECT {t_p('t', 'df')} FROM adt), 6) AS adjusted_p FROM nt")
+def two_factor_replicate_fit(spark, sf):
     out = inf.two_factor_p(hold(focus_samples(spark, sf)), BY, "priority")
     return out.select("n_samples", F.round("naive_p", 6).alias("naive_p"), F.round("adjusted_p", 6).alias("adjusted_p"))
 

@@ -35,7 +35,7 @@ def dataset_store_and_load(spark, sf):
     return ds.counts.join(ds.cells, "cell_id").groupBy("unit", "gene").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("dataset_metadata_only", base() + "SELECT (SELECT COUNT(*) FROM cells) AS n_cells, (SELECT COUNT(DISTINCT p_brand) FROM part) AS n_genes, CAST(9 AS BIGINT) AS n_columns")
+@query("dataset_metadata_only", base() + "SELECT (SELECT COUNT(*) FROM cells) AS n_cells, (SELECT COUNT(DISTINCT p_brand) FROM part) AS n_genes, CAST(10 AS BIGINT) AS n_columns")
 def dataset_metadata_only(spark, sf):
     path = scratch(spark, "metadata")
     ds = views.order_dataset(spark, sf)

@@ -2,7 +2,8 @@
 
 CELLS = """cells AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS cell_id, n_name AS unit, r_name AS region, o_orderpriority AS priority,
-         o_orderstatus AS status, c_mktsegment AS segment, o_totalprice AS price, CAST(o_custkey AS VARCHAR) AS customer
+         o_orderstatus AS status, c_mktsegment AS segment, o_totalprice AS price, CAST(o_custkey AS VARCHAR) AS customer,
+         'B' || CASE WHEN o_orderkey % 10 < 5 THEN substr(r_name, 1, 2) ELSE substr(o_orderpriority, 1, 1) END AS batch
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey)"""
 COUNTS = """counts AS (

@@ -34,6 +34,10 @@ def order_cells(spark: SparkSession, sf: str) -> DataFrame:
             F.col("c_mktsegment").alias("segment"),
             F.col("o_totalprice").alias("price"),
             F.col("o_custkey").cast("string").alias("customer"),
+            F.concat(
+                F.lit("B"),
+                F.when(F.col("o_orderkey") % 10 < 5, F.substring("r_name", 1, 2)).otherwise(F.substring("o_orderpriority", 1, 1)),
+            ).alias("batch"),
         )
     )
 
