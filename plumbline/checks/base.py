@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.dataset import Claim, Dataset, Design
+from plumbline.functions.labels import column
+from plumbline.session import hold
 
 BY = ["case_id"]
 CLEAN, FLAGGED, FLAG_ONLY, HARD_STOP = "clean", "flagged", "flag_only", "hard_stop"
@@ -140,8 +142,9 @@ def findings_frame(spark: SparkSession, findings: list[Finding], case_id: str =
     """A handful of finding rows; everything heavy behind them was reduced in Spark."""
     rows = []
     for f in findings:
+        number = lambda v: None if v is None else float(v)
         head = (
-            case_id, f.check_id, f.state, f.headline, f.original, f.corrected, f.unsalvageable, f.feasibility, f.engine, f.target,
+            case_id, f.check_id, f.state, f.headline, number(f.original), number(f.corrected), f.unsalvageable, f.feasibility, f.engine, f.target,
             {k: float(v) for k, v in f.numbers.items() if v is not None},
         )
         rows.append(head + tuple(_shape(T.StructType(_CHARTS[k]), f.charts.get(k)) for k in CHART_KINDS))
@@ -166,10 +169,20 @@ def unit_cells(ds: Dataset, group: str, unit: str | None, *extra: str) -> DataFr
     cols.append((F.col(unit) if unit else F.lit("all")).cast("string").alias("unit"))
     if "library" in ds.cells.columns:
         cols.append(F.col("library"))
-    cols += [F.col(e).cast("string").alias(e) for e in dict.fromkeys(extra)]
+    cols += [column(e).cast("string").alias(extra_name(e)) for e in dict.fromkeys(extra)]
     return ds.cells.select(*cols)
 
 
+def extra_name(column_name: str) -> str:
+    """Technical columns keep clear of the renamed role columns."""
+    return f"x_{column_name}"
+
+
+def sample_counts(cells: DataFrame) -> DataFrame:
+    """Cells per (case, group, unit): arms, replicates and the unit test all read this one table."""
+    return hold(cells.groupBy(*BY, "grp", "unit").agg(F.count("*").alias("n_cells")))
+
+
 def has_column(ds: Dataset, name: str | None) -> bool:
     return bool(name) and name in ds.cells.columns
 

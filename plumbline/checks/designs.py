@@ -57,19 +57,22 @@ class Confounding(Check):
             lead = None
             if spare:
                 cells = base.unit_cells(ds, interest, None, *spare)
-                lead = asc.most_aligned(asc.technical_scores(cells, BY, "grp", spare), BY).first()
-            hint = f" '{lead['column']}' is the best aligned column." if lead and lead["v"] >= ALIGN_MIN else ""
-            return Finding(4, base.FLAG_ONLY, "No technical variable was selected." + hint, feasibility=base.NEEDS_DATA, target=lead["column"] if lead else "")
+                lead = asc.most_aligned(asc.technical_scores(cells, BY, "grp", [base.extra_name(c) for c in spare]), BY).first()
+            near = lead["column"][2:] if lead and lead["v"] >= ALIGN_MIN else ""
+            hint = f" '{near}' is the best aligned column." if near else ""
+            return Finding(4, base.FLAG_ONLY, "No technical variable was selected." + hint, feasibility=base.NEEDS_DATA, target=near)
         cells = hold(base.unit_cells(ds, interest, design.unit if has(ds, design.unit) else None, *technical))
-        scores = hold(asc.technical_scores(cells, BY, "grp", technical))
+        internal = [base.extra_name(c) for c in technical]
+        scores = hold(asc.technical_scores(cells, BY, "grp", internal))
         worst = asc.most_aligned(scores, BY).first()
-        name, v = worst["column"], worst["v"]
+        col, v = worst["column"], worst["v"]
+        name = col[2:]
         sized = scores.agg(F.max("levels_a").alias("a"), F.sum("levels_b").alias("b")).first()
         if sized["a"] + sized["b"] <= asc.MAX_DESIGN_LEVELS:
-            deficient = asc.design_rank(cells, BY, ["grp", *technical]).first()["rank_deficient"]
+            deficient = asc.design_rank(cells, BY, ["grp", *internal]).first()["rank_deficient"]
         else:
-            deficient = any(asc.pair_rank_deficient(asc.contingency(cells, BY, "grp", t)) for t in technical)
-        grid = base.detail(asc.contingency(cells, BY, "grp", name).select("a", "b", "n").orderBy("a", "b"))
+            deficient = any(asc.pair_rank_deficient(asc.contingency(cells, BY, "grp", t)) for t in internal)
+        grid = base.detail(asc.contingency(cells, BY, "grp", col).select("a", "b", "n").orderBy("a", "b"))
         if v < ALIGN_MIN and not deficient:
             return Finding(
                 4, base.CLEAN, f"'{interest}' does not line up with '{name}'.", target=name, numbers={"v": v},
@@ -77,7 +80,7 @@ class Confounding(Check):
             )
         arms = red.busiest_levels(cells, "grp", BY).first()
         kept = hold(red.filter_arms(cells, "grp", arms["ref"], arms["alt"]))
-        two = asc.cramers_v(kept, BY, "arm", name).first()
+        two = asc.cramers_v(kept, BY, "arm", col).first()
         chart = {"confound": {"grid": grid, "v": two["v"]}}
         stuck = two["nested"] or two["v"] >= NESTED_V
         counts = base.count_rows(ds)
@@ -85,10 +88,10 @@ class Confounding(Check):
             if stuck:
                 return self._stuck(interest, name, None, two["v"], chart)
             return Finding(4, base.FLAG_ONLY, "The adjusted effect needs a replicate unit and raw counts.", feasibility=base.NEEDS_DATA, target=name, numbers={"v": two["v"]}, charts=chart)
-        gene, samples = audited_samples(ds, counts, kept, name)
+        gene, samples = audited_samples(ds, counts, kept, col)
         if gene is None:
             return Finding(4, base.FLAG_ONLY, "No feature is expressed in the compared cells.", target=name, numbers={"v": two["v"]}, charts=chart)
-        fit = inf.two_factor_p(samples, BY, name, adjust=not stuck).first()
+        fit = inf.two_factor_p(samples, BY, col, adjust=not stuck).first()
         if stuck or fit["adjusted_p"] is None:
             return self._stuck(interest, name, fit["naive_p"], two["v"], chart)
         n = total_units(kept)
@@ -203,7 +206,8 @@ class UnmodeledCovariate(Check):
         arms = red.two_arms(cells, "grp", BY, design.knob("groups"), design.knob("reference")).first()
         if arms is None:
             return missing
-        occupied = hold(asc.contingency(cells, BY, "grp", cov))
+        col = base.extra_name(cov)
+        occupied = hold(asc.contingency(cells, BY, "grp", col))
         v = asc.association(occupied, BY).first()["v"]
         numbers = {"v": v}
         if v >= NESTED_V or asc.pair_rank_deficient(occupied):
@@ -217,10 +221,10 @@ class UnmodeledCovariate(Check):
         if unit is None or counts is None:
             return missing
         kept = hold(red.filter_arms(cells, "grp", arms["ref"], arms["alt"]))
-        gene, samples = audited_samples(ds, counts, kept, cov)
+        gene, samples = audited_samples(ds, counts, kept, col)
         if gene is None:
             return missing
-        fit = inf.two_factor_p(samples, BY, cov).first()
+        fit = inf.two_factor_p(samples, BY, col).first()
         naive = fit["naive_p"]
         if naive is None:
             return missing

@@ -15,18 +15,20 @@ from plumbline.operators import reduce as red
 from plumbline.session import hold
 
 
-def replicate_p(moments: DataFrame, kept: DataFrame, gene: str, engine: str) -> tuple[float | None, str]:
-    """p of the audited feature between arms at the replicate level, and the engine that ran."""
+def replicate_p(moments: DataFrame, samples: DataFrame, gene: str, engine: str) -> tuple[float | None, str]:
+    """p of the audited feature between arms at the replicate level, and the engine that ran.
+
+    `samples` has one row per (unit, arm).
+    """
     if engine == "nb":
         totals = moments.withColumn("total", F.round("total").cast("long")).filter(F.col("total") > 0)
-        samples = red.sample_table(kept, [*BY, "unit", "arm"])
         alt = F.when(F.col("arm") == "alt", 1.0).otherwise(0.0)
         fit = nbmodel.nb_wald(totals, samples, BY, ["unit", "arm"], [F.lit(1.0), alt])
         row = fit.filter(F.col("gene") == gene).select("p").first()
         if row is not None and row["p"] is not None:
             return row["p"], nbmodel.ENGINE
     values = red.moments_cpm(moments, BY).filter(F.col("gene") == gene)
-    row = inf.welch_by_gene_units(values, kept, BY).select("p").first()
+    row = inf.welch_by_gene_units(values, samples, BY).select("p").first()
     return (row["p"] if row else 1.0), nbmodel.FALLBACK
 
 
@@ -47,17 +49,20 @@ class Pseudoreplication(Check):
         if not has(ds, group, unit if has(ds, unit) else true_unit):
             return unresolved
         unit = unit if has(ds, unit) else true_unit
-        bad = red.bad_unit(base.unit_cells(ds, group, unit), "unit", BY).first()
-        bad_unit = bool(bad and bad["bad_unit"])
+        cells = base.unit_cells(ds, group, unit)
+        table = base.sample_counts(cells)
+        bad_unit = bool(red.bad_unit(table, "unit", BY).first()["bad_unit"]) if has(ds, true_unit) else False
         if bad_unit:
             unit = true_unit
-        cells = base.unit_cells(ds, group, unit)
-        arms = red.two_arms(cells, "grp", BY, design.knob("groups"), design.knob("reference")).first()
+            cells = base.unit_cells(ds, group, unit)
+            table = base.sample_counts(cells)
+        arms = red.two_arms(table, "grp", BY, design.knob("groups"), design.knob("reference")).first()
         if arms is None:
             return unresolved
-        kept = hold(red.filter_arms(cells, "grp", arms["ref"], arms["alt"]))
-        rep = red.replicates(kept, BY).first()
-        sizes = red.arm_sizes(kept, BY)
+        kept = red.filter_arms(cells, "grp", arms["ref"], arms["alt"])
+        samples = hold(red.filter_arms(table, "grp", arms["ref"], arms["alt"]))
+        rep = red.replicates(samples, BY).first()
+        sizes = arm_sizes(samples)
         n_cells = arms["n_ref"] + arms["n_alt"]
         shared = {"n_cells": n_cells, "n_units": rep["n_samples"], "total_units": rep["total_units"], "per_group": rep["per_group"]}
         if rep["per_group"] < 2:
@@ -84,8 +89,7 @@ class Pseudoreplication(Check):
             return unresolved
         gene, naive = audited["gene"], audited["p"]
         units = base.detail(
-            red.sample_table(kept, [*BY, "unit", "arm"])
-            .join(moments.filter(F.col("gene") == gene).select("unit", "arm", "log_sum"), ["unit", "arm"], "left")
+            samples.join(moments.filter(F.col("gene") == gene).select("unit", "arm", "log_sum"), ["unit", "arm"], "left")
             .select(
                 F.col("unit").alias("id"),
                 F.col("arm").alias("group"),
@@ -107,8 +111,8 @@ class Pseudoreplication(Check):
             return Finding(
                 1, base.FLAG_ONLY, "The replicate-level test needs raw counts.", original=naive, feasibility=base.NEEDS_DATA, target=gene, numbers=shared
             )
-        p, engine = replicate_p(moments, kept, gene, design.knob("engine", "welch"))
-        icc = red.moments_icc(moments, red.sample_table(kept, [*BY, "unit", "arm"]), BY, gene).first()["icc"]
+        p, engine = replicate_p(moments, samples, gene, design.knob("engine", "welch"))
+        icc = red.moments_icc(moments, samples, BY, gene).first()["icc"]
         holds = p < alpha
         head = (
             f"{gene} holds over {rep['n_samples']} {unit_noun(unit)} samples (p {p_words(p)})."
@@ -128,6 +132,12 @@ class Pseudoreplication(Check):
         )
 
 
+def arm_sizes(samples: DataFrame) -> DataFrame:
+    """Cells per arm out of the sample table."""
+    arm = lambda a: F.sum(F.when(F.col("arm") == a, F.col("n_cells")).otherwise(0))
+    return samples.groupBy(*BY).agg(arm("ref").alias("n_ref"), arm("alt").alias("n_alt"))
+
+
 def has(ds: Dataset, *names: str | None) -> bool:
     return all(base.has_column(ds, n) for n in names)
 
@@ -156,20 +166,22 @@ class TestAssumptions(Check):
         if not has(ds, group) or counts is None:
             return Finding(8, base.FLAG_ONLY, "The raw-count premise of the t-test cannot be checked here.", target="t-test")
         cells = base.unit_cells(ds, group, unit if has(ds, unit) else None)
-        arms = red.two_arms(cells, "grp", BY, design.knob("groups"), design.knob("reference")).first()
+        table = base.sample_counts(cells)
+        arms = red.two_arms(table, "grp", BY, design.knob("groups"), design.knob("reference")).first()
         if arms is None:
             return Finding(8, base.FLAG_ONLY, "Fewer than two levels to compare.", target="t-test")
-        kept = hold(red.filter_arms(cells, "grp", arms["ref"], arms["alt"]))
-        sizes = red.arm_sizes(kept, BY)
+        kept = red.filter_arms(cells, "grp", arms["ref"], arms["alt"])
+        samples = hold(red.filter_arms(table, "grp", arms["ref"], arms["alt"]))
+        sizes = arm_sizes(samples)
         moments = hold(red.sample_moments(counts, kept, BY))
         audited = inf.pick_gene(inf.welch_from_moments(moments, sizes, BY, "raw"), BY).first()
         od = red.moments_overdispersion(moments, sizes, BY).first()
         ratio = od["overdispersion"] if od else 1.0
         if audited is None:
             return Finding(8, base.FLAG_ONLY, "No feature is expressed in the compared cells.", target="t-test")
-        p, engine = replicate_p(moments, kept, audited["gene"], design.knob("engine", "welch"))
+        p, engine = replicate_p(moments, samples, audited["gene"], design.knob("engine", "welch"))
         n_cells = arms["n_ref"] + arms["n_alt"]
-        n_units = kept.select("unit").distinct().count() if has(ds, unit) else n_cells
+        n_units = samples.select("unit").distinct().count() if has(ds, unit) else n_cells
         flips = audited["p"] < alpha <= p
         return Finding(
             8,

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +67,13 @@ def hits(name: str, words: tuple[str, ...], tokens_only: bool = False) -> bool:
     return any(w in tokens or (not tokens_only and w in name) for w in words)
 
 
+def _any_of(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
 def hits_col(c: Column, words: tuple[str, ...]) -> Column:
     """The same rule on a column of normalised names (substring covers the token case)."""
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    return c.rlike(_any_of(words))
 
 
 def is_control(level: str) -> bool:
@@ -80,9 +82,8 @@ def is_control(level: str) -> bool:
 
 
 def is_control_col(c: Column) -> Column:
-    low = F.lower(F.trim(c))
-    starts = reduce(lambda a, b: a | b, [low.startswith(w) for w in CONTROL_WORDS])
-    return starts | F.arrays_overlap(F.split(low, "_"), F.array(*[F.lit(w) for w in CONTROL_WORDS]))
+    words = _any_of(CONTROL_WORDS)
+    return F.lower(F.trim(c)).rlike(f"^({words})|_({words})(_|$)")
 
 
 def unit_noun(name: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.stats import normal_pvalue
 from plumbline.operators.ordered import attach
-from plumbline.session import hold
+from plumbline.session import settle
 
 ENGINE = "pseudobulk sum + NB Wald"
 FALLBACK = "pseudobulk sum + Welch on per-unit log1p CPM"
@@ -82,7 +82,7 @@ def _solver(k: int, j: int):
 
 
 def nb_wald(
-    totals: DataFrame, samples: DataFrame, by: list[str], keys: list[str], design: list, steps: int = 6
+    totals: DataFrame, samples: DataFrame, by: list[str], keys: list[str], design: list, steps: int = 12
 ) -> DataFrame:
     """Wald p of the second design column (alternate vs reference) for every feature.
 
@@ -90,11 +90,12 @@ def nb_wald(
     the factor columns; `design` is a list of column expressions, intercept first.
     """
     k = len(design)
-    totals = hold(totals.select(*by, *keys, "gene", "total"))
-    sized = size_factors(totals, samples, by, keys)
+    totals = settle(totals.select(*by, *keys, "gene", "total"))
+    sized = settle(size_factors(totals, samples, by, keys))
     x = F.array(*[c.cast("double") for c in design])
-    rows = hold(_dense(totals, sized.withColumn("x", x).select(*by, *keys, "x", "size"), by, keys))
     gk = [*by, "gene"]
+    dense = _dense(totals, sized.withColumn("x", x).select(*by, *keys, "x", "size"), by, keys)
+    rows = settle(dense.repartition(*[F.col(c) for c in gk]))
 
     # Moment dispersion within the design's first contrast, then a 1/mean trend.
     q = F.col("y") / F.col("size")
@@ -118,7 +119,7 @@ def nb_wald(
             F.greatest((F.col("var") - F.col("inv") / F.col("n") * F.col("mean")) / (F.col("mean") * F.col("mean")), F.lit(1e-8)),
         )
     )
-    stats = hold(stats)
+    stats = settle(stats)
     trend = stats.groupBy(*by).agg(
         F.regr_slope("raw", 1 / F.col("mean")).alias("__a1"), F.avg("raw").alias("__avg"), F.avg(1 / F.col("mean")).alias("__im")
     )
@@ -127,7 +128,7 @@ def nb_wald(
     alpha = attach(stats, trend, by).withColumn(
         "alpha", F.exp((F.log("raw") + F.log(fitted)) / 2)
     ).select(*gk, "alpha", F.col("mean").alias("base_mean"))
-    rows = hold(rows.join(alpha, gk))
+    alpha = settle(alpha)
 
     solve = _solver(k, 1)
     upper = [(i, j) for i in range(k) for j in range(i, k)]
@@ -141,18 +142,23 @@ def nb_wald(
         )
         return agg.select(*gk, solve("a", "b").alias("f")).select(*gk, "f.beta", "f.se")
 
-    beta = fit(rows.withColumn("w", F.lit(1.0)).withColumn("z", F.log((F.col("y") + 0.5) / F.col("size"))))
+    # Each step is settled, so the plan stays one step deep and the loop can stop early.
+    beta = settle(fit(rows.withColumn("w", F.lit(1.0)).withColumn("z", F.log((F.col("y") + 0.5) / F.col("size")))))
     for _ in range(steps):
         eta = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         mu = F.exp(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))) * F.col("size")
+        params = beta.drop("se").filter(F.col("beta").isNotNull()).join(alpha.select(*gk, "alpha"), gk)
         step = (
-            rows.join(beta.drop("se"), gk)
-            .filter(F.col("beta").isNotNull())
+            rows.join(params, gk)
             .withColumn("mu", mu)
             .withColumn("w", F.col("mu") / (1 + F.col("alpha") * F.col("mu")))
             .withColumn("z", F.log(F.col("mu") / F.col("size")) + (F.col("y") - F.col("mu")) / F.col("mu"))
         )
-        beta = fit(step)
+        last, beta = beta, settle(fit(step))
+        moved = F.array_max(F.zip_with("beta", "__b", lambda a, b: F.abs(a - b)))
+        gap = beta.join(last.select(*gk, F.col("beta").alias("__b")), gk).agg(F.max(moved)).first()[0]
+        if gap is None or gap < 1e-7:
+            break
     effect = F.get("beta", F.lit(1))
     return (
         beta.join(alpha, gk)

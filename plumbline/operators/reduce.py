@@ -45,11 +45,13 @@ def with_library(cells: DataFrame, counts: DataFrame) -> DataFrame:
 
 # --- arms --------------------------------------------------------------------------
 def level_counts(cells: DataFrame, group: str, by: list[str]) -> DataFrame:
+    """Cells per level; rows already counted carry their weight in `n_cells`."""
+    n = F.sum("n_cells") if "n_cells" in cells.columns else F.count("*")
     return (
         cells.withColumn("level", F.col(group).cast("string"))
         .filter(F.col("level").isNotNull())
         .groupBy(*by, "level")
-        .agg(F.count("*").alias("n"))
+        .agg(n.alias("n"))
     )
 
 
@@ -266,7 +268,8 @@ def replicates(kept: DataFrame, by: list[str]) -> DataFrame:
 
 def bad_unit(cells: DataFrame, unit: str, by: list[str]) -> DataFrame:
     """A unit column with about one value per row is the cell, not the replicate."""
-    per = cells.groupBy(*by, unit).agg(F.count("*").alias("n"))
+    n = F.sum("n_cells") if "n_cells" in cells.columns else F.count("*")
+    per = cells.groupBy(*by, unit).agg(n.alias("n"))
     return (
         per.groupBy(*by)
         .agg(F.count_if(F.col(unit).isNotNull()).alias("units"), F.sum("n").alias("n"))
