@@ -82,10 +82,10 @@ def normal_pvalue(z: pd.Series) -> pd.Series:
 
 def welch_columns(m0: Column, v0: Column, n0: Column, m1: Column, v1: Column, n1: Column) -> tuple[Column, Column]:
     """(t, Satterthwaite df) of alternate minus reference; se = 0 gives t = 0."""
-    s0, s1 = v0 / n0, v1 / n1
+    s0, s1 = F.try_divide(v0, n0), F.try_divide(v1, n1)
     se2 = s0 + s1
     t = F.when(se2 > 0, (m1 - m0) / F.sqrt(se2)).otherwise(F.lit(0.0))
-    denom = s0 * s0 / (n0 - 1) + s1 * s1 / (n1 - 1)
+    denom = F.try_divide(s0 * s0, n0 - 1) + F.try_divide(s1 * s1, n1 - 1)
     df = F.when(denom > 0, se2 * se2 / denom).otherwise((n0 + n1 - 2).cast("double"))
     return t, df
 

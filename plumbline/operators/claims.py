@@ -103,13 +103,12 @@ def prune_routes(claims: DataFrame, columns: DataFrame, levels: DataFrame) -> Da
     )
     # Rule order: a label is only judged on routes whose check and columns are possible.
     judged = F.col("__absent").isNotNull() & F.col("check").isin(*CHECKS) & (F.size("__missing") == 0)
-    per_check = marked.groupBy(*CLAIM, "check").agg(
+    chosen = marked.groupBy(*CLAIM, "check").agg(
         F.min(F.when(F.col("__keep"), F.col("rpos"))).alias("__first"),
+        F.min_by("params", F.when(F.col("__keep"), F.col("rpos"))).alias("params"),
         F.flatten(F.collect_list("__missing")).alias("__missing"),
         F.collect_list(F.when(judged, F.concat("label", F.lit(" (in "), "column", F.lit(")")))).alias("__labels"),
     )
-    first = marked.select(*CLAIM, F.col("rpos").alias("__first"), "params")
-    chosen = per_check.join(first, [*CLAIM, "__first"], "left")
     kept = chosen.groupBy(*CLAIM).agg(
         F.array_sort(
             F.collect_list(F.when(F.col("__first").isNotNull(), F.struct(F.col("__first").alias("rpos"), "check", F.map_entries("params").alias("params"))))

@@ -6,6 +6,8 @@ comparing settings is a row-local explode and never a self-join.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -84,7 +86,7 @@ def embed_hvg(counts: DataFrame, cells: DataFrame, by: list[str], top: int = 200
         .select(
             "pos",
             (F.col("s1") / n).alias("mu"),
-            F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)).alias("sd"),
+            F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / n) / max(n - 1, 1)).alias("sd"),
         )
         .orderBy("pos")
         .collect()
@@ -100,22 +102,35 @@ def embed_hvg(counts: DataFrame, cells: DataFrame, by: list[str], top: int = 200
 
 
 # --- clustering --------------------------------------------------------------------
+FIT_THREADS = 4  # independent fits submitted side by side, as cross-validation does
+
+
+def _packed(emb: DataFrame) -> DataFrame:
+    return hold(emb.withColumn("__f", array_to_vector("vec")))
+
+
+def _fit(packed: DataFrame, k: int, seed: int, out: str):
+    return KMeans(k=k, seed=seed, featuresCol="__f", predictionCol=out, maxIter=20).fit(packed)
+
+
 def cluster_to_k(emb: DataFrame, k: int, seed: int, out: str = "cluster") -> DataFrame:
     """k groups on an embedding; `emb` has an array column `vec`."""
-    packed = emb.withColumn("__f", array_to_vector("vec"))
-    model = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol=out, maxIter=50).fit(packed)
-    return model.transform(packed).withColumn(out, F.col(out).cast("string")).drop("__f")
+    packed = _packed(emb)
+    return _fit(packed, k, seed, out).transform(packed).withColumn(out, F.col(out).cast("string")).drop("__f")
 
 
 def sweep(emb: DataFrame, settings: list[float], seed: int) -> tuple[DataFrame, str]:
     """Labels at every resolution as one array column `labels`, plus the engine that ran."""
-    emb = hold(emb)
-    n = emb.count()
-    out = emb
-    for i, r in enumerate(settings):
-        out = cluster_to_k(out, k_for(r, n), seed, f"__l{i}")
+    packed = _packed(emb)
+    n = packed.count()
     names = [f"__l{i}" for i in range(len(settings))]
-    return hold(out.withColumn("labels", F.array(*names)).drop(*names)), ENGINE
+    with ThreadPool(FIT_THREADS) as pool:
+        models = pool.map(lambda a: _fit(packed, k_for(a[0], n), seed, a[1]), list(zip(settings, names)))
+    out = packed
+    for model in models:
+        out = model.transform(out)
+    labels = F.array(*[F.col(c).cast("string") for c in names])
+    return hold(out.withColumn("labels", labels).drop("__f", *names)), ENGINE
 
 
 # --- agreement between settings ----------------------------------------------------
@@ -221,7 +236,7 @@ def presence(labels: DataFrame, by: list[str]) -> DataFrame:
         .agg(F.count("*").alias("size"), F.count_if(F.col("tracked")).alias("hit"))
     )
     total = per.groupBy(*by, "setting").agg(F.sum("hit").alias("total"))
-    good = (F.col("total") > 0) & (F.col("hit") / F.col("total") >= 0.5) & (F.col("hit") / F.col("size") >= 0.5)
+    good = (F.col("total") > 0) & F.coalesce(F.try_divide("hit", "total") >= 0.5, F.lit(False)) & (F.col("hit") / F.col("size") >= 0.5)
     return (
         per.join(total, [*by, "setting"])
         .groupBy(*by, "setting")
@@ -342,7 +357,7 @@ def signature_scores(counts: DataFrame, cells: DataFrame, signatures: DataFrame,
         .select(
             *keys,
             "state",
-            ((F.col("hit") / F.col("k") - (F.col("total") - F.col("hit")) / (width - F.col("k"))) / F.col("n")).alias("score"),
+            ((F.col("hit") / F.col("k") - F.coalesce(F.try_divide(F.col("total") - F.col("hit"), width - F.col("k")), F.lit(0.0))) / F.col("n")).alias("score"),
         )
     )
 

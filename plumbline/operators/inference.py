@@ -216,7 +216,7 @@ def demeaned_p(samples: DataFrame, by: list[str], other: str) -> DataFrame:
         .withColumn("dof", F.col("n") - F.col("levels") - 1)
         .withColumn("beta", F.when(F.col("sxx") > 1e-12, F.col("sxy") / F.col("sxx")))
         .withColumn("rss", F.greatest(F.col("syy") - F.col("beta") * F.col("sxy"), F.lit(0.0)))
-        .withColumn("se", F.sqrt(F.col("rss") / F.col("dof") / F.col("sxx")))
+        .withColumn("se", F.when((F.col("dof") > 0) & (F.col("sxx") > 1e-12), F.sqrt(F.col("rss") / F.col("dof") / F.col("sxx"))))
         .withColumn("t", F.when((F.col("dof") > 0) & (F.col("se") > 0), F.col("beta") / F.col("se")))
     )
     p = F.when((F.col("dof") <= 0) | F.col("beta").isNull(), F.lit(None)).when(F.col("se") <= 0, F.lit(1.0)).otherwise(

@@ -181,7 +181,7 @@ def arm_means(moments: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     out = m
     for a in ("ref", "alt"):
         n = F.col(f"n_{a}")
-        out = out.withColumn(f"mean_{a}", F.col(f"s1_{a}") / n).withColumn(
+        out = out.withColumn(f"mean_{a}", F.try_divide(f"s1_{a}", n)).withColumn(
             f"var_{a}", variance_from_sums(F.col(f"s1_{a}"), F.col(f"s2_{a}"), n)
         )
     return out.drop("s1_ref", "s2_ref", "s1_alt", "s2_alt")

@@ -131,12 +131,12 @@ def rank_markers(counts: DataFrame, cells: DataFrame, by: list[str], state: str)
     hist = one_vs_rest(counts, cells, by, state)
     keys = [*by, "level", "gene"]
     sums = hist.groupBy(*keys).agg(
-        (F.sum(F.col("score") * F.col("n1")) / F.sum("n1")).alias("mean_in"),
-        (F.sum(F.col("score") * F.col("n0")) / F.sum("n0")).alias("mean_out"),
+        F.try_divide(F.sum(F.col("score") * F.col("n1")), F.sum("n1")).alias("mean_in"),
+        F.try_divide(F.sum(F.col("score") * F.col("n0")), F.sum("n0")).alias("mean_out"),
     )
     a = auc_from_hist(hist, keys, fold=False).join(sums, keys)
     prod = F.col("n1") * F.col("n0").cast("double")
-    z = (F.col("auc") - 0.5) * prod / F.sqrt(prod * (F.col("n1") + F.col("n0") + 1) / 12.0)
+    z = F.try_divide((F.col("auc") - 0.5) * prod, F.sqrt(prod * (F.col("n1") + F.col("n0") + 1) / 12.0))
     out = (
         a.withColumn("score", z)
         .withColumn("p", normal_pvalue("score"))
@@ -249,9 +249,9 @@ def mean_differences(rows: DataFrame, cells: DataFrame, by: list[str], value: Co
         F.sum(F.when(~inside, F.col("__x") * F.col("__x")).otherwise(0.0)).alias("q0"),
     )
     m = agg.join(sizes, [c for c in by if c in cells.columns])
-    mu1, mu0 = F.col("s1") / F.col("N1"), F.col("s0") / F.col("N0")
-    v1 = F.greatest(F.col("q1") / F.col("N1") - mu1 * mu1, F.lit(0.0))
-    v0 = F.greatest(F.col("q0") / F.col("N0") - mu0 * mu0, F.lit(0.0))
+    mu1, mu0 = F.try_divide("s1", "N1"), F.try_divide("s0", "N0")
+    v1 = F.greatest(F.try_divide("q1", "N1") - mu1 * mu1, F.lit(0.0))
+    v0 = F.greatest(F.try_divide("q0", "N0") - mu0 * mu0, F.lit(0.0))
     return m.select(*by, "gene", (mu1 - mu0).alias("diff"), F.sqrt((v1 + v0) / 2).alias("pooled"))
 
 

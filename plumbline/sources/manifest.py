@@ -58,7 +58,7 @@ def read_cases(spark: SparkSession, path: str, defaults: dict[str, float] | None
     fields = [pick(names).alias(field) for field, names in ALIASES.items() if field != "markers"]
     raw = pick(ALIASES["markers"])
     listed_markers = F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")).otherwise(
-        F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+        F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
     )
     knobs = [
         F.coalesce(pick(names).try_cast("double"), F.lit((defaults or {}).get(k)).cast("double")).alias(k)
