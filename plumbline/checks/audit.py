@@ -16,7 +16,7 @@ from plumbline.dataset import Claim, Dataset, Design
 from plumbline.functions.labels import p_text
 from plumbline.operators.claims import DEFAULTS
 from plumbline.operators.profile import resolve_fields, role_map
-from plumbline.session import hold
+from plumbline.session import hold, scope
 
 REGISTRY = {
     c.id: c
@@ -99,7 +99,8 @@ def run_check(check: int, ds: Dataset, design: Design, claim: Claim, safe: bool
     """One finding; with `safe`, a failure becomes a flag_only row and never a number."""
     started = time.time()
     try:
-        found = REGISTRY[check].run(ds, design, claim)
+        with scope():
+            found = REGISTRY[check].run(ds, design, claim)
     except Exception as exc:
         if not safe:
             raise
@@ -110,7 +111,11 @@ def run_check(check: int, ds: Dataset, design: Design, claim: Claim, safe: bool
 
 def audit(ds: Dataset, order: str, analysis: dict | None = None, fields: DataFrame | None = None, checks=None):
     """(fields, findings) of every applicable check in id order."""
-    analysis = analysis or {}
+    with scope():
+        return _audit(ds, order, analysis or {}, fields, checks)
+
+
+def _audit(ds, order, analysis, fields, checks):
     fields = hold(fields if fields is not None else resolve_fields(ds.cells, order))
     roles = role_map(fields)
     shared = Dataset(hold(ds.cells), None if ds.counts is None else hold(ds.counts), ds.features, ds.embedding, ds.stored)

@@ -193,5 +193,7 @@ def count_rows(ds: Dataset) -> DataFrame | None:
 
     if ds.counts is None:
         return None
-    source = find_counts(ds.counts).first()["source"]
+    if "layer" not in ds.located:
+        ds.located["layer"] = find_counts(ds.counts).first()["source"]
+    source = ds.located["layer"]
     return None if source is None else ds.counts.filter(F.col("layer") == source)

@@ -53,6 +53,7 @@ class Dataset:
     embedding: DataFrame | None = None
     stored: DataFrame | None = None
     roles: dict[str, str] = field(default_factory=dict)
+    located: dict = field(default_factory=dict, repr=False)  # the raw-count layer, once found
 
 
 @dataclass(frozen=True)

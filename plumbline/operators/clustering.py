@@ -200,7 +200,7 @@ def silhouette(labels: DataFrame, settings: int, seed: int = 0, sample: int = SI
 
         for pdf in batches:
             mine = np.array(pdf["vec"].tolist(), dtype=float)
-            dist = np.sqrt(((mine[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+            dist = np.vstack([np.sqrt(((points[None, :, :] - part[:, None, :]) ** 2).sum(axis=2)) for part in np.array_split(mine, -(-len(mine) // 32))])
             for s, (names, code) in enumerate(codes):
                 size = np.bincount(code, minlength=len(names)).astype(float)
                 sums = np.stack([dist[:, code == c].sum(axis=1) for c in range(len(names))], axis=1)

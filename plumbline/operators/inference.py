@@ -143,6 +143,9 @@ def volcano(tests: DataFrame, by: list[str], claimed: DataFrame, alpha: float, l
     )
 
 
+MAX_LEVELS = 64
+
+
 # --- least squares -----------------------------------------------------------------
 def ols_p(rows: DataFrame, by: list[str], y: Column, xs: list[Column], coef: int, out: str = "p") -> DataFrame:
     """Two-sided p of one coefficient of y ~ xs, per group, from summed cross-products.
@@ -166,8 +169,14 @@ def ols_p(rows: DataFrame, by: list[str], y: Column, xs: list[Column], coef: int
 
 
 def factor_levels(rows: DataFrame, factor: str) -> list[str]:
-    """Ordered levels of a design factor; the model is one column per level, so they are few."""
-    return [r[0] for r in rows.select(F.col(factor).cast("string")).distinct().orderBy(factor).collect()]
+    """Ordered levels of a design factor; the model has one column per level, so they must be few.
+
+    `demeaned_p` fits a single categorical with any number of levels.
+    """
+    levels = [r[0] for r in rows.select(F.col(factor).cast("string").alias("v")).distinct().orderBy("v").limit(MAX_LEVELS + 1).collect()]
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"{factor} has more than {MAX_LEVELS} levels")
+    return levels
 
 
 def dummies(factor: str, levels: list[str]) -> list[Column]:

@@ -7,8 +7,11 @@ measured size allows and otherwise shuffles.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.stats import variance_from_sums
 from plumbline.operators.ordered import attach, top_k
@@ -350,16 +353,23 @@ def icc(rows: DataFrame, by: list[str], unit: str, value: str) -> DataFrame:
 
 
 def to_vectors(rows: DataFrame, genes: DataFrame, value: str) -> DataFrame:
-    """Sparse ML vectors per cell over features numbered by `pos`; width is the feature count."""
+    """ML vectors per cell over features numbered by `pos`; a cell holds at most one row per feature."""
     from pyspark.ml.functions import array_to_vector
 
     width = genes.count()
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scatter(pos: pd.Series, val: pd.Series) -> pd.Series:
+        out = np.zeros((len(pos), width))
+        for i, (p, v) in enumerate(zip(pos, val)):
+            out[i, p] = v
+        return pd.Series(list(out))
+
     order = genes.select("gene", F.col("pos").cast("int").alias("pos"))
     packed = rows.join(order, "gene").groupBy("cell_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", F.col(value).cast("double")))).alias("__m")
+        F.collect_list(F.struct("pos", F.col(value).cast("double").alias("val"))).alias("__m")
     )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0)))
-    return packed.select("cell_id", array_to_vector(dense).alias("vec"))
+    return packed.select("cell_id", array_to_vector(scatter("__m.pos", "__m.val")).alias("vec"))
 
 
 def to_long(vectors: DataFrame) -> DataFrame:

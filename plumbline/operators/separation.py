@@ -65,18 +65,14 @@ def gene_auc(
     `sizes` has N1 and N0 cells per `size_keys` (all of `by` unless given).
     """
     keys = [*by, "gene"]
-    hist = (
+    seen = hold(
         rows.withColumn("score", score)
-        .filter(F.col("score") != 0)
         .groupBy(*keys, "score")
-        .agg(
-            F.count_if(F.col("member")).alias("n1"),
-            F.count_if(~F.col("member")).alias("n0"),
-        )
-    )
-    genes = rows.groupBy(*keys).agg(
-        F.count_if(F.col("member") & (score != 0)).alias("__k1"), F.count_if(~F.col("member") & (score != 0)).alias("__k0")
+        .agg(F.count_if(F.col("member")).alias("n1"), F.count_if(~F.col("member")).alias("n0"))
     )
+    hist = seen.filter(F.col("score") != 0)
+    count = lambda c: F.sum(F.when(F.col("score") != 0, F.col(c)).otherwise(0))
+    genes = seen.groupBy(*keys).agg(count("n1").alias("__k1"), count("n0").alias("__k0"))
     zeros = genes.join(sizes, size_keys or by).select(
         *keys,
         F.lit(0.0).alias("score"),
@@ -98,7 +94,7 @@ def one_vs_rest(counts: DataFrame, cells: DataFrame, by: list[str], state: str)
     The rest is the all-cell histogram minus the level's, so no row is repeated per level.
     """
     rows = measured(counts, cells, [*by, state]).withColumn("score", log1p_counts(F.col("value"))).filter("score > 0")
-    level_hist = rows.groupBy(*by, F.col(state).alias("level"), "gene", "score").agg(F.count("*").alias("n1"))
+    level_hist = hold(rows.groupBy(*by, F.col(state).alias("level"), "gene", "score").agg(F.count("*").alias("n1")))
     all_hist = level_hist.groupBy(*by, "gene", "score").agg(F.sum("n1").alias("nall"))
     levels = cells.groupBy(*by, F.col(state).alias("level")).agg(F.count("*").alias("size"))
     total = levels.groupBy(*by).agg(F.sum("size").alias("cells"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +46,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a reused intermediate; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _scopes:
+        _scopes[-1].append(kept)
+    return kept
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+@contextmanager
+def scope():
+    """Frees what was held inside once the results have become plain values."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            df.unpersist()
