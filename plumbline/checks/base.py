@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.dataset import Claim, Dataset, Design
+from plumbline.dataset import Claim, Dataset, Design, case_key
 from plumbline.functions.labels import column
 from plumbline.session import hold
 
@@ -164,7 +164,7 @@ def detail(df: DataFrame) -> list[dict] | None:
 
 def unit_cells(ds: Dataset, group: str, unit: str | None, *extra: str) -> DataFrame:
     """The cell columns a check needs, roles renamed; nothing else is read."""
-    cols = [F.col("case_id") if "case_id" in ds.cells.columns else F.lit("case").alias("case_id"), F.col("cell_id")]
+    cols = [F.col("case_id") if "case_id" in ds.cells.columns else case_key("case", "cell_id").alias("case_id"), F.col("cell_id")]
     cols.append(F.col(group).cast("string").alias("grp"))
     cols.append((F.col(unit) if unit else F.lit("all")).cast("string").alias("unit"))
     if "library" in ds.cells.columns:

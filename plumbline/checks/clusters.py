@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.checks import base
 from plumbline.checks.base import BY, Check, Finding
 from plumbline.checks.replicate import has
-from plumbline.dataset import Claim, Dataset, Design
+from plumbline.dataset import Claim, Dataset, Design, case_key
 from plumbline.operators import clustering as clu
 from plumbline.operators import separation as sep
 from plumbline.session import hold
@@ -33,7 +33,7 @@ def embedding_of(ds: Dataset, counts: DataFrame | None) -> DataFrame | None:
         return None
     genes = _features(ds, counts)
     if genes.count() > clu.MAX_DENSE_FEATURES:
-        keyed = ds.cells.withColumn("case_id", F.lit("case")).select("case_id", "cell_id")
+        keyed = ds.cells.withColumn("case_id", case_key("case", "cell_id")).select("case_id", "cell_id")
         return clu.embed_hvg(counts, keyed, BY)
     return clu.embed(counts, ds.cells.select("cell_id"), genes)
 
@@ -55,7 +55,7 @@ class DoubleDipping(Check):
         if counts is None:
             return Finding(2, base.FLAG_ONLY, "Count splitting needs raw counts.", feasibility=base.NEEDS_DATA)
         cells = ds.cells.select("cell_id", (F.col(group).cast("string") if has(ds, group) else F.lit(None).cast("string")).alias("level"))
-        cells = hold(cells.withColumn("case_id", F.lit("case")))
+        cells = hold(cells.withColumn("case_id", case_key("case", "cell_id")))
         n = cells.count()
         if not sep.holdout_guard(n, split):
             return Finding(2, base.FLAG_ONLY, "The held-out half is too small to judge.", feasibility=base.NEEDS_DATA)
@@ -110,7 +110,7 @@ class Fragility(Check):
             return Finding(3, base.FLAG_ONLY, "There is nothing to cluster.", feasibility=base.NEEDS_DATA)
         column = clu.find_track_column(ds.cells, track) if track else None
         labels, engine = clu.sweep(emb, grid, seed)
-        labels = labels.withColumn("case_id", F.lit("case"))
+        labels = labels.withColumn("case_id", case_key("case", "cell_id"))
         numbers, name = {}, f"'{track}'" if column else "the clustering"
         if column:
             tracked = ds.cells.select("cell_id", (F.col(column).cast("string") == str(track)).alias("tracked"))
@@ -156,9 +156,9 @@ class ResolutionChoice(Check):
         if emb is None:
             return Finding(7, base.FLAG_ONLY, "There is nothing to cluster.")
         labels, engine = clu.sweep(emb, grid, seed)
-        labels = labels.withColumn("case_id", F.lit("case"))
+        labels = labels.withColumn("case_id", case_key("case", "cell_id"))
         if criterion == "silhouette":
-            scores = clu.silhouette(labels, len(grid), seed).withColumn("case_id", F.lit("case"))
+            scores = clu.silhouette(labels, len(grid), seed).withColumn("case_id", case_key("case", "setting"))
         else:
             scores = clu.ari_by_setting(clu.adjacent_ari(labels, BY, len(grid)), BY)
         scores = hold(scores)

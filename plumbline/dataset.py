@@ -9,9 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+def case_key(name: str, anchor: str) -> Column:
+    """A constant case id that stays data.
+
+    A literal key would be folded away and turn every per-case join into an unkeyed one, so
+    the key borrows an empty piece of a row's own column.
+    """
+    return F.concat(F.lit(name), F.substring(F.coalesce(F.col(anchor).cast("string"), F.lit("")), 1, 0))
+
 COUNTS = T.StructType(
     [
         T.StructField("cell_id", T.StringType()),

@@ -107,7 +107,8 @@ def fdr(tests: DataFrame, by: list[str], method: str = "bh", p: str = "p", out:
     hist = hold(tests.filter(ok).groupBy(*by, p).agg(F.count("*").alias("__n")))
     blocks = ordered.blocks_for(hist, by)
     m = hist.groupBy(*by).agg(F.sum("__n").alias("__m"))
-    curve = ordered.running_sum(hist, by, p, {"__rank": "__n"}, blocks).join(m, by)
+    curve = ordered.running_sum(hist, by, p, {"__rank": "__n"}, blocks)
+    curve = curve.join(m, by) if blocks == 1 else ordered.attach(curve, m, by)
     c = harmonic(F.col("__m")) if method == "by" else F.lit(1.0)
     curve = curve.withColumn("__raw", F.col(p) * F.col("__m") * c / F.col("__rank"))
     if blocks > 1:

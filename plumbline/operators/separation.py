@@ -99,8 +99,7 @@ def one_vs_rest(counts: DataFrame, cells: DataFrame, by: list[str], state: str)
     levels = cells.groupBy(*by, F.col(state).alias("level")).agg(F.count("*").alias("size"))
     total = levels.groupBy(*by).agg(F.sum("size").alias("cells"))
     pairs = (
-        level_hist.select(*by, "level").distinct()
-        .join(all_hist, by)
+        ordered.attach(all_hist, level_hist.select(*by, "level").distinct(), by)
         .join(level_hist, [*by, "level", "gene", "score"], "left")
         .withColumn("n1", F.coalesce("n1", F.lit(0)))
         .withColumn("n0", F.col("nall") - F.col("n1"))

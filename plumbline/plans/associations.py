@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.dataset import case_key
 from plumbline.operators import association as asc
 from plumbline.operators import inference as inf
 from plumbline.operators import reduce as red
@@ -143,7 +144,7 @@ def ols_adjusted_priority(spark, sf):
 def agreement_with_other_segment(spark, sf):
     counts = views.brand_counts(spark, sf)
     _, _, kept = arms_and_kept(spark, sf)
-    t = inf.welch_by_gene(counts, kept, ["segment"], red.log1p_counts(F.col("value"))).withColumn("case_id", F.lit("x"))
+    t = inf.welch_by_gene(counts, kept, ["segment"], red.log1p_counts(F.col("value"))).withColumn("case_id", case_key("x", "gene"))
     a, b = t.filter("segment = 'AUTOMOBILE'"), t.filter("segment = 'BUILDING'")
     out = inf.agreement(a, b, BY)
     return out.select(

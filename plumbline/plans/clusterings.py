@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.dataset import case_key
 from plumbline.operators import clustering as clu
 from plumbline.operators import ordered
 from plumbline.operators import reduce as red
@@ -208,7 +209,7 @@ def spurious_groups(spark, sf):
     halves = {}
     for half in ("train", "test"):
         rows = thinned.select("cell_id", "gene", F.col(half).cast("double").alias("value"))
-        hist = sep.one_vs_rest(rows, groups.withColumn("case_id", F.lit("orders")), BY, "cluster")
+        hist = sep.one_vs_rest(rows, groups.withColumn("case_id", case_key("orders", "cell_id")), BY, "cluster")
         halves[half] = sep.auc_from_hist(hist, [*BY, "level", "gene"])
     joined = halves["train"].select(*BY, "level", "gene", F.col("auc").alias("disc")).join(
         halves["test"].select(*BY, "level", "gene", F.col("auc").alias("hold")), [*BY, "level", "gene"]

@@ -342,7 +342,7 @@ def first_values_per_source(spark, sf):
 
 @query("dataset_inventory", base(ROLE_CELLS, PROFILE, TYPED, LAYERS) + """SELECT (SELECT COUNT(*) FROM rc) AS n_cells, (SELECT COUNT(DISTINCT p_brand) FROM part) AS n_genes, (SELECT string_agg(col, ',' ORDER BY pos) FROM pf) AS columns,
  (SELECT string_agg(col, ',' ORDER BY pos) FROM lv WHERE dtype='categorical' AND levels BETWEEN 2 AND 100 AND """ + words_sql(L.DERIVED_WORDS) + """) AS cluster_fields, 'umi' AS counts_source, true AS has_raw_counts,
- (SELECT string_agg(DISTINCT layer, ',' ORDER BY layer) FROM layers) AS layers, CAST(25 AS BIGINT) AS stored""")
+ (SELECT string_agg(DISTINCT layer, ',' ORDER BY layer) FROM layers) AS layers, (SELECT COUNT(DISTINCT s_nationkey) FROM lineitem JOIN supplier ON l_suppkey=s_suppkey) AS stored""")
 def dataset_inventory(spark, sf):
     typed = pro.column_dtypes(pro.profile_columns(role_cells(spark, sf), "row", COLS))
     st = inv.classify_stored(stored_results(spark, sf))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.dataset import case_key
 from plumbline.operators import ordered
 from plumbline.operators import reduce as red
 from plumbline.operators import separation as sep
@@ -157,7 +158,7 @@ def claimed_markers(spark, sf):
     dear = p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("m"))
     top = dear.orderBy(F.desc(F.round("m", 6)), "p_brand").limit(5).select(F.col("p_brand").alias("gene"))
     ghost = p.agg(F.concat(F.lit("Brand#"), (F.count("*") + 1000).cast("string")).alias("gene"))
-    return top.unionByName(ghost).withColumn("case_id", F.lit("orders"))
+    return top.unionByName(ghost).withColumn("case_id", case_key("orders", "gene"))
 
 
 CLAIMED = """claimed AS (SELECT gene FROM (SELECT p_brand AS gene FROM part GROUP BY 1 ORDER BY round(AVG(p_retailprice), 6) DESC, p_brand LIMIT 5)

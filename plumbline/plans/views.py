@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.dataset import Dataset
+from plumbline.dataset import Dataset, case_key
 from plumbline.session import hold
 
 
@@ -26,7 +26,7 @@ def order_cells(spark: SparkSession, sf: str) -> DataFrame:
         .join(n, c.c_nationkey == n.n_nationkey)
         .join(r, n.n_regionkey == r.r_regionkey)
         .select(
-            F.lit("orders").alias("case_id"),
+            case_key("orders", "o_orderstatus").alias("case_id"),
             F.col("o_orderkey").cast("string").alias("cell_id"),
             F.col("n_name").alias("unit"),
             F.col("r_name").alias("region"),
@@ -71,7 +71,7 @@ def order_dataset(spark: SparkSession, sf: str) -> Dataset:
 def crossed_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items: supplier units crossed with the return flag, line status technical."""
     return table(spark, sf, "lineitem").select(
-        F.lit("items").alias("case_id"),
+        case_key("items", "l_returnflag").alias("case_id"),
         F.col("l_suppkey").cast("string").alias("unit"),
         F.col("l_returnflag").alias("flag"),
         F.col("l_linestatus").alias("linestatus"),
@@ -85,7 +85,7 @@ def crossed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def embedding(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
-        F.lit("vectors").alias("case_id"),
+        case_key("vectors", "vec_id").alias("case_id"),
         F.col("vec_id").cast("string").alias("cell_id"),
         "vec_id",
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
@@ -107,4 +107,4 @@ def settings_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_labels(spark: SparkSession, sf: str) -> DataFrame:
     d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return d.select("doc_id", "lang", "source", "n_chars").join(l, "doc_id").withColumn("case_id", F.lit("documents"))
+    return d.select("doc_id", "lang", "source", "n_chars").join(l, "doc_id").withColumn("case_id", case_key("documents", "lang"))

@@ -39,6 +39,9 @@ def rows_of(names, rows):
 def compare(spark, con, name, plan, sql, sf):
     t0 = time.time()
     df = plan(spark, sf)
+    plan_text = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan_text or "BroadcastNestedLoopJoin" in plan_text:
+        return "PLAN pairs every row of two tables", time.time() - t0, 0.0
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     if sql is None:
