@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, langid, tokens
+from plumbline.llm import exact, jaccard, langid, tokens
 from plumbline.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op5_token_counts(spark, sf):
 
     counts = tokens.token_counts(read(spark, sf, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query
+def op7_ngram_jaccard(spark, sf):
+    return jaccard.near_duplicates(read(spark, sf, "documents"))
