@@ -19,28 +19,28 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import keep, lookup, small
-from plumbline.llm.shingles import SIZE, Words, set_key, shingles
+from plumbline.llm.shingles import SIZE, set_key, shingles
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 FRAGMENTS = 8
 #: Cells of the count sketch, a fixed size, sent in slices.
-CELLS, SLICE = 1 << 21, 1 << 16
+CELLS, SLICE = 1 << 22, 1 << 17
 #: Rounds of one pair per bucket member before all missing pairs are listed.
 STAR_ROUNDS = 6
 
 
 def _profile(size: int):
     def run(batches):
-        known, sketch, seen = Words(), np.zeros(CELLS, np.int64), set()
+        sketch, seen = np.zeros(CELLS, np.int32), set()
         for batch in batches:
             n, key = [], []
             for text in batch.column(1):
-                grams = shingles(text.as_py(), known, size)
+                grams = shingles(text.as_py(), size)
                 n.append(len(grams))
                 key.append(set_key(grams) if len(grams) else None)
                 if key[-1] not in seen:
@@ -62,7 +62,7 @@ def _add_slices(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(part.as_py()), np.int64)
+            sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(part.as_py()), np.int32).astype(np.int64)
     for i, cells in sums.items():
         yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], names=["slice", "cells"])
 
@@ -76,23 +76,24 @@ def global_ranks(profiles: DataFrame) -> np.ndarray:
     sketch = np.zeros(CELLS, np.int64)
     for i, cells in parts.collect():
         sketch[i * SLICE : (i + 1) * SLICE] = np.frombuffer(zlib.decompress(cells), np.int64)
-    usual = 4 * sketch.mean() + 16
+    mean = sketch.mean()
+    usual = mean + 4 * mean**0.5 + 4  # what rare shingles that share a cell add up to, with room for chance
     return np.ceil(np.log2(np.maximum(sketch / usual, 1))).astype(np.uint8)
 
 
 def _ordered(grams: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = ranks[(grams % np.uint64(CELLS)).astype(np.int64)]
-    at = np.lexsort((grams, rank))
+    at = np.argsort(rank, kind="stable")  # the shingles come sorted by hash
     return grams[at], rank[at]
 
 
 def _entries(shared, size: int, threshold: int):
     def run(batches):
-        ranks, known, seen = shared.value, Words(), set()
+        ranks, seen = shared.value, set()
         for batch in batches:
             gs, cs, ns, ps, hs = [], [], [], [], []
             for text in batch.column(0):
-                grams = shingles(text.as_py(), known, size)
+                grams = shingles(text.as_py(), size)
                 if not len(grams) or (key := set_key(grams)) in seen:
                     continue
                 seen.add(key)
@@ -150,19 +151,13 @@ def _buckets(batches):
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g", "cls", "n", "pos", "cls2", "n2", "pos2", "pair"])
 
 
-def may_link(n: str, pos: str, n2: str, pos2: str, threshold: int) -> Column:
-    """Whether sets of these sizes that first share a shingle at these places can reach the threshold."""
-    least = F.ceil(F.lit(threshold) * (F.col(n) + F.col(n2)) / F.lit(100 + threshold))
-    return F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= least
-
-
 def _segments(shared, size: int, fragments: int):
     def run(batches):
-        ranks, known = shared.value, Words()
+        ranks = shared.value
         for batch in batches:
             keys, frags, parts = [], [], []
             for text in batch.column(0):
-                grams = shingles(text.as_py(), known, size)
+                grams = shingles(text.as_py(), size)
                 key = set_key(grams)
                 grams, rank = _ordered(grams, ranks)
                 cold = (grams // np.uint64(2**64 // (fragments - 1) + 1)).astype(np.int64)
@@ -225,59 +220,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sent = rows.select("text").mapInArrow(_entries(ranks, size, threshold), "g long, cls long, n int, pos int, hot boolean")
     place = F.when(F.col("hot"), F.xxhash64("g", "cls")).otherwise(F.col("g"))
-    sorted_ = sent.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("hot", "g", "pos", "cls")
+    sorted_ = sent.repartition(place).sortWithinPartitions("hot", "g", "pos", "cls")
     met = keep(sorted_.mapInArrow(_buckets, "g long, cls long, n int, pos int, cls2 long, n2 int, pos2 int, pair boolean"), "met")
     bucketed = met.where("not pair").select("g", "cls", "n", "pos").distinct()
     bucketed = keep(bucketed.join(classes, "cls"), "bucketed")
 
+    least = lambda n, n2: F.ceil(F.lit(threshold) * (F.col(n) + F.col(n2)) / F.lit(100 + threshold))
+
     def ordered(pairs: DataFrame) -> DataFrame:
         first = F.col("cls") < F.col("cls2")
         pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-        fit = pairs.where((F.col("cls") != F.col("cls2")) & may_link("n", "pos", "n2", "pos2", threshold))
+        # Sets that first share a shingle at these places hold at most what follows in common.
+        fit = pairs.where((F.col("cls") != F.col("cls2")) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= least("n", "n2")))
         return fit.select(pick("cls", "cls2").alias("a"), pick("n", "n2").alias("na"), pick("cls2", "cls").alias("b"), pick("n2", "n").alias("nb")).distinct()
 
     def star(open_: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each bucket's chosen class with the others: the best placed at first, then any."""
+        """Each bucket's classes beside its chosen class: the best placed at first, then any."""
         lead = F.struct("pos", "cls", "n") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "pos")
-        lead = keep(open_.groupBy("g").agg(F.min(lead).alias("p")).select("g", F.col("p.cls").alias("cls2"), F.col("p.n").alias("n2"), F.col("p.pos").alias("pos2")), "lead")
-        return open_.join(lead, "g")
-
-    def verify(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = keep(pairs, "pairs")
-        wanted = keep(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select(F.col("rep").alias("id")), "wanted")
-        texts = rows.join(small(wanted), "id", "left_semi").select("text")
-        segments = texts.mapInArrow(_segments(ranks, size, fragments), "cls long, frag int, seg array<long>")
-        segments = keep(segments, "segments")
-        hits = overlaps(pairs, segments).where(F.col("common") * (100 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb")))
-        named = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias("v" if x == "a" else "w"))
-        return pairs, hits.join(named("a"), "a").join(named("b"), "b").select("v", "w")
+        lead = open_.groupBy("g").agg(F.min(lead).alias("p")).select("g", F.col("p.cls").alias("cls2"), F.col("p.n").alias("n2"), F.col("p.pos").alias("pos2"))
+        return open_.join(keep(lead, "lead"), "g")
 
     cold = met.where("pair").select("cls", "n", "pos", "cls2", "n2", "pos2")
-    pairs, links = verify(ordered(cold.unionByName(star(bucketed, 0).select(*cold.columns))))
-    links, checked = keep(links, "links"), pairs.select("a", "b")
-    turn = 0
+    enough = F.col("common") * (100 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))
+    ends = lambda x, v: classes.select(F.col("cls").alias(x), F.col("rep").alias(v))
+
+    def cut(pairs: DataFrame, but: DataFrame | None) -> DataFrame:
+        """Segments of the classes of some pairs, but for those at hand."""
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
+        wanted = keep(wanted if but is None else wanted.join(but.select("cls").distinct(), "cls", "left_anti"), "wanted")
+        texts = rows.join(small(wanted.select(F.col("rep").alias("id"))), "id", "left_semi").select("text")
+        return keep(texts.mapInArrow(_segments(ranks, size, fragments), "cls long, frag int, seg array<long>"), "segments")
+
+    pairs = keep(ordered(cold.unionByName(star(bucketed, 0).select(*cold.columns))), "pairs")
+    segments = cut(pairs, None)
+    counted = keep(overlaps(pairs, segments), "counted")
+    turn, last = 0, False
     while True:
+        links = keep(counted.where(enough).join(ends("a", "v"), "a").join(ends("b", "w"), "b").select("v", "w"), "links")
         labels = components(links)
+        if last:
+            break
         named = bucketed.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
         mixed = keep(mixed.select("g", "m"), "mixed")
-        open_ = keep(named.join(mixed, "g"), "open")
-        listed = mixed.agg(F.sum(F.col("m").cast("double") * F.col("m")), F.sum("m")).first()
-        if not listed[0]:
+        squares, entries = mixed.agg(F.sum(F.col("m").cast("double") * F.col("m")), F.sum("m")).first()
+        if not entries:
             break
+        open_ = keep(named.join(mixed, "g"), "open")
         turn += 1
-        last = turn > STAR_ROUNDS or listed[0] <= 64 * listed[1]
+        last = turn > STAR_ROUNDS or squares <= 64 * entries
         if last:
-            other = open_.select("g", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+            other = open_.select("g", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "comp")])
             more = open_.join(other, "g").where("cls < cls2 and comp <> comp2")
         else:
             more = star(open_, turn)
-        more = ordered(more).join(checked, ["a", "b"], "left_anti")
-        pairs, found = verify(more)
-        links, checked = keep(links.union(found), "links"), checked.union(pairs.select("a", "b"))
-        if last:
-            labels = components(links)
-            break
+        more = keep(ordered(more).join(counted.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        segments = segments.union(cut(more, segments))
+        counted = keep(counted.union(overlaps(more, segments)), "counted")
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
     # A class may hold a third of all rows: those of large classes meet a broadcast row instead of a shuffle.
     sizes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("weight"))

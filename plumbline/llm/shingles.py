@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 SIZE = 5
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# ASCII white space, and the lower-case form of ASCII letters.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -18,35 +20,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Words(dict):
-    """Word to 64-bit hash, remembered while there is room."""
-
-    ROOM = 1 << 18
+#: One 64-bit value for each byte, the same for both cases of a letter.
+_BYTE = mix((_LOWER + 1).astype(np.uint64) * _BASE)
+_POWER = np.cumprod(np.full(256, _BASE, np.uint64))
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) >= self.ROOM:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a text in order: a polynomial over its bytes, ASCII letters lower-cased."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = ~_SPACE[data]
+    edge = np.diff(inside, prepend=False, append=False)
+    at = np.flatnonzero(edge)
+    starts, ends = at[::2], at[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    longest = int(sizes.max())
+    power = _POWER if longest <= len(_POWER) else np.cumprod(np.full(longest, _BASE, np.uint64))
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data))) if starts[0] == 0 else None
+    if place is None:
+        place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], np.diff(starts, append=len(data)))
+        data, inside = data[starts[0] :], inside[starts[0] :]
+    value = np.where(inside, _BYTE[data] * power[np.minimum(place, longest - 1)], np.uint64(0))
+    return mix(np.add.reduceat(value, starts - starts[0]) + sizes.astype(np.uint64))
 
 
-def shingles(text: str | None, known: Words, size: int = SIZE) -> np.ndarray:
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """Distinct hashed shingles of `size` lower-cased words, sorted; a shorter text is one shingle."""
-    words = _WORD.findall((text or "").translate(_LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
+    size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
+        out = (out ^ (out >> np.uint64(32))) * _BASE + h[i : len(h) - size + 1 + i]
+    out = mix(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def set_key(grams: np.ndarray) -> int:
     """A signed 64-bit key of the set as a whole."""
-    with np.errstate(over="ignore"):
-        total = mix(grams + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+    total = mix(grams + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
     return int((total + np.uint64(len(grams))).astype(np.int64))
