@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, jaccard, langid, tokens
+from plumbline.llm import exact, html, jaccard, langid, mixing, packing, tokens, toxicity, warc
 from plumbline.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op2_language_id(spark, sf):
     return langid.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
+@query
+def op3_source_mixing(spark, sf):
+    return mixing.taken_words(mixing.mix(read(spark, sf, "documents")))
+
+
 @query
 def op5_token_counts(spark, sf):
     import public_tokenizers
@@ -48,6 +53,42 @@ def op5_token_counts(spark, sf):
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query
+def op6_warc(spark, sf):
+    return warc.round_trip(read(spark, sf, "pages"))
+
+
+SQL["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), h AS (SELECT *, sha1(body) AS digits FROM p)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(digits, 1 + 5 * (k // 4), 5))::BIGINT >> (5 * (3 - k % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM h
+"""
+
+
 @query
 def op7_ngram_jaccard(spark, sf):
     return jaccard.near_duplicates(read(spark, sf, "documents"))
+
+
+@query
+def op8_best_fit_packing(spark, sf):
+    return packing.packed_documents(read(spark, sf, "documents"))
+
+
+@query
+def op9_toxicity(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 4) != 2))
+    return toxicity.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+@query
+def op10_html_text(spark, sf):
+    return html.main_texts(read(spark, sf, "pages"))
