@@ -8,7 +8,8 @@ global order, frequent ones last, which is cut into fragments.
    first quarter of both. Each class sends those shingles; classes that meet in one are candidates.
    A bucket of m classes sends m - 1 pairs, each with the bucket's best-placed class, not all m * m.
 3. `overlaps`: the sets of candidate classes are cut into the fragments; per pair and fragment the
-   partial overlap is counted, and summed per pair.
+   partial overlap is counted, and summed per pair. The first fragments show what a pair has lost
+   already; only pairs that can still reach the threshold go through the others.
 4. Components of the links found. Buckets that now lie in one component need nothing more. For the
    others the missing pairs between components follow, so no link between components is lost.
 """
@@ -27,9 +28,10 @@ from plumbline.llm.shingles import SIZE, set_key, shingles
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-FRAGMENTS = 8
+#: Fragments of the order, and how many of them are counted before pairs that cannot reach the threshold go.
+FRAGMENTS, FIRST = 16, 3
 #: Cells of the count sketch, a fixed size, sent in slices.
-CELLS, SLICE = 1 << 22, 1 << 17
+CELLS, SLICE = 1 << 23, 1 << 18
 #: Rounds of one pair per bucket member before all missing pairs are listed.
 STAR_ROUNDS = 6
 
@@ -151,7 +153,9 @@ def _buckets(batches):
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g", "cls", "n", "pos", "cls2", "n2", "pos2", "pair"])
 
 
-def _segments(shared, size: int, fragments: int):
+def _segments(shared, size: int, fragments: int, lo: int, hi: int):
+    """Sets cut into fragments lo..hi-1: ranges of the hash for the common run, the last for frequent shingles."""
+
     def run(batches):
         ranks = shared.value
         for batch in batches:
@@ -162,7 +166,7 @@ def _segments(shared, size: int, fragments: int):
                 grams, rank = _ordered(grams, ranks)
                 cold = (grams // np.uint64(2**64 // (fragments - 1) + 1)).astype(np.int64)
                 frag = np.where(rank > 0, fragments - 1, cold)
-                for f in np.unique(frag):
+                for f in np.unique(frag[(frag >= lo) & (frag < hi)]):
                     keys.append(key)
                     frags.append(int(f))
                     parts.append(grams[frag == f].view(np.int64))
@@ -173,13 +177,17 @@ def _segments(shared, size: int, fragments: int):
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Common shingles of each pair (a, na, b, nb): partial overlaps by fragment, summed per pair."""
+    """For each pair (a, na, b, nb): common shingles, and those of either side that the other lacks.
+
+    Partial counts by fragment, summed per pair; pairs that share no fragment do not appear.
+    """
     left = segments.select(F.col("cls").alias("a"), "frag", F.col("seg").alias("sa"))
     right = segments.select(F.col("cls").alias("b"), "frag", F.col("seg").alias("sb"))
     met = pairs.join(left, "a").join(right, ["b", "frag"])
-    pair = ["a", "na", "b", "nb"]
-    partial = met.groupBy(*pair, "frag").agg(F.max(F.size(F.array_intersect("sa", "sb"))).alias("part"))  # a repeated row counts once
-    return partial.groupBy(*pair).agg(F.sum("part").alias("common"))
+    pair, part = ["a", "na", "b", "nb"], F.size(F.array_intersect("sa", "sb"))
+    partial = met.select(*pair, "frag", part.alias("part"), F.size("sa").alias("la"), F.size("sb").alias("lb")).dropDuplicates([*pair, "frag"])  # a repeated row counts once
+    sums = partial.groupBy(*pair).agg(F.sum("part").alias("common"), F.sum("la").alias("la"), F.sum("lb").alias("lb"))
+    return sums.select(*pair, "common", (F.col("la") - F.col("common")).alias("lost_a"), (F.col("lb") - F.col("common")).alias("lost_b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,16 +252,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     enough = F.col("common") * (100 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))
     ends = lambda x, v: classes.select(F.col("cls").alias(x), F.col("rep").alias(v))
 
-    def cut(pairs: DataFrame, but: DataFrame | None) -> DataFrame:
-        """Segments of the classes of some pairs, but for those at hand."""
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls")
-        wanted = keep(wanted if but is None else wanted.join(but.select("cls").distinct(), "cls", "left_anti"), "wanted")
-        texts = rows.join(small(wanted.select(F.col("rep").alias("id"))), "id", "left_semi").select("text")
-        return keep(texts.mapInArrow(_segments(ranks, size, fragments), "cls long, frag int, seg array<long>"), "segments")
+    def cut(pairs: DataFrame, lo: int, hi: int) -> DataFrame:
+        """Some fragments of the sets of the paired classes."""
+        wanted = keep(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select(F.col("rep").alias("id")), "wanted")
+        texts = rows.join(small(wanted), "id", "left_semi").select("text")
+        return keep(texts.mapInArrow(_segments(ranks, size, fragments, lo, hi), "cls long, frag int, seg array<long>"), "segments")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, na, b, nb, common) of the pairs; common stays below the threshold for those that went early."""
+        begun = keep(overlaps(pairs, cut(pairs, 0, FIRST)), "begun")
+        at_most = F.least(F.col("na") - F.coalesce("lost_a", F.lit(0)), F.col("nb") - F.coalesce("lost_b", F.lit(0)))
+        pair = ["a", "na", "b", "nb"]
+        alive = keep(pairs.join(begun, pair, "left").where(at_most >= least("na", "nb")).select(*pair, "common"), "alive")
+        rest = overlaps(alive.select(*pair), cut(alive, FIRST, fragments)).select(*pair, F.col("common").alias("more"))
+        total = (F.coalesce("common", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("common")
+        return keep(alive.join(rest, pair, "left").select(*pair, total), "verified")
 
     pairs = keep(ordered(cold.unionByName(star(bucketed, 0).select(*cold.columns))), "pairs")
-    segments = cut(pairs, None)
-    counted = keep(overlaps(pairs, segments), "counted")
+    checked, counted = pairs.select("a", "b"), verified(pairs)
     turn, last = 0, False
     while True:
         links = keep(counted.where(enough).join(ends("a", "v"), "a").join(ends("b", "w"), "b").select("v", "w"), "links")
@@ -274,9 +290,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             more = open_.join(other, "g").where("cls < cls2 and comp <> comp2")
         else:
             more = star(open_, turn)
-        more = keep(ordered(more).join(counted.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        segments = segments.union(cut(more, segments))
-        counted = keep(counted.union(overlaps(more, segments)), "counted")
+        more = keep(ordered(more).join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked, counted = checked.union(more.select("a", "b")), counted.union(verified(more))
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
     # A class may hold a third of all rows: those of large classes meet a broadcast row instead of a shuffle.
     sizes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("weight"))
