@@ -166,16 +166,17 @@ def predict(df: DataFrame, model: NaiveBayes, text_col: str = "text", keep: list
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             names, p = [], []
             for i in range(0, len(texts), 256):
                 a, b = score(model, texts.slice(i, 256).to_pylist())
                 names += a
                 p.append(b)
             yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.concatenate(p) if p else [], pa.float64())], names=[*kept, "lang_pred", "score"]
+                [*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(np.concatenate(p) if p else [], pa.float64())], names=[*kept, "lang_pred", "score"]
             )
 
-    rows = df.select(*kept, F.col(text_col).alias("__text"))
-    schema = T.StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    rows = df.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("__text")]))
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    schema = T.StructType(rows.schema.fields[: len(kept)]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)

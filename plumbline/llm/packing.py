@@ -66,33 +66,49 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
     return out
 
 
+def _placed(rows: pd.DataFrame, group: int, lengths: tuple[int, ...]) -> pd.DataFrame:
+    rows = rows.sort_values(["n", "id", "piece", "spread"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    bins, caps = best_fit(rows["n"].tolist(), lengths)
+    rows["seq_id"] = [group * 2**24 + b for b in bins]
+    rows["length"] = [caps[b] for b in bins]
+    rows["offset"] = rows.groupby("seq_id")["n"].cumsum() - rows["n"]
+    return rows.drop(columns="group")
+
+
 def _packed(lengths: tuple[int, ...]):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = ["n", "id", "piece", "spread"]
-        rows = rows.sort_values(order, ascending=[False, *[True] * (len(order) - 1)], kind="stable", ignore_index=True)
-        bins, caps = best_fit(rows["n"].tolist(), lengths)
-        rows["seq_id"] = [key[0] * 2**24 + b for b in bins]
-        rows["length"] = [caps[b] for b in bins]
-        rows["offset"] = rows.groupby("seq_id")["n"].cumsum() - rows["n"]
-        return rows.drop(columns="group")
+        return _placed(rows, key[0], lengths)
+
+    return run
+
+
+def _sequences(lengths: tuple[int, ...]):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bins = _placed(rows, key[0], lengths).groupby(["seq_id", "length"], sort=False)
+        out = bins.agg(used=("n", "sum"), doc_ids=("id", list), starts=("start", list), sizes=("n", list), text=("text", "\n".join))
+        return out.reset_index()
 
     return run
 
 
+def deal(items: DataFrame, group: int = GROUP) -> DataFrame:
+    """Items with a group number each; the number of groups follows the number of items."""
+    groups = max(1, items.count() // group)
+    return items.withColumn("group", F.pmod(F.xxhash64("spread", "piece"), F.lit(groups)))
+
+
 def pack(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
-    """Items (id, piece, start, n, spread[, text]) with seq_id, length and offset within the sequence.
+    """Items (id, piece, start, n, spread) with seq_id, length and offset within the sequence.
 
-    Items are dealt by hash into groups of about `group`, each packed in a task of its own; the number of
-    groups follows the number of items. A group holds thousands of items of at most the longest length, so its
-    bins are about as full as one global packing would make them, and its memory is bounded.
+    Items are dealt by hash into groups of about `group`, each packed in a task of its own. A group
+    holds thousands of items of at most the longest length, so its bins are about as full as one global packing
+    would make them, and its memory is bounded.
 
     Defined cases: rows with no words have no item; ties in size go by id, then piece; repeated rows
     are packed each; an empty table gives an empty result.
     """
-    groups = max(1, items.count() // group)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
-    place = F.pmod(F.xxhash64("spread", "piece"), F.lit(groups))
-    dealt = items.withColumn("group", place).groupBy("group")
+    dealt = deal(items, group).groupBy("group")
     return dealt.applyInPandas(_packed(tuple(sorted(lengths))), f"{fields}, seq_id long, length int, offset long")
 
 
@@ -105,8 +121,10 @@ def packed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """One row per packed sequence: seq_id, length, used, the ids and word offsets of its pieces, its text."""
-    placed = pack(pieces(df, id_col, text_col, max(lengths), with_text=True), lengths)
-    parts = F.array_sort(F.collect_list(F.struct("offset", "id", "start", "n", "text")))
-    rows = placed.groupBy("seq_id", "length").agg(F.sum("n").alias("used"), parts.alias("p"))
-    return rows.select("seq_id", "length", "used", F.col("p.id").alias("doc_ids"), F.col("p.start").alias("starts"), F.col("p.n").alias("sizes"), F.array_join("p.text", "\n").alias("text"))
+    """One row per packed sequence: seq_id, length, used, the ids, first words and sizes of its pieces, its text.
+
+    Ids are integers. Pieces move once, with their text, to the task that packs them; the cases are those of `pack`.
+    """
+    items = pieces(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, max(lengths), with_text=True)
+    schema = "seq_id long, length int, used long, doc_ids array<long>, starts array<long>, sizes array<long>, text string"
+    return deal(items).groupBy("group").applyInPandas(_sequences(tuple(sorted(lengths))), schema)

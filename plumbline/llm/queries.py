@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, html, jaccard, langid, mixing, packing, tokens, toxicity, warc
+from plumbline.llm import exact, html, jaccard, langid, mixing, neighbours, packing, tokens, toxicity, warc
 from plumbline.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,21 @@ def op3_source_mixing(spark, sf):
     return mixing.taken_words(mixing.mix(read(spark, sf, "documents")))
 
 
+@query
+def op4_nn_descent(spark, sf):
+    return neighbours.nearest(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op4_nn_descent"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(c.x, q.x) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
 @query
 def op5_token_counts(spark, sf):
     import public_tokenizers
