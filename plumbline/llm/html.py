@@ -209,9 +209,11 @@ def _votes(batches):
         sums: dict[tuple[str, str], list] = {}
         for host, html in zip(batch.column(0), batch.column(1), strict=True):
             host = host.as_py()
-            for path, (score, depth) in container_scores(parse(html.as_py())).items():
+            found = container_scores(parse(html.as_py()))
+            best = max((score for score, _ in found.values()), default=1.0)
+            for path, (score, depth) in found.items():
                 mine = sums.setdefault((host, path), [0.0, depth])
-                mine[0] += score
+                mine[0] += score / best  # a page has one vote, however long
         rows = [(h, p, s, d) for (h, p), (s, d) in sums.items()]
         cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int32()), strict=True)], names=["host", "path", "score", "depth"])
@@ -228,7 +230,7 @@ def _texts(batches):
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, pages, paths) from rows (host, html): the winning path first, then the fallbacks by score.
 
-    Every page votes for its containers with its text; votes are summed by host and path, within the
+    Every page votes for its containers by their share of its best score; votes are summed by host and path, within the
     tasks first. The winner is the deepest path with AGREE of the best score.
     """
     votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, score double, depth int")

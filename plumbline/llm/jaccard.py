@@ -32,8 +32,9 @@ THRESHOLD = 75
 FRAGMENTS, FIRST = 16, 3
 #: Cells of the count sketch, a fixed size, sent in slices.
 CELLS, SLICE = 1 << 23, 1 << 18
-#: Rounds of one pair per bucket member before all missing pairs are listed.
-STAR_ROUNDS = 6
+#: All missing pairs are listed when that takes at most this many comparisons an entry; before that come rounds
+#: of one pair per bucket member, so many at most.
+WORK, STAR_ROUNDS = 512, 6
 
 
 def _profile(size: int):
@@ -177,36 +178,40 @@ def _segments(shared, size: int, fragments: int, lo: int, hi: int):
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """For each pair (a, na, b, nb): common shingles, and those of either side that the other lacks.
+    """For each pair (a, na, b, nb, common): common shingles so far, and those of either side that the other lacks.
 
-    Partial counts by fragment, summed per pair; pairs that share no fragment do not appear.
+    Partial counts by fragment, summed per pair; a pair that shares no fragment keeps its count.
     """
     left = segments.select(F.col("cls").alias("a"), "frag", F.col("seg").alias("sa"))
     right = segments.select(F.col("cls").alias("b"), "frag", F.col("seg").alias("sb"))
-    met = pairs.join(left, "a").join(right, ["b", "frag"])
+    met = pairs.drop("common").join(left, "a").join(right, ["b", "frag"])
     pair, part = ["a", "na", "b", "nb"], F.size(F.array_intersect("sa", "sb"))
-    partial = met.select(*pair, "frag", part.alias("part"), F.size("sa").alias("la"), F.size("sb").alias("lb")).dropDuplicates([*pair, "frag"])  # a repeated row counts once
-    sums = partial.groupBy(*pair).agg(F.sum("part").alias("common"), F.sum("la").alias("la"), F.sum("lb").alias("lb"))
-    return sums.select(*pair, "common", (F.col("la") - F.col("common")).alias("lost_a"), (F.col("lb") - F.col("common")).alias("lost_b"))
+    partial = met.select(*pair, part.alias("common"), F.size("sa").alias("la"), F.size("sb").alias("lb"))
+    partial = partial.select(*pair, "common", (F.col("la") - F.col("common")).alias("lost_a"), (F.col("lb") - F.col("common")).alias("lost_b"))
+    begun = pairs.select(*pair, F.col("common"), F.lit(0).alias("lost_a"), F.lit(0).alias("lost_b"))
+    return begun.union(partial).groupBy(*pair).agg(*[F.sum(c).cast("int").alias(c) for c in ("common", "lost_a", "lost_b")])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, comp): the smallest vertex reachable from each vertex of links (v, w).
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(v, comp): the smallest vertex reachable from each vertex of links (v, w), in at most `rounds` rounds if given.
 
-    Each round takes the smallest label among neighbours and then the label's own label; rounds grow with the
-    logarithm of the longest path. Sums are by key with map-side combine; nothing is gathered.
+    Each round takes the smallest label among neighbours; every third also takes the label's own
+    label, so rounds grow with the logarithm of the longest path. Sums are by key with map-side
+    combine; nothing is gathered.
     """
-    edges = keep(links.select("v", "w").union(links.select("w", "v")).distinct(), "edges")
-    labels = keep(edges.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("comp")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("v", "w"), "w").select("v", "comp")
-        best = labels.union(near).groupBy("v").agg(F.min("comp").alias("comp"))
-        up = labels.select(F.col("v").alias("comp"), F.col("comp").alias("top"))
-        after = keep(best.join(up, "comp", "left").select("v", F.least("comp", F.coalesce("top", "comp")).alias("comp")), "labels")
-        changed = after.join(labels.withColumnRenamed("comp", "was"), "v").where("comp <> was").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
+    edges = keep(links.select("v", "w").union(links.select("w", "v")), "edges")
+    labels = keep(edges.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("comp"), F.lit(True).alias("changed")), "labels")
+    turn = 0
+    while turn != rounds and labels.where("changed").limit(1).count():
+        turn += 1
+        own = labels.select("v", "comp", F.col("comp").alias("was"))
+        near = edges.join(labels.select(F.col("v").alias("w"), "comp"), "w").select("v", "comp", F.lit(None).cast("long").alias("was"))
+        best = own.union(near).groupBy("v").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
+        if turn % 3 == 0:
+            up = labels.select(F.col("v").alias("comp"), F.col("comp").alias("top"))
+            best = best.join(up, "comp", "left").select("v", F.least("comp", F.coalesce("top", "comp")).alias("comp"), "was")
+        labels = keep(best.select("v", "comp", (F.col("comp") != F.col("was")).alias("changed")), "labels")
+    return labels.select("v", "comp")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
@@ -224,15 +229,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     profiles = keep(rows.mapInArrow(_profile(size), "id long, n long, cls long, slice int, cells binary"), "profiles")
     docs = profiles.where("slice is null").select("id", "n", "cls")
     ranks = spark.sparkContext.broadcast(global_ranks(profiles))
-    classes = keep(docs.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep")).where("rep is not null"), "classes")
+    classes = docs.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = keep(classes, "classes")
+    repeated = docs.groupBy("id").count().where("count > 1").limit(1).count() > 0
 
-    sent = rows.select("text").mapInArrow(_entries(ranks, size, threshold), "g long, cls long, n int, pos int, hot boolean")
+    sent = rows.where("id is not null").select("text").mapInArrow(_entries(ranks, size, threshold), "g long, cls long, n int, pos int, hot boolean")
     place = F.when(F.col("hot"), F.xxhash64("g", "cls")).otherwise(F.col("g"))
     sorted_ = sent.repartition(place).sortWithinPartitions("hot", "g", "pos", "cls")
     met = keep(sorted_.mapInArrow(_buckets, "g long, cls long, n int, pos int, cls2 long, n2 int, pos2 int, pair boolean"), "met")
-    bucketed = met.where("not pair").select("g", "cls", "n", "pos").distinct()
-    bucketed = keep(bucketed.join(classes, "cls"), "bucketed")
-
+    bucketed = met.where("not pair").select("g", "cls", "n", "pos")
+    cold = met.where("pair").select("cls", "n", "pos", "cls2", "n2", "pos2")
+    pair = ["a", "na", "b", "nb"]
     least = lambda n, n2: F.ceil(F.lit(threshold) * (F.col(n) + F.col(n2)) / F.lit(100 + threshold))
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -246,57 +253,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Each bucket's classes beside its chosen class: the best placed at first, then any."""
         lead = F.struct("pos", "cls", "n") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "pos")
         lead = open_.groupBy("g").agg(F.min(lead).alias("p")).select("g", F.col("p.cls").alias("cls2"), F.col("p.n").alias("n2"), F.col("p.pos").alias("pos2"))
-        return open_.join(keep(lead, "lead"), "g")
-
-    cold = met.where("pair").select("cls", "n", "pos", "cls2", "n2", "pos2")
-    enough = F.col("common") * (100 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))
-    ends = lambda x, v: classes.select(F.col("cls").alias(x), F.col("rep").alias(v))
+        return open_.join(keep(lead, "lead"), "g")  # kept, so that a bucket's rows may be split over tasks
 
     def cut(pairs: DataFrame, lo: int, hi: int) -> DataFrame:
         """Some fragments of the sets of the paired classes."""
-        wanted = keep(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select(F.col("rep").alias("id")), "wanted")
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = keep(ends.join(classes, "cls").select(F.col("rep").alias("id")), "wanted")
         texts = rows.join(small(wanted), "id", "left_semi").select("text")
-        return keep(texts.mapInArrow(_segments(ranks, size, fragments, lo, hi), "cls long, frag int, seg array<long>"), "segments")
+        segments = texts.mapInArrow(_segments(ranks, size, fragments, lo, hi), "cls long, frag int, seg array<long>")
+        return keep(segments.dropDuplicates(["cls", "frag"]) if repeated else segments, "segments")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, na, b, nb, common) of the pairs; common stays below the threshold for those that went early."""
-        begun = keep(overlaps(pairs, cut(pairs, 0, FIRST)), "begun")
-        at_most = F.least(F.col("na") - F.coalesce("lost_a", F.lit(0)), F.col("nb") - F.coalesce("lost_b", F.lit(0)))
-        pair = ["a", "na", "b", "nb"]
-        alive = keep(pairs.join(begun, pair, "left").where(at_most >= least("na", "nb")).select(*pair, "common"), "alive")
-        rest = overlaps(alive.select(*pair), cut(alive, FIRST, fragments)).select(*pair, F.col("common").alias("more"))
-        total = (F.coalesce("common", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("common")
-        return keep(alive.join(rest, pair, "left").select(*pair, total), "verified")
+        """(a, na, b, nb, common) of the pairs that the first fragments leave."""
+        pairs = pairs.withColumn("common", F.lit(0))
+        at_most = F.least(F.col("na") - F.col("lost_a"), F.col("nb") - F.col("lost_b"))
+        alive = overlaps(pairs, cut(pairs, 0, FIRST)).where(at_most >= least("na", "nb"))
+        alive = keep(alive.select(*pair, "common"), "alive")
+        return keep(overlaps(alive, cut(alive, FIRST, fragments)).select(*pair, "common"), "verified")
 
+    enough = F.col("common") * (100 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))
     pairs = keep(ordered(cold.unionByName(star(bucketed, 0).select(*cold.columns))), "pairs")
     checked, counted = pairs.select("a", "b"), verified(pairs)
-    turn, last = 0, False
-    while True:
-        links = keep(counted.where(enough).join(ends("a", "v"), "a").join(ends("b", "w"), "b").select("v", "w"), "links")
-        labels = components(links)
-        if last:
-            break
-        named = bucketed.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        mixed = keep(mixed.select("g", "m"), "mixed")
-        squares, entries = mixed.agg(F.sum(F.col("m").cast("double") * F.col("m")), F.sum("m")).first()
+    turn = 0
+    while turn <= STAR_ROUNDS:
+        # A few rounds of labels do here: classes not yet merged are only compared once more.
+        labels = components(counted.where(enough).select(F.col("a").alias("v"), F.col("b").alias("w")), 2)
+        named = bucketed.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        per = named.groupBy("g", "comp").agg(F.count("*").alias("c"))
+        mixed = per.groupBy("g").agg(F.max_by("comp", "c").alias("top"), F.sum("c").alias("m"), F.max("c").alias("most")).where("most < m")
+        mixed = keep(mixed, "mixed")
+        work, entries = mixed.agg(F.sum(F.col("m").cast("double") * (F.col("m") - F.col("most"))), F.sum("m")).first()
         if not entries:
             break
-        open_ = keep(named.join(mixed, "g"), "open")
+        open_ = keep(named.join(mixed.select("g", "top"), "g"), "open")
         turn += 1
-        last = turn > STAR_ROUNDS or squares <= 64 * entries
-        if last:
+        if turn > STAR_ROUNDS or work <= WORK * entries:
+            # All missing pairs: classes outside their bucket's largest component, with all others.
+            turn = STAR_ROUNDS + 1
             other = open_.select("g", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "comp")])
-            more = open_.join(other, "g").where("cls < cls2 and comp <> comp2")
+            more = open_.where("comp <> top").join(other, "g").where("comp <> comp2 and (comp2 = top or cls < cls2)")
         else:
             more = star(open_, turn)
         more = keep(ordered(more).join(checked, ["a", "b"], "left_anti"), "pairs")
         checked, counted = checked.union(more.select("a", "b")), counted.union(verified(more))
-    named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
-    # A class may hold a third of all rows: those of large classes meet a broadcast row instead of a shuffle.
-    sizes = docs.where("cls is not null").groupBy("cls").agg(F.count("*").alias("weight"))
-
-    out = lookup(docs, keep(named.join(sizes, "cls"), "named"), ["cls"], "weight", ["component_id"])
+    labels = components(counted.where(enough).select(F.col("a").alias("v"), F.col("b").alias("w")))
+    named = classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "rep", "weight", F.coalesce("comp", "cls").alias("comp"))
+    tops = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = keep(named.join(tops, "comp").select("cls", "weight", "component_id"), "named")
+    # A class may hold a third of all rows; those of large classes meet a broadcast row.
+    out = lookup(docs, named, ["cls"], "weight", ["component_id"])
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
