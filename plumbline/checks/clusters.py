@@ -158,7 +158,7 @@ class ResolutionChoice(Check):
         labels, engine = clu.sweep(emb, grid, seed)
         labels = labels.withColumn("case_id", case_key("case", "cell_id"))
         if criterion == "silhouette":
-            scores = clu.silhouette(labels, len(grid), seed).withColumn("case_id", case_key("case", "setting"))
+            scores = clu.silhouette(labels, len(grid)).withColumn("case_id", case_key("case", "setting"))
         else:
             scores = clu.ari_by_setting(clu.adjacent_ari(labels, BY, len(grid)), BY)
         scores = hold(scores)

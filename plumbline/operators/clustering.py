@@ -9,6 +9,7 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,7 +23,7 @@ from plumbline.session import hold
 
 ENGINE = "KMeans (fallback)"
 MAX_DENSE_FEATURES = 4096
-SILHOUETTE_SAMPLE = 2000
+MAX_CLUSTERS = 100_000
 
 
 # --- settings ----------------------------------------------------------------------
@@ -174,54 +175,57 @@ def ari_by_setting(ari: DataFrame, by: list[str]) -> DataFrame:
     return ari.select(*by, F.explode(near).alias("setting"), "ari").groupBy(*by, "setting").agg(F.avg("ari").alias("score"))
 
 
-def silhouette(labels: DataFrame, settings: int, seed: int = 0, sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """Mean Euclidean silhouette per setting, on a keyed sample of at most 2,000 rows.
+def silhouette(labels: DataFrame, settings: int) -> DataFrame:
+    """Mean silhouette of every row, per setting, by squared Euclidean distance (named in `distance`).
 
-    The sample is a fixed-size block, so every task scores its share of it against the whole
-    block; no pair of rows is ever emitted. Null with one cluster, or one per row.
+    A row's summed distance to a cluster follows from the cluster's size, vector sum and sum of squares, so one
+    pass adds those up and a second scores every row; no pair of rows is formed. Null with one cluster,
+    or one per row. The cluster table has one row per setting and cluster and is broadcast after its
+    size is checked.
     """
     n = labels.count()
-    ks = labels.select(F.posexplode("labels").alias("setting", "l")).groupBy("setting").agg(
-        F.count_distinct("l").alias("k")
-    )
-    block = labels.select("cell_id", "vec", "labels")
-    if n > sample:
-        block = block.orderBy(F.md5(F.concat_ws("|", "cell_id", F.lit(str(seed)))), "cell_id").limit(sample)
-    block = hold(block)
-    rows = block.collect()
-    points = np.array([r["vec"] for r in rows], dtype=float)
-    codes = []
+
+    def sums(batches):
+        for pdf in batches:
+            x = np.array(pdf["vec"].tolist(), dtype=float)
+            for s in range(settings):
+                names, code = np.unique([v[s] for v in pdf["labels"]], return_inverse=True)
+                total = np.zeros((len(names), x.shape[1]))
+                np.add.at(total, code, x)
+                squares = np.bincount(code, (x * x).sum(axis=1))
+                yield pd.DataFrame({"setting": s, "cluster": names, "n": np.bincount(code), "q": squares, "s": list(total)})
+
+    part = labels.select("vec", "labels").mapInPandas(sums, "setting int, cluster string, n long, q double, s array<double>")
+    grown = part.select("setting", "cluster", "n", "q", F.posexplode("s").alias("i", "v")).groupBy("setting", "cluster", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+    rows = grown.groupBy("setting", "cluster").agg(F.max("n").alias("n"), F.max("q").alias("q"), F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+    table = rows.select("setting", "cluster", "n", "q", F.col("s.v").alias("s")).orderBy("setting", "cluster").limit(MAX_CLUSTERS + 1).collect()
+    if len(table) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters in all settings")
+    known = []
     for s in range(settings):
-        names = {v: i for i, v in enumerate(sorted({r["labels"][s] for r in rows}))}
-        codes.append((names, np.array([names[r["labels"][s]] for r in rows])))
+        mine = [r for r in table if r.setting == s]
+        known.append(({r.cluster: i for i, r in enumerate(mine)}, np.array([r.n for r in mine], float), np.array([r.q for r in mine]), np.array([r.s for r in mine])))
 
     def score(batches):
-        import pandas as pd
-
         for pdf in batches:
-            mine = np.array(pdf["vec"].tolist(), dtype=float)
-            dist = np.vstack([np.sqrt(((points[None, :, :] - part[:, None, :]) ** 2).sum(axis=2)) for part in np.array_split(mine, -(-len(mine) // 32))])
-            for s, (names, code) in enumerate(codes):
-                size = np.bincount(code, minlength=len(names)).astype(float)
-                sums = np.stack([dist[:, code == c].sum(axis=1) for c in range(len(names))], axis=1)
+            x = np.array(pdf["vec"].tolist(), dtype=float)
+            for s, (names, size, squares, total) in enumerate(known):
                 own = np.array([names[v[s]] for v in pdf["labels"]])
+                far = np.maximum(size * (x * x).sum(axis=1)[:, None] - 2 * x @ total.T + squares, 0)
                 pick = np.arange(len(own))
-                a = sums[pick, own] / np.maximum(size[own] - 1, 1)
-                other = sums / size
+                a = far[pick, own] / np.maximum(size[own] - 1, 1)
+                other = far / size
                 other[pick, own] = np.inf
-                b = other.min(axis=1) if len(names) > 1 else np.full(len(own), np.nan)
+                b = other.min(axis=1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     v = np.where(size[own] > 1, (b - a) / np.maximum(a, b), 0.0)
-                valid = 1 < len(names) < len(points)
-                yield pd.DataFrame({"setting": s, "total": [float(np.nansum(v))], "rows": [len(own)], "valid": [valid]})
+                yield pd.DataFrame({"setting": [s], "total": [float(np.nansum(v))], "rows": [len(own)]})
 
-    parts = block.repartition(8).mapInPandas(score, "setting int, total double, rows long, valid boolean")
-    return (
-        parts.groupBy("setting")
-        .agg(F.sum("total").alias("t"), F.sum("rows").alias("r"), F.min("valid").alias("ok"))
-        .join(ks, "setting")
-        .select("setting", "k", F.when(F.col("ok") & (F.col("k") >= 2) & (F.col("k") < n), F.col("t") / F.col("r")).alias("score"))
-    )
+    scored = labels.select("vec", "labels").mapInPandas(score, "setting int, total double, rows long")
+    ks = F.array(*[F.lit(len(names)) for names, *_ in known])
+    out = scored.groupBy("setting").agg(F.sum("total").alias("t"), F.sum("rows").alias("r")).withColumn("k", F.get(ks, F.col("setting")))
+    good = (F.col("k") >= 2) & (F.col("k") < n)
+    return out.select("setting", "k", F.when(good, F.col("t") / F.col("r")).alias("score"), F.lit("squared euclidean").alias("distance"))
 
 
 # --- presence and stability --------------------------------------------------------

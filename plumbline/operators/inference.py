@@ -100,23 +100,12 @@ def harmonic(m: Column) -> Column:
 def fdr(tests: DataFrame, by: list[str], method: str = "bh", p: str = "p", out: str = "q") -> DataFrame:
     """Step-up q-values per group. Missing p-values stay missing and are not counted as tests.
 
-    Equal p-values share a rank (their last), so the curve is built on distinct p-values.
+    Equal p-values share a rank, their last.
     """
-    tests = hold(tests)
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    hist = hold(tests.filter(ok).groupBy(*by, p).agg(F.count("*").alias("__n")))
-    blocks = ordered.blocks_for(hist, by)
-    m = hist.groupBy(*by).agg(F.sum("__n").alias("__m"))
-    curve = ordered.running_sum(hist, by, p, {"__rank": "__n"}, blocks)
-    curve = curve.join(m, by) if blocks == 1 else ordered.attach(curve, m, by)
-    c = harmonic(F.col("__m")) if method == "by" else F.lit(1.0)
-    curve = curve.withColumn("__raw", F.col(p) * F.col("__m") * c / F.col("__rank"))
-    if blocks > 1:
-        curve = hold(curve)
-    curve = ordered.suffix_min(curve, by, p, "__raw", "__q", blocks).select(
-        *by, p, F.least(F.greatest("__q", F.lit(0.0)), F.lit(1.0)).alias(out)
-    )
-    return tests.join(curve, [*by, p], "left")
+    scale = harmonic if method == "by" else lambda m: F.lit(1.0)
+    scored = ordered.step_up(tests.filter(ok), by, p, scale, out)
+    return scored.unionByName(tests.filter(~ok).withColumn(out, F.lit(None).cast("double")))
 
 
 def top_genes(tests: DataFrame, by: list[str], alpha: float, k: int = 25) -> DataFrame:

@@ -1,10 +1,9 @@
 """Order-dependent aggregates that never sort an unbounded group in one task.
 
-The largest group is measured first. While it fits a bounded sort a plain window does the
-work; beyond that every group is cut into value ranges at approximate quantiles, each range
-is handled on its own, and only one total per range is combined. Rows with equal keys share
-a range, so results are exact wherever the cuts fall; callers collapse ties first, which
-keeps the ranges balanced.
+Every group is cut into value ranges by Spark's range partitioning, on the order key as it is, whatever its
+type. The cut rows are checkpointed, so range numbers and values stay what they were; each range is
+handled on its own, and only one total per group and range is combined. Rows with equal keys share a
+range. There is one path for every size, and nothing is joined on the order key.
 """
 
 from __future__ import annotations
@@ -12,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import hold
+from plumbline.session import hold, settle
 
-_BLOCK = "__block"
+_RANGE = "__range"
 BROADCAST_ROWS = 200_000
-ROWS_PER_BLOCK = 1_000_000
 
 
 def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -40,80 +38,77 @@ def equi(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -
     return df.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def blocks_for(df: DataFrame, by: list[str]) -> int:
-    """How many value ranges keep every sort within ROWS_PER_BLOCK rows; `df` should be held."""
-    largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, -(-largest // ROWS_PER_BLOCK))
+def placed(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The rows with the number of their value range, settled; numbers rise with (by, order)."""
+    return settle(df.repartitionByRange(*by, order).withColumn(_RANGE, F.spark_partition_id()))
 
 
-def with_block(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """Adds the ordinal of the value range each row falls in, per group."""
-    cuts = [i / n for i in range(1, n)]
-    edges = df.groupBy(*by).agg(
-        F.percentile_approx(F.col(order).cast("double"), cuts, 10000).alias("__edges")
-    )
-    steps, s = [], 1
-    while s < n:
-        steps.insert(0, s)
-        s *= 2
+def totals_before(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per group and range: each sum over the ranges before (out_before) and over the whole group (out_all)."""
+    totals = rows.groupBy(*by, _RANGE).agg(*[v.alias(o) for o, v in sums.items()])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    each = [F.coalesce(F.sum(o).over(earlier), F.lit(0)).alias(f"{o}_before") for o in sums]
+    return totals.select(*by, _RANGE, *each, *[F.sum(o).over(group).alias(f"{o}_all") for o in sums])
 
-    def probe(pos: Column, step: Column) -> Column:
-        take = (pos + step <= F.size("__edges")) & (
-            F.get(F.col("__edges"), pos + step - 1) < F.col(order).cast("double")
-        )
-        return F.when(take, pos + step).otherwise(pos)
-
-    found = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), probe)
-    return attach(df, edges, by).withColumn(_BLOCK, found).drop("__edges")
-
-
-def running_sum(df: DataFrame, by: list[str], order: str, values: dict[str, str], blocks: int) -> DataFrame:
-    """Inclusive running sums of `values` (output name -> input column) by ascending `order`."""
-    if blocks == 1:
-        upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({o: F.sum(c).over(upto) for o, c in values.items()})
-    blocked = with_block(df, by, order, blocks)
-    totals = blocked.groupBy(*by, _BLOCK).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in values.items()])
-    before = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    for o in values:
-        totals = totals.withColumn(f"__off_{o}", F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0))).drop(f"__t_{o}")
-    within = Window.partitionBy(*by, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocked.join(totals, [*by, _BLOCK])
-    for o, c in values.items():
-        out = out.withColumn(o, F.col(f"__off_{o}") + F.sum(c).over(within)).drop(f"__off_{o}")
-    return out.drop(_BLOCK)
-
-
-def suffix_min(df: DataFrame, by: list[str], order: str, value: str, out: str, blocks: int) -> DataFrame:
-    """Minimum of `value` over this row and every row ordered after it."""
-    if blocks == 1:
-        onward = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumn(out, F.min(value).over(onward))
-    blocked = with_block(df, by, order, blocks)
-    lows = blocked.groupBy(*by, _BLOCK).agg(F.min(value).alias("__low"))
-    after = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    lows = lows.withColumn("__later", F.min("__low").over(after)).drop("__low")
-    within = Window.partitionBy(*by, _BLOCK).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return (
-        blocked.join(lows, [*by, _BLOCK])
-        .withColumn(out, F.least(F.min(value).over(within), F.col("__later")))
-        .drop("__later", _BLOCK)
-    )
+
+def running_sum(df: DataFrame, by: list[str], order: str, values: dict[str, str]) -> DataFrame:
+    """Inclusive running sums of `values` (output name -> input column) by ascending `order`; equal keys share theirs."""
+    rows = placed(df, by, order)
+    base = totals_before(rows, by, {f"__{o}": F.sum(c) for o, c in values.items()})
+    upto = Window.partitionBy(*by, _RANGE).orderBy(order)
+    summed = rows.withColumns({f"__in_{o}": F.sum(c).over(upto) for o, c in values.items()})
+    out = equi(summed, base, [*by, _RANGE])
+    return out.select(*df.columns, *[(F.col(f"__in_{o}") + F.col(f"__{o}_before")).alias(o) for o in values])
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Tie-averaged ascending rank of every row within its group."""
-    hist = hold(df.groupBy(*by, value).agg(F.count("*").alias("__n")))
-    ranked = running_sum(hist, by, value, {"__cum": "__n"}, blocks_for(hist, by)).select(
-        *by, value, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out)
-    )
-    return df.join(ranked, [*by, value])
+    rows = placed(df, by, value)
+    base = totals_before(rows, by, {"__n": F.count("*")})
+    part = Window.partitionBy(*by, _RANGE).orderBy(value)
+    ranked = rows.withColumn("__first", F.rank().over(part)).withColumn("__last", F.count("*").over(part))
+    mean = F.col("__n_before") + (F.col("__first") + F.col("__last")) / 2.0
+    return equi(ranked, base, [*by, _RANGE]).select(*df.columns, mean.alias(out))
+
+
+def step_up(df: DataFrame, by: list[str], p: str, scale, out: str) -> DataFrame:
+    """min over p' >= p of p' * m * scale(m) / rank(p'), clipped to 0..1; m rows a group, ties rank last."""
+    rows = placed(df, by, p)
+    base = totals_before(rows, by, {"__m": F.count("*")})
+    part = Window.partitionBy(*by, _RANGE).orderBy(p)
+    m = F.col("__m_all")
+    raw = F.col(p) * m * scale(m) / (F.col("__m_before") + F.col("__rank"))
+    curve = equi(rows.withColumn("__rank", F.count("*").over(part)), base, [*by, _RANGE]).withColumn("__raw", raw)
+    lows = curve.groupBy(*by, _RANGE).agg(F.min("__raw").alias("__low"))
+    after = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(1, Window.unboundedFollowing)
+    lows = lows.select(*by, _RANGE, F.min("__low").over(after).alias("__later"))
+    onward = part.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    least = equi(curve.withColumn("__here", F.min("__raw").over(onward)), lows, [*by, _RANGE])
+    q = F.least(F.greatest(F.least("__here", "__later"), F.lit(0.0)), F.lit(1.0))
+    return least.select(*df.columns, q.alias(out))
+
+
+def mann_whitney(hist: DataFrame, by: list[str], order: str) -> DataFrame:
+    """u, n1 and n0 per group from (order, n1, n0) rows: n1 times the n0 below, half of those level with it.
+
+    One pass: each range sums its own pairs, and what it needs of other ranges is their n0.
+    """
+    rows = hist.repartitionByRange(*by, order).withColumn(_RANGE, F.spark_partition_id())
+    part = Window.partitionBy(*by, _RANGE).orderBy(order)
+    level = Window.partitionBy(*by, _RANGE, order)
+    below = F.sum("n0").over(part) - F.sum("n0").over(level) / 2.0
+    sums = rows.withColumn("__u", F.col("n1") * below).groupBy(*by, _RANGE)
+    sums = sums.agg(F.sum("__u").alias("__u"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("n0").over(earlier), F.lit(0)))
+    u = F.sum(F.col("__u") + F.col("n1") * F.col("__before"))
+    return sums.groupBy(*by).agg(u.alias("u"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def position_in_group(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
     """1-based position by a unique `order` key."""
-    kept = hold(df.withColumn("__one", F.lit(1)))
-    return running_sum(kept, by, order, {out: "__one"}, blocks_for(kept, by)).drop("__one")
+    return running_sum(df.withColumn("__one", F.lit(1)), by, order, {out: "__one"}).drop("__one")
 
 
 def top_k(

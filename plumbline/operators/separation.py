@@ -35,12 +35,7 @@ def holdout_guard(n: int, eps: float) -> bool:
 # --- AUC ---------------------------------------------------------------------------
 def auc_from_hist(hist: DataFrame, by: list[str], fold: bool = True) -> DataFrame:
     """Tie-averaged AUC from (score, n1, n0) histograms; one class only gives 0.5."""
-    hist = hold(hist)
-    cum = ordered.running_sum(hist, by, "score", {"cum0": "n0"}, ordered.blocks_for(hist, by))
-    below = F.col("cum0") - F.col("n0") / 2.0
-    agg = cum.groupBy(*by).agg(
-        F.sum(F.col("n1") * below).alias("u"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")
-    )
+    agg = ordered.mann_whitney(hist, by, "score")
     raw = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("u") / (F.col("n1") * F.col("n0").cast("double")))
     raw = F.coalesce(raw, F.lit(0.5))
     return agg.withColumn("auc", F.greatest(raw, 1 - raw) if fold else raw)
@@ -301,8 +296,10 @@ def spurious_group(scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def interval(repeats: DataFrame, by: list[str], value: str, level: float = 0.95, cap: int = 200) -> DataFrame:
-    """Median and linear-interpolated quantiles of repeated runs, with at most `cap` sorted samples.
+def interval(repeats: DataFrame, by: list[str], value: str, level: float = 0.95, cap: int | None = None) -> DataFrame:
+    """Median and linear-interpolated quantiles of repeated runs, with their sorted samples.
+
+    `cap`, off by default, thins the samples shown to so many.
 
     A group holds one value per repeat (hundreds), never raw data.
     """
@@ -313,10 +310,10 @@ def interval(repeats: DataFrame, by: list[str], value: str, level: float = 0.95,
         F.count("*").alias("n"),
         F.array_sort(F.collect_list(value)).alias("sorted"),
     )
-    picks = F.transform(
-        F.sequence(F.lit(0), F.lit(cap - 1)),
-        lambda i: F.get(F.col("sorted"), F.rint(i * (F.col("n") - 1) / float(cap - 1)).cast("int")),
-    )
+    shown = F.col("sorted")
+    if cap:
+        at = lambda i: F.get(F.col("sorted"), F.rint(i * (F.col("n") - 1) / float(cap - 1)).cast("int"))
+        shown = F.when(F.col("n") > cap, F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), at)).otherwise(shown)
     return agg.select(
         *by,
         F.col("q")[1].alias("median"),
@@ -324,5 +321,5 @@ def interval(repeats: DataFrame, by: list[str], value: str, level: float = 0.95,
         F.col("q")[2].alias("hi"),
         F.lit(level).alias("level"),
         "n",
-        F.when(F.col("n") > cap, picks).otherwise(F.col("sorted")).alias("samples"),
+        shown.alias("samples"),
     )

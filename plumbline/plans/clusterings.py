@@ -28,7 +28,7 @@ ARI = """g AS (SELECT x.setting AS pair, x.cluster AS a, y.cluster AS b, COUNT(*
 PRESENT = """pc AS (SELECT setting, cluster, COUNT(*) AS size, COUNT(*) FILTER (label = 0) AS hit FROM lab GROUP BY 1, 2),
  pt AS (SELECT setting, SUM(hit) AS total FROM pc GROUP BY 1),
  pr AS (SELECT setting, COUNT(*) AS clusters, bool_or(total > 0 AND hit/total >= 0.5 AND hit/CAST(size AS DOUBLE) >= 0.5) AS present FROM pc JOIN pt USING (setting) GROUP BY 1)"""
-SIL = """pd AS (SELECT x.setting, x.cell_id, x.cluster AS own, y.cluster AS other, SUM(list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS d, COUNT(*) AS n
+SIL = """pd AS (SELECT x.setting, x.cell_id, x.cluster AS own, y.cluster AS other, SUM(pow(list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 2)) AS d, COUNT(*) AS n
   FROM lab x JOIN lab y ON x.setting=y.setting GROUP BY 1, 2, 3, 4),
  ab AS (SELECT setting, cell_id, MAX(CASE WHEN own=other THEN n END) AS size, MAX(CASE WHEN own=other THEN d/greatest(n-1, 1) END) AS a, MIN(CASE WHEN own<>other THEN d/n END) AS b FROM pd GROUP BY 1, 2),
  sil AS (SELECT setting, CASE WHEN COUNT(b) > 0 THEN AVG(CASE WHEN size > 1 THEN (b-a)/greatest(a, b) ELSE 0 END) END AS score FROM ab GROUP BY 1)"""
@@ -68,33 +68,34 @@ def stability_profile(spark, sf):
     return clu.stability(clu.presence(lab, BY), BY).drop("case_id").withColumn("stability", F.round("stability", 6))
 
 
-REPEATS = "rep AS (SELECT lab.*, vec.r FROM lab JOIN (SELECT CAST(vec_id AS VARCHAR) AS cell_id, CAST(vec_id % 5 AS INTEGER) AS r FROM embeddings) vec USING (cell_id))"
+REPEATS = "rep AS (" + " UNION ALL ".join(
+    f"SELECT CAST(vec_id AS VARCHAR) AS cell_id, CAST(r AS INTEGER) AS r, {i} AS setting, CAST({'label' if k % 2 else 'CASE WHEN (vec_id + r) % 10 < 6 THEN label ELSE vec_id + r END'} % {k} AS VARCHAR) AS cluster, label FROM embeddings CROSS JOIN range(0, {views.REPEATS}) t(r)"
+    for i, k in enumerate(views.SETTINGS)
+) + ")"
 
 
-@query("repeated_presence", "WITH " + LABELS + ", " + REPEATS + """, pc AS (SELECT r, setting, cluster, COUNT(*) AS size, COUNT(*) FILTER (label = 0) AS hit FROM rep GROUP BY ALL),
+@query("repeated_presence", "WITH " + REPEATS + """, pc AS (SELECT r, setting, cluster, COUNT(*) AS size, COUNT(*) FILTER (label = 0) AS hit FROM rep GROUP BY ALL),
  pt AS (SELECT r, setting, SUM(hit) AS total FROM pc GROUP BY ALL),
  pr AS (SELECT r, setting, COUNT(*) AS clusters, bool_or(total > 0 AND hit/total >= 0.5 AND hit/CAST(size AS DOUBLE) >= 0.5) AS present FROM pc JOIN pt USING (r, setting) GROUP BY ALL)
  SELECT CAST(setting AS INTEGER) AS setting, COUNT(DISTINCT r) AS repeats, round(AVG(CASE WHEN present THEN 1 ELSE 0 END), 6) AS share, AVG(CASE WHEN present THEN 1 ELSE 0 END) >= 0.5 AS present, quantile_cont(CAST(clusters AS DOUBLE), 0.5) AS clusters FROM pr GROUP BY 1""")
 def repeated_presence(spark, sf):
-    """Five disjoint fifths of the vectors play the repeats."""
-    lab = views.settings_labels(spark, sf).withColumn("tracked", F.col("label") == 0)
-    lab = lab.withColumn("r", (F.col("vec_id") % 5).cast("int"))
+    lab = views.repeat_labels(spark, sf).withColumn("tracked", F.col("label") == 0)
     out = clu.repeated_presence(clu.presence(lab, [*BY, "r"]), BY, "r")
     return out.drop("case_id").withColumn("share", F.round("share", 6))
 
 
-@query("mechanical_stability", "WITH " + LABELS + ", " + REPEATS + ", " + ARI.replace("x.setting AS pair", "x.r AS r, x.setting AS pair").replace("FROM lab x JOIN lab y", "FROM rep x JOIN rep y").replace("SELECT pair,", "SELECT r, pair,").replace("GROUP BY 1)", "GROUP BY ALL)").replace("USING (pair)", "USING (r, pair)")
+@query("mechanical_stability", "WITH " + REPEATS + ", " + ARI.replace("x.setting AS pair", "x.r AS r, x.setting AS pair").replace("FROM lab x JOIN lab y ON x.cell_id=y.cell_id", "FROM rep x JOIN rep y ON x.cell_id=y.cell_id AND x.r=y.r").replace("SELECT pair,", "SELECT r, pair,").replace("GROUP BY 1)", "GROUP BY ALL)").replace("USING (pair)", "USING (r, pair)")
  + """, m AS (SELECT r, AVG(ari) AS ari FROM ari GROUP BY 1) SELECT round(quantile_cont(ari, 0.5), 9) AS median, round(quantile_cont(ari, 0.025), 9) AS lo, round(quantile_cont(ari, 0.975), 9) AS hi, COUNT(*) AS n, quantile_cont(ari, 0.5) >= 0.8 AS stable FROM m""")
 def mechanical_stability(spark, sf):
-    lab = views.settings_labels(spark, sf).withColumn("r", (F.col("vec_id") % 5).cast("int"))
+    lab = views.repeat_labels(spark, sf)
     out = clu.mechanical_stability(clu.adjacent_ari(lab, [*BY, "r"], K), BY, "r")
     return out.select(*[F.round(c, 9).alias(c) for c in ("median", "lo", "hi")], "n", "stable")
 
 
-@query("silhouette_by_setting", with_(SIL) + "SELECT CAST(setting AS INTEGER) AS setting, round(score, 7) AS score FROM sil")
+@query("silhouette_by_setting", with_(SIL) + "SELECT CAST(setting AS INTEGER) AS setting, round(score, 7) AS score, 'squared euclidean' AS distance FROM sil")
 def silhouette_by_setting(spark, sf):
     lab = views.settings_labels(spark, sf)
-    return clu.silhouette(lab, K).select("setting", F.round("score", 7).alias("score"))
+    return clu.silhouette(lab, K).select("setting", F.round("score", 7).alias("score"), "distance")
 
 
 @query("supported_window", with_(ARI, "sc AS (SELECT s AS setting, AVG(ari) AS score FROM (SELECT pair AS s, ari FROM ari UNION ALL SELECT pair+1, ari FROM ari) GROUP BY 1)",

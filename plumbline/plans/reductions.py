@@ -286,11 +286,11 @@ def top25_features(spark, sf):
 
 @query("volcano_points", base(UNIT_WELCH, fdr_sql("utests", "bh")) + """SELECT gene, round((m1-m0)/ln(2), 6) AS log2fc, round(-log10(greatest(q, 1e-300)), 4) AS neg_log10_q, q < 0.05 AS sig,
  gene IN ('Brand#1', 'Brand#7') AS claimed, (SELECT COUNT(*) FROM q_tests WHERE q < 0.05) AS n_sig FROM q_tests
- QUALIFY ROW_NUMBER() OVER (ORDER BY q, p, gene) <= 10 OR claimed""")
+ QUALIFY ROW_NUMBER() OVER (ORDER BY q, p, gene) <= 200 OR claimed""")
 def volcano_points(spark, sf):
     tests = inf.fdr(cpm_unit_tests(spark, sf), BY)
     claimed = views.brand_features(spark, sf).filter(F.col("gene").isin("Brand#1", "Brand#7"))
-    v = inf.volcano(tests, BY, claimed, 0.05, limit=10)
+    v = inf.volcano(tests, BY, claimed, 0.05)
     return v.select("gene", F.round("log2fc", 6).alias("log2fc"), F.round("neg_log10_q", 4).alias("neg_log10_q"), "sig", "claimed", "n_sig")
 
 

@@ -172,7 +172,7 @@ def holdout_report(spark, sf):
     return rep.select("gene", F.round("disc", 9).alias("disc"), F.round("hold", 9).alias("hold"), "survives")
 
 
-SEEDS = 5
+SEEDS = 200
 
 
 def seeded_report(spark, sf):

@@ -6,7 +6,7 @@ the features: the summed quantity of a brand in an order is its count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.dataset import Dataset, case_key
@@ -96,13 +96,24 @@ def embedding(spark: SparkSession, sf: str) -> DataFrame:
 SETTINGS = list(range(2, 12))
 
 
+def labelled(emb: DataFrame, shift: Column) -> DataFrame:
+    """Ten deterministic clusterings per vector: label or shifted id modulo k, as one array per row."""
+    vec = F.col("vec_id") + shift
+    picks = [(F.col("label") if k % 2 else F.when(vec % 10 < 6, F.col("label")).otherwise(vec)) % k for k in SETTINGS]
+    return emb.withColumn("labels", F.array(*[p.cast("long").cast("string") for p in picks]))
+
+
 def settings_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten deterministic clusterings per vector: label or id modulo k, as one array per row."""
-    picks = [
-        (F.col("label") if k % 2 else F.when(F.col("vec_id") % 10 < 6, F.col("label")).otherwise(F.col("vec_id"))) % k
-        for k in SETTINGS
-    ]
-    return embedding(spark, sf).withColumn("labels", F.array(*[p.cast("long").cast("string") for p in picks]))
+    return labelled(embedding(spark, sf), F.lit(0))
+
+
+REPEATS = 40
+
+
+def repeat_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """REPEATS sweeps `r`, each over every vector."""
+    each = embedding(spark, sf).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    return labelled(each, F.col("r"))
 
 
 def document_labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -146,7 +146,8 @@ def test_thinning_is_keyed_and_unbiased(spark, draw, eps):
 
 def test_interval_downsamples(spark):
     df = spark.range(1000).select(F.lit("c").alias("case_id"), F.col("id").cast("double").alias("v"))
-    r = sep.interval(df, BY, "v").first()
+    assert len(sep.interval(df, BY, "v").first().samples) == 1000
+    r = sep.interval(df, BY, "v", cap=200).first()
     assert (r.median, r.n, len(r.samples)) == (499.5, 1000, 200)
     assert r.samples[0] == 0.0 and r.samples[-1] == 999.0
     assert r.lo == pytest.approx(24.975) and r.hi == pytest.approx(974.025)
@@ -163,6 +164,23 @@ def brute_ari(a, b):
     return 1.0 if top == exp else (both - exp) / (top - exp)
 
 
+def test_silhouette_scores_every_row(spark):
+    """More rows than any sample held, against the sums written out."""
+    rng = np.random.default_rng(9)
+    pts, lab = rng.normal(size=(2600, 4)), rng.integers(0, 3, 2600)
+    rows = [(str(i), pts[i].tolist(), [str(lab[i])]) for i in range(2600)]
+    df = spark.createDataFrame(rows, "cell_id string, vec array<double>, labels array<string>")
+    d = ((pts[:, None] - pts[None]) ** 2).sum(axis=2)
+    per = np.stack([d[:, lab == c].sum(axis=1) for c in range(3)], axis=1)
+    size = np.bincount(lab)
+    a = per[np.arange(2600), lab] / (size[lab] - 1)
+    mean = per / size
+    mean[np.arange(2600), lab] = np.inf
+    b = mean.min(axis=1)
+    got = clu.silhouette(df, 1).first()
+    assert got.k == 3 and got.score == pytest.approx(np.mean((b - a) / np.maximum(a, b)), rel=1e-9)
+
+
 def test_ari_and_silhouette(spark):
     rng = np.random.default_rng(6)
     pts = rng.normal(size=(60, 3))
@@ -173,7 +191,7 @@ def test_ari_and_silhouette(spark):
     for i in (0, 1):
         assert ari[i] == pytest.approx(brute_ari(labs[i], labs[i + 1]), abs=1e-12)
     sil = {r.setting: r.score for r in clu.silhouette(df, 3).collect()}
-    d = np.linalg.norm(pts[:, None] - pts[None], axis=2)
+    d = np.linalg.norm(pts[:, None] - pts[None], axis=2) ** 2
     for s in (0, 1):
         lab = np.array(labs[s])
         vals = []

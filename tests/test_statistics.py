@@ -9,6 +9,14 @@ from plumbline.operators import inference as inf
 from plumbline.operators import ordered
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables keep all their ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_t_tail_known_values():
     assert t_two_sided(2.0, 10.0) == pytest.approx(0.0733880347707404, rel=1e-10)
     assert t_two_sided(1.0, 1.0) == pytest.approx(0.5, rel=1e-12)
@@ -42,9 +50,7 @@ VECTORS = [
 
 
 @pytest.mark.parametrize("method", ["bh", "by"])
-@pytest.mark.parametrize("rows_per_block", [1_000_000, 7])
-def test_fdr_matches_step_up(spark, monkeypatch, method, rows_per_block):
-    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", rows_per_block)
+def test_fdr_matches_step_up(spark, many_ranges, method):
     rows = [(str(v), i, float(p)) for v, vec in enumerate(VECTORS) for i, p in enumerate(vec)]
     df = spark.createDataFrame(rows, "v string, i int, p double")
     got = {(r.v, r.i): r.q for r in inf.fdr(df, ["v"], method).collect()}
@@ -63,26 +69,56 @@ def test_harmonic_expansion(spark):
         assert r.h == pytest.approx(sum(1 / i for i in range(1, r.m + 1)), rel=1e-13)
 
 
-def test_running_sums_blocked(spark, monkeypatch):
+def test_running_sums_over_ranges(spark, many_ranges):
     rng = np.random.default_rng(3)
     vals = {g: sorted(set(rng.integers(0, 500, size=300).tolist())) for g in ("a", "b")}
     rows = [(g, float(v), i % 5 + 1) for g, vs in vals.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "g string, s double, n int")
-    for blocks in (1, 6, 13):
-        out = ordered.running_sum(df, ["g"], "s", {"c": "n"}, blocks).collect()
-        for g in vals:
-            total = 0
-            for r in sorted((r for r in out if r.g == g), key=lambda r: r.s):
-                total += r.n
-                assert r.c == total
-
-
-def test_average_rank_ties(spark):
+    out = ordered.running_sum(df, ["g"], "s", {"c": "n"})
+    assert ordered.placed(df, ["g"], "s").select("__range").distinct().count() > 1
+    for g in vals:
+        total = 0
+        for r in sorted(out.filter(F.col("g") == g).collect(), key=lambda r: r.s):
+            total += r.n
+            assert r.c == total
+
+
+def test_positions_by_string_and_wide_long_keys(spark, many_ranges):
+    """The order key keeps its type: strings, and longs that doubles cannot tell apart."""
+    names = [f"k{i:05d}x" for i in range(900)]
+    df = spark.createDataFrame([(n, 2**60 + i) for i, n in enumerate(names)], "s string, v long").repartition(7)
+    for key in ("s", "v"):
+        out = ordered.position_in_group(df.withColumn("g", F.lit(1)), ["g"], key, "pos").collect()
+        assert [r.s for r in sorted(out, key=lambda r: r.pos)] == names
+        assert sorted(r.pos for r in out) == list(range(1, 901))
+
+
+def test_average_rank_ties(spark, many_ranges):
     df = spark.createDataFrame([("x", v) for v in (3.0, 1.0, 3.0, 2.0)], "k string, v double")
     got = sorted((r.v, r.r) for r in ordered.average_rank(df, ["k"], "v", "r").collect())
     assert got == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
 
 
+def test_ranks_of_sums_that_differ_between_evaluations(spark, many_ranges):
+    """No row is lost, however the float sums behind the values fall out."""
+    noisy = spark.range(4000, numPartitions=16).selectExpr("id % 200 as gene", "1 + rand() / 1e3 as v").groupBy("gene").agg(F.sum("v").alias("v"))
+    df = noisy.withColumn("k", F.lit("a"))
+    ranked = ordered.average_rank(ordered.average_rank(df, ["k"], "v", "ra"), ["k"], "v", "rb")
+    assert ranked.count() == 200 and ranked.filter("ra = rb").count() == 200
+    scored = inf.fdr(df.withColumn("p", F.col("v") / 100), ["k"])
+    spark.catalog.clearCache()
+    assert scored.filter("q is not null").count() == 200
+
+
+def test_auc_of_histograms_against_pairs(spark, many_ranges):
+    rng = np.random.default_rng(8)
+    rows = [("a" if i % 3 else "b", float(rng.integers(0, 40)), int(rng.integers(0, 4)), int(rng.integers(0, 4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, score double, n1 int, n0 int")
+    for r in ordered.mann_whitney(df, ["g"], "score").collect():
+        mine = [x for x in rows if x[0] == r.g]
+        assert r.u == sum(a[2] * b[3] * (1 if b[1] < a[1] else 0.5 if b[1] == a[1] else 0) for a in mine for b in mine)
+
+
 def test_ols_against_lstsq(spark):
     rng = np.random.default_rng(5)
     n = 60
