@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +96,20 @@ def design_for(roles: dict[str, list[str]], config: dict) -> Design:
     )
 
 
+#: What bad input raises: missing columns, values that do not cast, parameters out of range.
+DATA_ERRORS = (ValueError, KeyError, TypeError, ZeroDivisionError, AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException)
+
+
 def run_check(check: int, ds: Dataset, design: Design, claim: Claim, safe: bool = True) -> Finding:
-    """One finding; with `safe`, a failure becomes a flag_only row and never a number."""
+    """One finding; with `safe`, data that the check cannot read become a flag_only row and never a number.
+
+    Failures of the engine, a lost cluster or a full memory among them, rise as they are.
+    """
     started = time.time()
     try:
         with scope():
             found = REGISTRY[check].run(ds, design, claim)
-    except Exception as exc:
+    except DATA_ERRORS as exc:
         if not safe:
             raise
         found = Finding(check, base.FLAG_ONLY, f"The check could not run: {exc}"[:500], feasibility=base.NEEDS_DATA)

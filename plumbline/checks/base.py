@@ -16,7 +16,7 @@ BY = ["case_id"]
 CLEAN, FLAGGED, FLAG_ONLY, HARD_STOP = "clean", "flagged", "flag_only", "hard_stop"
 STATES = (CLEAN, FLAGGED, FLAG_ONLY, HARD_STOP)
 FIXABLE, NEEDS_DATA, UNSALVAGEABLE = "fixable_now", "needs_new_data", "unsalvageable"
-DETAIL_ROWS = 500  # a chart detail longer than this stays a table and is not copied onto a finding
+DETAIL_ROWS = 500  # rows of a detail shown on the chart; the whole detail is a table beside the finding
 
 
 @dataclass
@@ -31,6 +31,7 @@ class Finding:
     target: str = ""
     numbers: dict[str, float] = field(default_factory=dict)
     charts: dict[str, dict] = field(default_factory=dict)
+    details: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         if self.state not in STATES:
@@ -156,10 +157,20 @@ def significance(n0, p0, n1, p1, alpha, bad_unit=False, units=()) -> dict:
     return {"naive": side(n0, p0), "honest": side(n1, p1), "alpha": alpha, "bad_unit": bad_unit, "units": list(units)}
 
 
-def detail(df: DataFrame) -> list[dict] | None:
-    """Rows of a chart detail, or None when it is too long to sit on one finding."""
-    rows = df.limit(DETAIL_ROWS + 1).collect()
-    return [r.asDict() for r in rows] if len(rows) <= DETAIL_ROWS else None
+def detail(df: DataFrame) -> list[dict]:
+    """The first rows of a chart detail; the finding keeps all of them in `details`."""
+    return [r.asDict() for r in df.limit(DETAIL_ROWS).collect()]
+
+
+def details_frame(findings: list[Finding], case_id: str = "case") -> DataFrame | None:
+    """Every row behind the charts: (case_id, check_id, detail, row), the row as a map of texts."""
+    out = None
+    for f in findings:
+        for name, df in f.details.items():
+            pairs = [x for c in df.columns for x in (F.lit(c), F.col(c).cast("string"))]
+            rows = df.select(F.lit(case_id).alias("case_id"), F.lit(f.check_id).alias("check_id"), F.lit(name).alias("detail"), F.create_map(*pairs).alias("row"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def unit_cells(ds: Dataset, group: str, unit: str | None, *extra: str) -> DataFrame:

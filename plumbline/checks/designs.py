@@ -72,11 +72,12 @@ class Confounding(Check):
             deficient = asc.design_rank(cells, BY, ["grp", *internal]).first()["rank_deficient"]
         else:
             deficient = any(asc.pair_rank_deficient(asc.contingency(cells, BY, "grp", t)) for t in internal)
-        grid = base.detail(asc.contingency(cells, BY, "grp", col).select("a", "b", "n").orderBy("a", "b"))
+        cells_by_level = asc.contingency(cells, BY, "grp", col).select("a", "b", "n").orderBy("a", "b")
+        grid, details = base.detail(cells_by_level), {"grid": cells_by_level}
         if v < ALIGN_MIN and not deficient:
             return Finding(
                 4, base.CLEAN, f"'{interest}' does not line up with '{name}'.", target=name, numbers={"v": v},
-                charts={"confound": {"grid": grid, "v": v}},
+                charts={"confound": {"grid": grid, "v": v}}, details=details,
             )
         arms = red.busiest_levels(cells, "grp", BY).first()
         kept = hold(red.filter_arms(cells, "grp", arms["ref"], arms["alt"]))

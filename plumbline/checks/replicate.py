@@ -88,7 +88,7 @@ class Pseudoreplication(Check):
         if audited is None:
             return unresolved
         gene, naive = audited["gene"], audited["p"]
-        units = base.detail(
+        per_unit = (
             samples.join(moments.filter(F.col("gene") == gene).select("unit", "arm", "log_sum"), ["unit", "arm"], "left")
             .select(
                 F.col("unit").alias("id"),
@@ -96,7 +96,9 @@ class Pseudoreplication(Check):
                 F.col("n_cells").alias("n"),
                 (F.coalesce("log_sum", F.lit(0.0)) / F.col("n_cells")).alias("value"),
             )
+            .orderBy("id", "group")
         )
+        units, details = base.detail(per_unit), {"units": per_unit}
         if naive >= alpha:
             return Finding(
                 1,
@@ -105,7 +107,8 @@ class Pseudoreplication(Check):
                 original=naive,
                 target=gene,
                 numbers=shared,
-                charts={"significance": base.significance(n_cells, naive, rep["total_units"], naive, alpha, bad_unit, units or ())},
+                charts={"significance": base.significance(n_cells, naive, rep["total_units"], naive, alpha, bad_unit, units)},
+                details=details,
             )
         if counts is None:
             return Finding(
@@ -128,7 +131,8 @@ class Pseudoreplication(Check):
             engine=engine,
             target=gene,
             numbers={**shared, "icc": icc},
-            charts={"significance": base.significance(n_cells, naive, rep["n_samples"], p, alpha, bad_unit, units or ())},
+            charts={"significance": base.significance(n_cells, naive, rep["n_samples"], p, alpha, bad_unit, units)},
+            details=details,
         )
 
 

@@ -58,6 +58,9 @@ def _dense(totals: DataFrame, sized: DataFrame, by: list[str], keys: list[str])
     return pairs.join(totals, [*by, *keys, "gene"], "left").withColumn("y", F.coalesce("total", F.lit(0)).cast("double")).drop("total")
 
 
+STILL = 1e-7  # a fit has converged when no coefficient moves further in a step
+
+
 def _solver(k: int, j: int):
     out = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("se", T.DoubleType())])
 
@@ -82,12 +85,13 @@ def _solver(k: int, j: int):
 
 
 def nb_wald(
-    totals: DataFrame, samples: DataFrame, by: list[str], keys: list[str], design: list, steps: int = 12
+    totals: DataFrame, samples: DataFrame, by: list[str], keys: list[str], design: list, steps: int = 25
 ) -> DataFrame:
     """Wald p of the second design column (alternate vs reference) for every feature.
 
     `totals` has by + keys + gene + total (non-zero); `samples` one row per sample carrying
-    the factor columns; `design` is a list of column expressions, intercept first.
+    the factor columns; `design` is a list of column expressions, intercept first. `converged` tells
+    whether a feature's coefficients stood still within `steps`; where they did not there is no p.
     """
     k = len(design)
     totals = settle(totals.select(*by, *keys, "gene", "total"))
@@ -156,15 +160,17 @@ def nb_wald(
         )
         last, beta = beta, settle(fit(step))
         moved = F.array_max(F.zip_with("beta", "__b", lambda a, b: F.abs(a - b)))
-        gap = beta.join(last.select(*gk, F.col("beta").alias("__b")), gk).agg(F.max(moved)).first()[0]
-        if gap is None or gap < 1e-7:
+        moves = beta.join(last.select(*gk, F.col("beta").alias("__b")), gk).select(*gk, moved.alias("__move"))
+        gap = moves.agg(F.max("__move")).first()[0]
+        if gap is None or gap < STILL:
             break
+    beta = beta.join(moves, gk, "left").withColumn("converged", F.coalesce(F.col("__move") < STILL, F.lit(False)))
     effect = F.get("beta", F.lit(1))
     return (
         beta.join(alpha, gk)
         .withColumn("log2fc", effect / F.log(F.lit(2.0)))
         .withColumn("stat", effect / F.col("se"))
         .withColumn("p", normal_pvalue("stat"))
-        .select(*gk, "base_mean", "alpha", "log2fc", "se", "stat", F.when(F.isnan("p"), F.lit(None)).otherwise(F.col("p")).alias("p"))
+        .select(*gk, "base_mean", "alpha", "log2fc", "se", "stat", F.when(F.col("converged") & ~F.isnan("p"), F.col("p")).alias("p"), "converged")
         .withColumn("engine", F.lit(ENGINE))
     )

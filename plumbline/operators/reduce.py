@@ -361,8 +361,9 @@ def to_vectors(rows: DataFrame, genes: DataFrame, value: str) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scatter(pos: pd.Series, val: pd.Series) -> pd.Series:
         out = np.zeros((len(pos), width))
-        for i, (p, v) in enumerate(zip(pos, val)):
-            out[i, p] = v
+        if len(pos):
+            row = np.repeat(np.arange(len(pos)), pos.map(len))
+            out[row, np.concatenate(pos.to_numpy())] = np.concatenate(val.to_numpy())
         return pd.Series(list(out))
 
     order = genes.select("gene", F.col("pos").cast("int").alias("pos"))

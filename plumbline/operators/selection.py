@@ -50,12 +50,17 @@ def design_summary(samples: DataFrame, donor: str, order: str, first: list[str],
 
 
 def perturbation_summary(de: DataFrame, genes: list[str], conditions: list[str], measures: list[str]) -> DataFrame:
-    """Selected targets with their measures per condition, one column per (condition, measure)."""
+    """Selected targets with their measures per condition, one column per (condition, measure).
+
+    Where a target repeats within a condition, each measure is taken from the row with the smallest
+    measures, so the answer does not depend on the order of rows.
+    """
+    key = F.struct(*[F.col(m).isNull() for m in measures], *measures)
     return (
         de.filter(F.col("gene").isin(genes))
         .groupBy("gene")
         .pivot("condition", conditions)
-        .agg(*[F.first(m, ignorenulls=True).alias(m) for m in measures])
+        .agg(*[F.min_by(m, key).alias(m) for m in measures])
     )
 
 

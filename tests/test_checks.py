@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.checks import audit as au
+from plumbline.checks import base
 from plumbline.checks.base import Finding, findings_frame
 from plumbline.dataset import Claim, Dataset, Design
 from plumbline.operators import scoring as sc
@@ -132,18 +133,30 @@ def test_a_failing_check_never_invents_numbers(toy):
     class Broken:
         id = 1
 
+        def __init__(self, error):
+            self.error = error
+
         def run(self, *_):
-            raise RuntimeError("boom")
+            raise self.error
 
     original = au.REGISTRY[1]
-    au.REGISTRY[1] = Broken()
     try:
+        au.REGISTRY[1] = Broken(ValueError("boom"))
         f = au.run_check(1, toy, design(), DE)
+        au.REGISTRY[1] = Broken(RuntimeError("executor lost"))
+        with pytest.raises(RuntimeError):
+            au.run_check(1, toy, design(), DE)
     finally:
         au.REGISTRY[1] = original
     assert f.state == "flag_only" and f.original is None and "boom" in f.headline
 
 
+def test_details_hold_every_row(spark, toy):
+    f = au.run_check(1, toy, design(), DE, safe=False)
+    rows = base.details_frame([f])
+    assert rows.filter("detail = 'units'").count() == len(f.charts["significance"]["units"]) > 0
+
+
 def test_rescue_guard():
     with pytest.raises(ValueError):
         Finding(4, "flagged", "x", corrected=0.1, feasibility="unsalvageable")

@@ -111,9 +111,7 @@ def brute_auc(score, label):
     return wins / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("rows_per_block", [1_000_000, 5])
-def test_auc_with_ties_and_implicit_zeros(spark, monkeypatch, rows_per_block):
-    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", rows_per_block)
+def test_auc_with_ties_and_implicit_zeros(spark):
     rng = np.random.default_rng(4)
     member = rng.integers(0, 2, 120).astype(bool)
     value = rng.integers(0, 25, 120) * (rng.uniform(size=120) < 0.6)
