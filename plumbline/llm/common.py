@@ -33,6 +33,22 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*kept: DataFrame) -> None:
+    """Delete kept tables whose results are kept themselves; nothing may read them any more."""
+    for df in kept:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slices(batches, rows: int):
+    """Arrow batches of at most `rows` rows, so that what a worker holds at once stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count shows at most `rows` rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

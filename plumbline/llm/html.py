@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, lookup
+from plumbline.llm.common import keep, lookup, slices
 
 #: A path wins if it is the deepest one with this share of the host's best score; others wait as fallback.
 AGREE, FALLBACK = 0.8, 0.05
@@ -220,7 +220,7 @@ def _votes(batches):
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in slices(batches, 256):
         out = []
         for html, paths in zip(batch.column(2), batch.column(3), strict=True):
             out.append(extract(parse(html.as_py()), paths.as_py()))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import slices
+
 #: Hash buckets, n-gram orders, smoothing, n-grams after which the evidence no longer sharpens the score.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -165,15 +167,10 @@ def predict(df: DataFrame, model: NaiveBayes, text_col: str = "text", keep: list
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            texts = batch.column(at)
-            names, p = [], []
-            for i in range(0, len(texts), 256):
-                a, b = score(model, texts.slice(i, 256).to_pylist())
-                names += a
-                p.append(b)
+        for batch in slices(batches, 256):
+            names, p = score(model, batch.column(at).to_pylist())
             yield pa.record_batch(
-                [*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(np.concatenate(p) if p else [], pa.float64())], names=[*kept, "lang_pred", "score"]
+                [*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(p, pa.float64())], names=[*kept, "lang_pred", "score"]
             )
 
     rows = df.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("__text")]))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import slices
+
 #: UTF-8 bytes handed to the tokenizer at once, and characters beyond which a text is split.
 BATCH_BYTES = 1 << 20
 SEGMENT = 1 << 16
@@ -44,7 +46,7 @@ def counter(model_file: str, batch_bytes: int, limit: int):
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         safe = splits_at_space(model)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             ids, texts = batch.column(0), batch.column(1)
             n_bytes, n_tokens = [], [0] * len(texts)
             waiting: list[str] = []

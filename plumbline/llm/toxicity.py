@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import slices
+
 #: Labelled rows that the model is fitted on at most (about; a hash picks them), terms kept, factors.
 TRAIN_ROWS = 20_000
 TERMS = 1024
 FACTORS = 8
 #: Share of the training rows that must hold a term, and how many rows at least.
 SUPPORT, SUPPORT_ROWS = 0.002, 5
-EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.05, 1e-4, 7
+EPOCHS, LINEAR, BATCH, RATE, SEED = 60, 30, 256, 0.2, 7
+#: Shrinkage of weights and of factors, divided by the number of training rows.
+SHRINK, SHRINK_FACTORS = 3.0, 10.0
 THRESHOLD = 0.3
 
 _TERM = re.compile(r"[^\W\d_]{2,}")
@@ -32,7 +36,7 @@ def term_hash(term: str) -> int:
 class Terms(dict):
     """Term to its number in the model, -1 for others; remembered while there is room."""
 
-    ROOM = 1 << 18
+    ROOM = 1 << 16
 
     def __init__(self, numbers: dict[int, int]):
         self.numbers = numbers
@@ -75,7 +79,10 @@ class Machine:
 
 
 def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
-    """Logistic loss by mini-batches with per-parameter step sizes; the same input gives the same model."""
+    """Logistic loss by mini-batches with per-parameter step sizes; the same input gives the same model.
+
+    The first LINEAR epochs fit the weights alone, so that the factors learn what single terms do not explain.
+    """
     rng = np.random.default_rng(SEED)
     n = max(len(hashes), 1)
     share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.01
@@ -83,7 +90,7 @@ def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors
     if not len(labels) or not hashes:
         return m
     sq_b, sq_w, sq_v = 1e-6, np.full(n, 1e-6), np.full((n, factors), 1e-6)
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
@@ -93,26 +100,23 @@ def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors
             sizes = np.array([len(d) for d in part])
             if sizes.any():
                 at, of = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
-                v = m.factor[at]
-                sums = np.zeros((len(part), factors))
-                np.add.at(sums, of, v)
                 e = err[of] / len(part)
-                gw, gv = np.zeros(n), np.zeros((n, factors))
-                np.add.at(gw, at, e)
-                np.add.at(gv, at, e[:, None] * (sums[of] - v))
-                gw += DECAY * m.weight
-                gv += DECAY * m.factor
+                gw = np.bincount(at, e, n) + SHRINK / len(docs) * m.weight
                 sq_w += gw * gw
-                sq_v += gv * gv
                 m.weight -= RATE * gw / np.sqrt(sq_w)
-                m.factor -= RATE * gv / np.sqrt(sq_v)
+                if epoch >= LINEAR:
+                    v, sums, gv = m.factor[at], np.zeros((len(part), factors)), SHRINK_FACTORS / len(docs) * m.factor
+                    np.add.at(sums, of, v)
+                    np.add.at(gv, at, e[:, None] * (sums[of] - v))
+                    sq_v += gv * gv
+                    m.factor -= RATE * gv / np.sqrt(sq_v)
             sq_b += gb * gb
             m.bias -= RATE * gb / np.sqrt(sq_b)
     return m
 
 
 def _distinct_terms(batches):
-    for batch in batches:
+    for batch in slices(batches, 256):
         found = [[term_hash(t) for t in set(_TERM.findall(x.lower()))] for x in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "terms"])
 
@@ -145,7 +149,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def numbered(batches):
         dictionary = Terms(numbers.value)
-        for batch in batches:
+        for batch in slices(batches, 256):
             out = [dictionary.of(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "at"])
 
@@ -169,7 +173,7 @@ def predict(df: DataFrame, model: Machine, text_col: str = "text", keep: list[st
     def run(batches):
         model = shared.value
         dictionary = model.terms()
-        for batch in batches:
+        for batch in slices(batches, 256):
             docs = [dictionary.of(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             p = model.scores(docs)
             yield pa.record_batch([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])

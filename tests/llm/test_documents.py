@@ -150,8 +150,8 @@ def test_toxicity(spark):
     rng = np.random.default_rng(1)
     plain = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
     rows, labels = [], []
-    for i in range(600):
-        words = list(rng.choice(plain, 40))
+    for i in range(2400):
+        words = list(rng.choice(plain, 20))
         insult, group = rng.random() < 0.5, rng.random() < 0.5
         words += ["oaf"] * insult + ["tribe"] * group
         rows.append((i, " ".join(rng.permutation(words)), "en", "a"))
