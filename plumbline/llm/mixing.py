@@ -14,7 +14,7 @@ from plumbline.llm.common import keep, words
 #: Words in a block, blocks in an output shard, documents in a bucket of a source's word order.
 BLOCK = 512
 SHARD = 1024
-BUCKET = 4096
+BUCKET = 512
 #: Weights of the sources in code-point order, repeating; words of the mix per word of the input;
 #: most times a source is read.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -91,6 +91,20 @@ class Source:
         return SEED + self.key * 101 + turn
 
 
+def before(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """Rows (s, order, value) with `before`, the sum of value over smaller orders of s.
+
+    Sums run within chunks of 1024 orders, then over chunk totals, so no task gets all orders of a source.
+    """
+    far = rows.withColumn("chunk", F.expr(f"{order} div 1024"))
+    inside = Window.partitionBy("s", "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = far.groupBy("s", "chunk").agg(F.sum(value).alias("__n"))
+    chunks = chunks.select("s", "chunk", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__base"))
+    summed = far.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(chunks, ["s", "chunk"])
+    return summed.withColumn("before", F.col("__base") + F.col("__in")).drop("chunk", "__base", "__in")
+
+
 def _draws(shared, shard: int):
     def run(batches):
         sources: list[Source] = shared.value
@@ -183,11 +197,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     buckets = max(1, rows.count() // BUCKET)
     placed = named.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("id", "thash", F.lit(SEED)), F.lit(buckets)))
-    before = Window.partitionBy("s", "bucket").orderBy("id", "size", "thash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    earlier = Window.partitionBy("s", "bucket").orderBy("id", "size", "thash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     totals = named.where("size > 0").groupBy("s", F.pmod(F.xxhash64("id", "thash", F.lit(SEED)), F.lit(buckets)).alias("bucket")).agg(F.sum("size").alias("n"))
-    chain = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("s", "bucket", F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("base"))
+    base = before(totals, "bucket", "n").select("s", "bucket", F.col("before").alias("base"))
     placed = placed.join(base, ["s", "bucket"]).select("s", "id", "thash", "size", (F.col("base") + F.col("within")).alias("start"))
     placed = keep(placed, "placed")
 
@@ -196,13 +209,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     shards = spark.range(-(-slots // shard))
     draws = keep(shards.mapInArrow(_draws(shared, shard), "shard long, s int, n long"), "draws")
     drawn = {r.s: r.n for r in draws.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    far = draws.withColumn("chunk", F.expr("shard div 1024"))
-    earlier = Window.partitionBy("s", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = far.groupBy("s", "chunk").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("s", "chunk", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
-    numbered = far.withColumn("within", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(chunks, ["s", "chunk"])
-    numbered = numbered.select("shard", "s", "n", (F.col("base") + F.col("within")).alias("first"))
+    numbered = before(draws, "shard", "n").select("shard", "s", "n", F.col("before").alias("first"))
     taken = numbered.mapInArrow(_slots(shared, [drawn.get(i, 0) for i in range(len(sources))]), "shard long, s int, g long, turn int, block long, use long")
 
     last = F.expr(f"(start + size - 1) div {block}")
