@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, lookup, small
+from plumbline.llm.common import keep, lookup, slices, small
 
 #: Neighbours of a node, reverse neighbours that join in, random partitions to start from, nodes of a block.
 DEGREE, REVERSE, TREES, LEAF = 32, 12, 4, 512
@@ -49,7 +49,7 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
 
 
 def _packed(batches):
-    for batch in batches:
+    for batch in slices(batches, 2048):
         x = np.array(batch.column(1).to_pylist(), np.float32)
         yield pa.record_batch([batch.column(0), pa.array(_pack(x) if len(x) else [], pa.binary())], names=["node", "q"])
 
@@ -90,7 +90,7 @@ def _local_joins(degree: int):
     """Rows (v, members' ids, thresholds, packed vectors): each member's best new partners among the others."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             vs, us, ss = [], [], []
             for ids, least, q in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 ids = np.array(ids.values)
@@ -172,7 +172,7 @@ def graph(nodes: DataFrame, count: int, degree: int = DEGREE, rounds: int = ROUN
 
 def _expand(batches):
     """Frontier rows (query, thr, query vector, neighbour ids, their vectors): neighbours above thr."""
-    for batch in batches:
+    for batch in slices(batches, 1024):
         ids_out, s_out = [], []
         for thr, qv, ids, q in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
             ids = np.array(ids.values)
@@ -187,7 +187,7 @@ def _merge(pool: int):
     """Pools with new candidates: the best `pool` distinct nodes, which of them are expanded already."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             rows = []
             for ids, s, done, more, ms in zip(*(batch.column(i) for i in range(1, 6)), strict=True):
                 ids, s, done = np.array(ids.values), np.array(s.values), np.array(done.values)
