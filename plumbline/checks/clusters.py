@@ -14,7 +14,7 @@ from plumbline.operators import separation as sep
 from plumbline.session import hold
 
 # Thresholds of the decisions.
-CLEAN_AUC, STABLE, DEFAULT_K = 0.62, 0.8, 8
+CLEAN_AUC, STABLE, DEFAULT_K, REPEATS = 0.62, 0.8, 8, 200
 
 
 def _features(ds: Dataset, counts: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ class DoubleDipping(Check):
 
     def run(self, ds: Dataset, design: Design, claim: Claim) -> Finding:
         split = min(max(float(design.knob("split", 0.5)), 0.05), 0.95)
-        seed = int(design.knob("seed", 0))
+        seed, repeats, draw = int(design.knob("seed", 0)), int(design.knob("repeats", REPEATS)), design.knob("draw", "xx")
         group = design.knob("grouping") or design.grouping or design.derived
         target = design.knob("target_group") or design.knob("group") or claim.group
         markers = next((list(design.knob(k)) for k in ("markers", "marker_genes", "genes") if design.knob(k)), list(claim.genes))
@@ -60,7 +60,7 @@ class DoubleDipping(Check):
         if not sep.holdout_guard(n, split):
             return Finding(2, base.FLAG_ONLY, "The held-out half is too small to judge.", feasibility=base.NEEDS_DATA)
         k = cells.select("level").distinct().count() if has(ds, group) else DEFAULT_K
-        thinned = hold(sep.thin(counts.select("cell_id", "gene", "value"), split, seed, draw=design.knob("draw", "md5")))
+        thinned = hold(sep.thin(counts.select("cell_id", "gene", "value"), split, seed, draw=draw))
         train = thinned.select("cell_id", "gene", F.col("train").cast("double").alias("value")).filter("value > 0")
         emb = embedding_of(Dataset(ds.cells, features=ds.features), train)
         labels = clu.cluster_to_k(emb, max(2, min(k, n - 1)), seed)
@@ -76,6 +76,7 @@ class DoubleDipping(Check):
         report = sep.holdout_report(aucs, wanted, BY)
         rows = [r.asDict() for r in report.select("gene", "disc", "hold", "survives").collect()]
         s = sep.holdout_summary(report, BY).first()
+        spread = self.spread(counts, claimed, wanted, split, seed, repeats, draw)
         ok = s["hold_mean"] >= CLEAN_AUC and s["surviving"] >= max(1, -(-s["tested"] // 2))
         return Finding(
             2,
@@ -85,11 +86,28 @@ class DoubleDipping(Check):
             corrected=round(s["hold_mean"], 4),
             engine=clu.ENGINE,
             target=str(target or group or ""),
-            numbers={"surviving": s["surviving"], "tested": s["tested"], "heldout_cells": round(n * min(split, 1 - split))},
+            numbers={"surviving": s["surviving"], "tested": s["tested"], "heldout_cells": round(n * min(split, 1 - split)), **spread},
             charts={"groups": {"markers": [r for r in rows if r["hold"] is not None], "split": split, "disc_auc": s["disc_mean"], "hold_auc": s["hold_mean"]}},
         )
 
 
+    @staticmethod
+    def spread(counts, claimed, wanted, split, seed, repeats, draw) -> dict[str, float]:
+        """Median and 95 % interval of the held-out separation over `repeats` splits of all cells.
+
+        The split's seed is a column from the draw to the summary, so all repeats are one job; only the
+        tested markers are drawn again.
+        """
+        if repeats < 1:
+            return {}
+        rows = counts.select("cell_id", "gene", "value").join(wanted.select("gene").distinct(), "gene", "left_semi")
+        seeded = rows.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
+        aucs = sep.split_aucs(sep.thin(seeded, split, F.col("seed"), draw=draw), claimed, BY, extra=["seed"])
+        per = sep.holdout_summary(aucs.withColumn("survives", F.col("hold") >= sep.HOLDS), [*BY, "seed"])
+        iv = sep.interval(per, BY, "hold_mean").first()
+        return {"repeats": repeats} if iv is None else {"repeats": iv["n"], "hold_median": iv["median"], "hold_lo": iv["lo"], "hold_hi": iv["hi"]}
+
+
 def _grid(design: Design) -> list[float]:
     lo, hi, step = (float(design.knob(k, d)) for k, d in (("min", 0.2), ("max", 2.0), ("step", 0.2)))
     return clu.resolutions(lo, hi, max(step, 0.05))

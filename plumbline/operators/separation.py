@@ -32,6 +32,9 @@ def holdout_guard(n: int, eps: float) -> bool:
     return round(n * min(e, 1 - e)) >= 20
 
 
+HOLDS = 0.60  # held-out separation at which a marker holds
+
+
 # --- AUC ---------------------------------------------------------------------------
 def auc_from_hist(hist: DataFrame, by: list[str], fold: bool = True) -> DataFrame:
     """Tie-averaged AUC from (score, n1, n0) histograms; one class only gives 0.5."""
@@ -212,7 +215,7 @@ def holdout_report(aucs: DataFrame, markers: DataFrame, by: list[str]) -> DataFr
     """Per claimed marker: both AUCs and whether it holds (>= 0.60); unknown markers stay null."""
     return (
         markers.join(aucs, [*by, "gene"], "left")
-        .withColumn("survives", F.coalesce(F.col("hold") >= 0.60, F.lit(False)))
+        .withColumn("survives", F.coalesce(F.col("hold") >= HOLDS, F.lit(False)))
     )
 
 

@@ -176,3 +176,11 @@ def test_audit_report_and_actions(spark, toy):
     assert au.recommend(df).filter("check_id = 4 and feasibility = 'unsalvageable'").count() == 1
     p = au.preview(df).filter("check_id = 4").first()
     assert p.unsalvageable and p.after is None
+
+
+def test_double_dipping_reports_its_spread(toy):
+    one = Claim(kind="marker", genes=("g10", "g11"), group="Naive")
+    f = au.run_check(2, toy, design(grouping="cell_state", split=0.5, repeats=30), one, safe=False)
+    again = au.run_check(2, toy, design(grouping="cell_state", split=0.5, repeats=30), one, safe=False)
+    assert f.numbers["repeats"] == 30 and f.numbers["hold_lo"] <= f.numbers["hold_median"] <= f.numbers["hold_hi"]
+    assert [f.numbers[k] for k in ("hold_lo", "hold_median", "hold_hi")] == [again.numbers[k] for k in ("hold_lo", "hold_median", "hold_hi")]
