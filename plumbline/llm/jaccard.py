@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import keep, lookup, small
+from plumbline.llm.common import discard, keep, lookup, slices, small
 from plumbline.llm.shingles import SIZE, set_key, shingles
 
 #: Links need 100 * intersection >= THRESHOLD * union.
@@ -40,7 +40,7 @@ WORK, STAR_ROUNDS = 512, 6
 def _profile(size: int):
     def run(batches):
         sketch, seen = np.zeros(CELLS, np.int32), set()
-        for batch in batches:
+        for batch in slices(batches, 512):
             n, key = [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), size)
@@ -93,7 +93,7 @@ def _ordered(grams: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _entries(shared, size: int, threshold: int):
     def run(batches):
         ranks, seen = shared.value, set()
-        for batch in batches:
+        for batch in slices(batches, 512):
             gs, cs, ns, ps, hs = [], [], [], [], []
             for text in batch.column(0):
                 grams = shingles(text.as_py(), size)
@@ -159,7 +159,7 @@ def _segments(shared, size: int, fragments: int, lo: int, hi: int):
 
     def run(batches):
         ranks = shared.value
-        for batch in batches:
+        for batch in slices(batches, 256):
             keys, frags, parts = [], [], []
             for text in batch.column(0):
                 grams = shingles(text.as_py(), size)
@@ -184,7 +184,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """
     left = segments.select(F.col("cls").alias("a"), "frag", F.col("seg").alias("sa"))
     right = segments.select(F.col("cls").alias("b"), "frag", F.col("seg").alias("sb"))
-    met = pairs.drop("common").join(left, "a").join(right, ["b", "frag"])
+    met = left.join(small(pairs.drop("common")), "a").join(right, ["b", "frag"])
     pair, part = ["a", "na", "b", "nb"], F.size(F.array_intersect("sa", "sb"))
     partial = met.select(*pair, part.alias("common"), F.size("sa").alias("la"), F.size("sb").alias("lb"))
     partial = partial.select(*pair, "common", (F.col("la") - F.col("common")).alias("lost_a"), (F.col("lb") - F.col("common")).alias("lost_b"))
@@ -261,15 +261,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = keep(ends.join(classes, "cls").select(F.col("rep").alias("id")), "wanted")
         texts = rows.join(small(wanted), "id", "left_semi").select("text")
         segments = texts.mapInArrow(_segments(ranks, size, fragments, lo, hi), "cls long, frag int, seg array<long>")
-        return keep(segments.dropDuplicates(["cls", "frag"]) if repeated else segments, "segments")
+        segments = keep(segments.dropDuplicates(["cls", "frag"]) if repeated else segments, "segments")
+        discard(wanted)
+        return segments
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, na, b, nb, common) of the pairs that the first fragments leave."""
         pairs = pairs.withColumn("common", F.lit(0))
         at_most = F.least(F.col("na") - F.col("lost_a"), F.col("nb") - F.col("lost_b"))
-        alive = overlaps(pairs, cut(pairs, 0, FIRST)).where(at_most >= least("na", "nb"))
-        alive = keep(alive.select(*pair, "common"), "alive")
-        return keep(overlaps(alive, cut(alive, FIRST, fragments)).select(*pair, "common"), "verified")
+        begun = cut(pairs, 0, FIRST)
+        alive = keep(overlaps(pairs, begun).where(at_most >= least("na", "nb")).select(*pair, "common"), "alive")
+        discard(begun)
+        rest = cut(alive, FIRST, fragments)
+        done = keep(overlaps(alive, rest).select(*pair, "common"), "verified")
+        discard(rest, alive)
+        return done
 
     enough = F.col("common") * (100 + threshold) >= F.lit(threshold) * (F.col("na") + F.col("nb"))
     pairs = keep(ordered(cold.unionByName(star(bucketed, 0).select(*cold.columns))), "pairs")
