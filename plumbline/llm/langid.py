@@ -163,10 +163,11 @@ def predict(df: DataFrame, model: NaiveBayes, text_col: str = "text", keep: list
     repeated rows are scored alike; an empty table gives an empty result.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values, so that workers need no copy of this package.
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob, model.orders))
 
     def run(batches):
-        model = shared.value
+        model = NaiveBayes(*shared.value)
         for batch in slices(batches, 256):
             names, p = score(model, batch.column(at).to_pylist())
             yield pa.record_batch(

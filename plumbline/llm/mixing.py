@@ -107,7 +107,7 @@ def before(rows: DataFrame, order: str, value: str) -> DataFrame:
 
 def _draws(shared, shard: int):
     def run(batches):
-        sources: list[Source] = shared.value
+        sources = [Source(*s) for s in shared.value]
         n = np.array([s.slots for s in sources], np.float64)
         total = int(n.sum())
         for batch in batches:
@@ -125,7 +125,7 @@ def _draws(shared, shard: int):
 
 def _slots(shared, drawn: list[int]):
     def run(batches):
-        sources: list[Source] = shared.value
+        sources = [Source(*s) for s in shared.value]
         quota = np.array([s.slots for s in sources], np.int64)
         total = np.array(drawn, np.int64)
         over = np.concatenate([[0], np.cumsum(np.maximum(total - quota, 0))])
@@ -204,7 +204,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = placed.join(base, ["s", "bucket"]).select("s", "id", "thash", "size", (F.col("base") + F.col("within")).alias("start"))
     placed = keep(placed, "placed")
 
-    shared = spark.sparkContext.broadcast(sources)
+    shared = spark.sparkContext.broadcast([(s.key, s.size, s.target, s.block) for s in sources])  # plain values: workers need no copy of this package
     slots = sum(s.slots for s in sources)
     shards = spark.range(-(-slots // shard))
     draws = keep(shards.mapInArrow(_draws(shared, shard), "shard long, s int, n long"), "draws")

@@ -168,10 +168,11 @@ def predict(df: DataFrame, model: Machine, text_col: str = "text", keep: list[st
     table gives an empty result.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values, so that workers need no copy of this package.
+    shared = df.sparkSession.sparkContext.broadcast((model.hashes, model.bias, model.weight, model.factor))
 
     def run(batches):
-        model = shared.value
+        model = Machine(*shared.value)
         dictionary = model.terms()
         for batch in slices(batches, 256):
             docs = [dictionary.of(t.as_py()) for t in batch.column(batch.num_columns - 1)]
