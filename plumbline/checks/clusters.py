@@ -127,23 +127,26 @@ class Fragility(Check):
         if emb is None:
             return Finding(3, base.FLAG_ONLY, "There is nothing to cluster.", feasibility=base.NEEDS_DATA)
         column = clu.find_track_column(ds.cells, track) if track else None
-        labels, engine = clu.sweep(emb, grid, seed)
+        labels, engine = self.sweeps(emb, grid, seed, max(1, int(design.knob("repeats", 1))))
         labels = labels.withColumn("case_id", case_key("case", "cell_id"))
         numbers, name = {}, f"'{track}'" if column else "the clustering"
         if column:
             tracked = ds.cells.select("cell_id", (F.col(column).cast("string") == str(track)).alias("tracked"))
-            present = hold(clu.presence(labels.join(tracked, "cell_id"), BY))
+            present = hold(clu.presence(labels.join(tracked, "cell_id"), [*BY, "r"]))
             steps = [
-                {"r": grid[r["setting"]], "present": r["present"], "clusters": r["clusters"]}
-                for r in present.orderBy("setting").collect()
+                {"r": grid[r["setting"]], "present": r["present"], "clusters": int(r["clusters"])}
+                for r in clu.repeated_presence(present, BY, "r").orderBy("setting").collect()
             ]
-            stability = clu.stability(present, BY).first()["stability"]
+            per = clu.stability(present, [*BY, "r"]).withColumnRenamed("stability", "score")
             where = [s["r"] for s in steps if s["present"]]
             numbers = {"present_lo": min(where) if where else grid[0], "present_hi": max(where) if where else grid[0]}
         else:
-            ari = hold(clu.adjacent_ari(labels, BY, len(grid))) if len(grid) > 1 else None
-            stability = clu.mean_ari(ari, BY).first()["ari"] if ari is not None else 1.0
+            per = clu.mean_ari(clu.adjacent_ari(labels, [*BY, "r"], len(grid)), [*BY, "r"]).withColumnRenamed("ari", "score") if len(grid) > 1 else None
             steps = [{"r": r, "present": None, "clusters": None} for r in grid]
+        iv = sep.interval(per, BY, "score").first() if per is not None else None
+        stability = 1.0 if iv is None else iv["median"]
+        if iv is not None:
+            numbers |= {"repeats": iv["n"], "stability_lo": iv["lo"], "stability_hi": iv["hi"]}
         ok = stability >= STABLE
         return Finding(
             3,
@@ -158,6 +161,16 @@ class Fragility(Check):
         )
 
 
+    @staticmethod
+    def sweeps(emb: DataFrame, grid: list[float], seed: int, repeats: int) -> tuple[DataFrame, str]:
+        """Labels of `repeats` re-seeded sweeps, each over every row, told apart by `r`."""
+        every = [clu.sweep(emb, grid, seed + i) for i in range(repeats)]
+        out = every[0][0].withColumn("r", F.lit(0))
+        for i, (labels, _) in enumerate(every[1:], 1):
+            out = out.unionByName(labels.withColumn("r", F.lit(i)))
+        return out, clu.reconcile_engine([e for _, e in every])
+
+
 class ResolutionChoice(Check):
     id = 7
     kinds = ("cluster",)

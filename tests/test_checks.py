@@ -184,3 +184,15 @@ def test_double_dipping_reports_its_spread(toy):
     again = au.run_check(2, toy, design(grouping="cell_state", split=0.5, repeats=30), one, safe=False)
     assert f.numbers["repeats"] == 30 and f.numbers["hold_lo"] <= f.numbers["hold_median"] <= f.numbers["hold_hi"]
     assert [f.numbers[k] for k in ("hold_lo", "hold_median", "hold_hi")] == [again.numbers[k] for k in ("hold_lo", "hold_median", "hold_hi")]
+
+
+def test_fragility_over_repeated_sweeps(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.1, (60, 4)), rng.normal(5, 0.1, (60, 4))])
+    cells = spark.createDataFrame([(str(i), str(i // 60)) for i in range(120)], "cell_id string, label string")
+    emb = spark.createDataFrame([(str(i), x[i].tolist()) for i in range(120)], "cell_id string, vec array<double>")
+    ds = Dataset(cells, embedding=emb)
+    one = Claim(kind="cluster", group="1")
+    f = au.run_check(3, ds, Design(knobs={"max": 0.4, "repeats": 3}), one, safe=False)
+    assert f.numbers["repeats"] == 3 and f.numbers["stability_lo"] <= f.original <= f.numbers["stability_hi"]
+    assert au.run_check(3, ds, Design(knobs={"max": 0.4}), one, safe=False).numbers["repeats"] == 1
