@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, folder, keep, lookup, small
+from plumbline.llm.common import folder, keep, lookup, small
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
