@@ -17,7 +17,6 @@ from plumbline.operators.reduce import (
     measured,
     unit_arm_sizes,
 )
-from plumbline.session import hold
 
 
 def welch(rows: DataFrame, by: list[str], value: Column) -> DataFrame:

@@ -11,7 +11,6 @@ from plumbline.operators import association as asc
 from plumbline.operators import clustering as clu
 from plumbline.operators import inference as inf
 from plumbline.operators import nbmodel
-from plumbline.operators import ordered
 from plumbline.operators import reduce as red
 from plumbline.operators import scoring as sc
 from plumbline.operators import separation as sep

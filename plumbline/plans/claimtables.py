@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from plumbline.operators import claims as cl
 from plumbline.plans import views
 from plumbline.plans.registry import query
-from plumbline.session import hold
 
 
 def claim_view(spark, sf):

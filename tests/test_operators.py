@@ -8,7 +8,6 @@ from plumbline.functions import labels as L
 from plumbline.operators import association as asc
 from plumbline.operators import claims as cl
 from plumbline.operators import clustering as clu
-from plumbline.operators import ordered
 from plumbline.operators import profile as pro
 from plumbline.operators import reduce as red
 from plumbline.operators import scoring as sc
