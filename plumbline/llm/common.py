@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,15 @@ def discard(*kept: DataFrame) -> None:
 
 
 def slices(batches, rows: int):
-    """Arrow batches of at most `rows` rows, so that what a worker holds at once stays small."""
+    """Arrow batches of at most `rows` rows, so that what a worker holds at once stays small.
+
+    At the end the worker, which waits for other tasks, gives its free memory back.
+    """
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+        batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
