@@ -106,6 +106,23 @@ def mann_whitney(hist: DataFrame, by: list[str], order: str) -> DataFrame:
     return sums.groupBy(*by).agg(u.alias("u"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
+def placed_sums(hist: DataFrame, by: list[str], order: str, n: str, within: list[str]) -> DataFrame:
+    """Per by + within: u, n and weighted, from rows (by, within, order, n) that share ranks over all of `by`.
+
+    u sums, over the members, the members of `by` below and half of those level, themselves included;
+    weighted sums the order values.
+    """
+    rows = hist.repartitionByRange(*by, order).withColumn(_RANGE, F.spark_partition_id())
+    part = Window.partitionBy(*by, _RANGE).orderBy(order)
+    mid = F.sum(n).over(part) - F.sum(n).over(Window.partitionBy(*by, _RANGE, order)) / 2.0
+    sums = rows.withColumn("__u", F.col(n) * mid).groupBy(*by, *within, _RANGE)
+    sums = hold(sums.agg(F.sum("__u").alias("__u"), F.sum(n).alias("__n"), F.sum(F.col(n) * F.col(order)).alias("__w")))
+    base = totals_before(sums, by, {"__t": F.sum("__n")}).select(*by, _RANGE, "__t_before")
+    u = F.sum(F.col("__u") + F.col("__n") * F.col("__t_before"))
+    out = equi(sums, base, [*by, _RANGE]).groupBy(*by, *within)
+    return out.agg(u.alias("u"), F.sum("__n").alias("n"), F.sum("__w").alias("weighted"))
+
+
 def position_in_group(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
     """1-based position by a unique `order` key."""
     return running_sum(df.withColumn("__one", F.lit(1)), by, order, {out: "__one"}).drop("__one")

@@ -86,48 +86,40 @@ def member_sizes(cells: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def one_vs_rest(counts: DataFrame, cells: DataFrame, by: list[str], state: str) -> DataFrame:
-    """Histograms of log1p for every (level, feature) against the rest of the cells.
+def one_vs_rest(counts: DataFrame, cells: DataFrame, by: list[str], state: str, fold: bool = True) -> DataFrame:
+    """AUC and mean log1p of every (level, feature) against the rest of the cells.
 
-    The rest is the all-cell histogram minus the level's, so no row is repeated per level.
+    A level's pairs with the rest are its pairs with all cells less those within itself, which its size
+    gives. So each level needs only its own scores beside the running count of all cells; no
+    histogram is repeated per level. Zeros lie below everything and follow from the sizes.
     """
     rows = measured(counts, cells, [*by, state]).withColumn("score", log1p_counts(F.col("value"))).filter("score > 0")
-    level_hist = hold(rows.groupBy(*by, F.col(state).alias("level"), "gene", "score").agg(F.count("*").alias("n1")))
-    all_hist = level_hist.groupBy(*by, "gene", "score").agg(F.sum("n1").alias("nall"))
-    levels = cells.groupBy(*by, F.col(state).alias("level")).agg(F.count("*").alias("size"))
-    total = levels.groupBy(*by).agg(F.sum("size").alias("cells"))
-    pairs = (
-        ordered.attach(all_hist, level_hist.select(*by, "level").distinct(), by)
-        .join(level_hist, [*by, "level", "gene", "score"], "left")
-        .withColumn("n1", F.coalesce("n1", F.lit(0)))
-        .withColumn("n0", F.col("nall") - F.col("n1"))
-        .drop("nall")
-    )
+    hist = rows.groupBy(*by, F.col(state).alias("level"), "gene", "score").agg(F.count("*").alias("n"))
+    seen = hold(ordered.placed_sums(hist, [*by, "gene"], "score", "n", ["level"]))
     keys = [*by, "level", "gene"]
-    zeros = (
-        pairs.groupBy(*keys)
-        .agg(F.sum("n1").alias("__k1"), F.sum("n0").alias("__k0"))
-        .join(levels, [*by, "level"])
-        .join(total, by)
-        .select(
-            *keys,
-            F.lit(0.0).alias("score"),
-            (F.col("size") - F.col("__k1")).alias("n1"),
-            (F.col("cells") - F.col("size") - F.col("__k0")).alias("n0"),
-        )
+    own = seen.select(*keys, F.col("u").alias("__u"), F.col("n").alias("__k"), F.col("weighted").alias("__s"))
+    genes = seen.groupBy(*by, "gene").agg(F.sum("n").alias("__kall"), F.sum("weighted").alias("__sall"))
+    levels = cells.groupBy(*by, F.col(state).alias("level")).agg(F.count("*").alias("n1"))
+    levels = levels.join(levels.groupBy(*by).agg(F.sum("n1").alias("cells")), by)
+    levels = levels.join(seen.select(*by, "level").distinct(), [*by, "level"], "left_semi")
+    grid = ordered.attach(genes, levels, by).join(own, keys, "left")
+    k, u, s1 = (F.coalesce(c, F.lit(0)) for c in ("__k", "__u", "__s"))
+    n1, n0, none = F.col("n1"), F.col("cells") - F.col("n1"), F.col("cells") - F.col("__kall")
+    pairs = u + k * none + (n1 - k) * none / 2.0 - n1 * n1 / 2.0
+    raw = F.coalesce(F.when((n1 > 0) & (n0 > 0), pairs / (n1 * n0.cast("double"))), F.lit(0.5))
+    return grid.select(
+        *keys,
+        "n1",
+        n0.alias("n0"),
+        (F.greatest(raw, 1 - raw) if fold else raw).alias("auc"),
+        F.try_divide(s1, n1).alias("mean_in"),
+        F.try_divide(F.col("__sall") - s1, n0).alias("mean_out"),
     )
-    return pairs.unionByName(zeros)
 
 
 def rank_markers(counts: DataFrame, cells: DataFrame, by: list[str], state: str) -> DataFrame:
     """One-vs-rest rank-sum per level: z (no tie correction), p, adjusted p, log fold change."""
-    hist = one_vs_rest(counts, cells, by, state)
-    keys = [*by, "level", "gene"]
-    sums = hist.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("score") * F.col("n1")), F.sum("n1")).alias("mean_in"),
-        F.try_divide(F.sum(F.col("score") * F.col("n0")), F.sum("n0")).alias("mean_out"),
-    )
-    a = auc_from_hist(hist, keys, fold=False).join(sums, keys)
+    a, keys = one_vs_rest(counts, cells, by, state, fold=False), [*by, "level", "gene"]
     prod = F.col("n1") * F.col("n0").cast("double")
     z = F.try_divide((F.col("auc") - 0.5) * prod, F.sqrt(prod * (F.col("n1") + F.col("n0") + 1) / 12.0))
     out = (
@@ -148,9 +140,8 @@ def claimed_group(counts: DataFrame, cells: DataFrame, by: list[str], state: str
     scored = None
     if markers:
         wanted = counts.filter(F.col("gene").isin(list(markers)))
-        keys = [*by, "level", "gene"]
         scored = (
-            auc_from_hist(one_vs_rest(wanted, cells, by, state), keys)
+            one_vs_rest(wanted, cells, by, state)
             .groupBy(*by, "level")
             .agg(F.avg("auc").alias("mean_auc"))
         )

@@ -210,8 +210,7 @@ def spurious_groups(spark, sf):
     halves = {}
     for half in ("train", "test"):
         rows = thinned.select("cell_id", "gene", F.col(half).cast("double").alias("value"))
-        hist = sep.one_vs_rest(rows, groups.withColumn("case_id", case_key("orders", "cell_id")), BY, "cluster")
-        halves[half] = sep.auc_from_hist(hist, [*BY, "level", "gene"])
+        halves[half] = sep.one_vs_rest(rows, groups.withColumn("case_id", case_key("orders", "cell_id")), BY, "cluster")
     joined = halves["train"].select(*BY, "level", "gene", F.col("auc").alias("disc")).join(
         halves["test"].select(*BY, "level", "gene", F.col("auc").alias("hold")), [*BY, "level", "gene"]
     )

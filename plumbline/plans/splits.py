@@ -94,8 +94,8 @@ OVR = """levels AS (SELECT DISTINCT region AS lv FROM cells),
 
 @query("auc_by_brand_per_region", base(GENES, OVR) + 'SELECT lv AS "level", gene, round(auc, 9) AS auc FROM (' + auc_sql("dense", "lv, gene", "v") + ")")
 def auc_by_brand_per_region(spark, sf):
-    hist = sep.one_vs_rest(views.brand_counts(spark, sf), views.order_cells(spark, sf), BY, "region")
-    return sep.auc_from_hist(hist, [*BY, "level", "gene"]).select("level", "gene", F.round("auc", 9).alias("auc"))
+    out = sep.one_vs_rest(views.brand_counts(spark, sf), views.order_cells(spark, sf), BY, "region")
+    return out.select("level", "gene", F.round("auc", 9).alias("auc"))
 
 
 @query("claimed_group_by_markers", base(GENES, OVR, "a AS (" + auc_sql("dense", "lv, gene", "v") + ")", "sz AS (SELECT region AS lv, COUNT(*) AS n FROM cells GROUP BY 1)")
