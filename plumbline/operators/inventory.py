@@ -86,8 +86,14 @@ def cluster_fields(typed: DataFrame) -> DataFrame:
     )
 
 
-def inventory(cells: DataFrame, typed: DataFrame, layers: DataFrame, features: DataFrame, kinds: DataFrame) -> DataFrame:
-    """One row describing a dataset: sizes, columns, stored results, clusterings, layers."""
+def inventory(
+    cells: DataFrame, typed: DataFrame, layers: DataFrame, features: DataFrame, kinds: DataFrame, embeddings: list[str] | None = None
+) -> DataFrame:
+    """One row describing a dataset: sizes, columns, stored results, clusterings, layers.
+
+    `embeddings` names the dataset's embeddings, if it tells them; they follow as a sorted column.
+    """
+    extra = [] if embeddings is None else [F.array(*[F.lit(e) for e in sorted(embeddings)]).cast("array<string>").alias("embeddings")]
     seen = F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "column"))), lambda s: s["column"]
     )
@@ -110,6 +116,7 @@ def inventory(cells: DataFrame, typed: DataFrame, layers: DataFrame, features: D
         one(layer_names, "layers").alias("layers"),
         one(results, "stored").alias("stored"),
         one(head, "feature_sample").alias("feature_sample"),
+        *extra,
     )
 
 

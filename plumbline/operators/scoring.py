@@ -251,6 +251,24 @@ def truth_drift(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     return gone.unionByName(came)
 
 
+# A fragile case needs a clear margin, a stable one must stay present.
+FRAGILE_MAX, STABLE_MIN = 0.45, 0.8
+
+
+def lost_margins(labels: DataFrame) -> DataFrame:
+    """Cases whose stability no longer keeps its margin, and why; any row refuses the relabelling.
+
+    Fragile positives (family spurious_state or continuum) stay at or under FRAGILE_MAX; cases labelled
+    not fragile stay at or over STABLE_MIN. A missing stability is a lost margin.
+    """
+    fragile = F.col("family").isin("spurious_state", "continuum") & (F.col("polarity") == "pos")
+    s = F.col("stability")
+    why = F.when(fragile & ~F.coalesce(s <= FRAGILE_MAX, F.lit(False)), F.lit("fragile case without margin")).when(
+        ~fragile & ~F.col("fragility") & ~F.coalesce(s >= STABLE_MIN, F.lit(False)), F.lit("stable case without margin")
+    )
+    return labels.withColumn("reason", why).filter("reason is not null").select("case_id", "stability", "reason")
+
+
 def accept_cases(labels: DataFrame) -> DataFrame:
     """Generated cases whose truth equals the intent with a clear margin on the deciding number."""
     fam, positive = F.col("family"), F.col("polarity") == "pos"

@@ -282,3 +282,24 @@ def test_json_sink_drops_non_finite(spark, tmp_path):
         (json.loads(x) for p in (tmp_path / "o").glob("*.json") for x in p.read_text().splitlines()), key=lambda d: d["i"]
     )
     assert lines == [{"i": 1, "a": [1.0, None]}, {"i": 2, "x": 2.5, "a": [3.0]}]
+
+
+def test_margins_are_checked_again(spark):
+    rows = [("a", "spurious_state", "pos", True, 0.4), ("b", "continuum", "pos", True, 0.6), ("c", "p1", "pos", False, 0.7), ("d", "real_state", "neg", False, 0.9), ("e", "p4", "pos", False, None), ("f", "p1", "neg", True, 0.1)]
+    labels = spark.createDataFrame(rows, "case_id string, family string, polarity string, fragility boolean, stability double")
+    assert sorted(r.case_id for r in sc.lost_margins(labels).collect()) == ["b", "c", "e"]
+
+
+def test_inventory_names_embeddings(spark):
+    from plumbline.operators import inventory as inv
+    from plumbline.operators import profile as prof
+    from plumbline.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    cells = views.order_cells(spark, sf).select("cell_id", "region", "price")
+    typed = prof.column_dtypes(prof.profile_columns(cells, "cell_id"))
+    counts = views.brand_counts(spark, sf)
+    layers = counts if "layer" in counts.columns else counts.withColumn("layer", F.lit("counts"))
+    stored = spark.createDataFrame([], "key string, kind string")
+    row = inv.inventory(cells, typed, layers, views.brand_features(spark, sf), stored, ["X_umap", "X_pca"]).first()
+    assert row.embeddings == ["X_pca", "X_umap"] and row.has_raw_counts
