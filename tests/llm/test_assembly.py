@@ -142,6 +142,22 @@ def test_neighbours_recall_through_the_graph(spark, monkeypatch):
     assert hits >= 0.95 * 20 * len(want)
 
 
+@pytest.mark.parametrize("noise", [0.03, 0.001])
+def test_neighbours_recall_among_near_copies(spark, monkeypatch, noise):
+    """A third of the rows are slightly perturbed copies of one vector."""
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(1000, 64)) * noise / 8
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = rows_of(neighbours.nearest(vectors(spark, x), neighbours.F.col("vec_id") % 20 == 0))
+    want = brute(x, range(0, 3000, 20), 20)
+    for group in (0, 1):
+        asked = [q for q in want if (q % 3 == 0) == (group == 0)]
+        hits = sum(r["vec_id"] in want[r["query_id"]] for r in got if r["query_id"] in asked)
+        assert hits >= 0.9 * 20 * len(asked), group
+
+
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 PAGES = [
     (1, "http://a/1", "<p>one</p>"),
