@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import keep, lookup, slices
 
-#: A path wins if it is the deepest one with this share of the host's best score; others wait as fallback.
+#: A path wins if it is the deepest one with this share of the host's best score; others wait as fallback. It says where
+#: the article is; each page then adds the text around it.
 AGREE, FALLBACK = 0.8, 0.05
 HOSTS = 100_000
 
@@ -187,10 +188,43 @@ def container_scores(page: Page) -> dict[str, tuple[float, int]]:
     return {p: s for p, s in scores.items() if s[0] > 0}
 
 
+def outermost(page: Page, path: str) -> set[int]:
+    """The elements with a path, or the containers around them that hold more of the article.
+
+    A container around is taken if it leaves text outside links and junk out of the containers within. Around an
+    article or main, and in body, only text of its own counts: other containers there are other parts of the page.
+    """
+    els = page.elements
+    told = [el for el, text, linked in page.blocks if not els[el].junk and len(text) > 2 * linked]
+    up = [-1] * len(els)  # the nearest container at or around an element
+    for i, e in enumerate(els):
+        up[i] = i if e.tag in CONTAINER else up[e.parent] if e.parent >= 0 else -1
+    level = {i for i, e in enumerate(els) if e.path == path and not e.junk}
+    best, left, whole = level, told, False
+    held = level
+    while level:
+        inside = [False] * len(els)
+        for i, e in enumerate(els):
+            inside[i] = i in held or (e.parent >= 0 and inside[e.parent])
+        left = [el for el in left if not inside[el]]
+        if not left:
+            break
+        whole = whole or any(els[i].tag in ("article", "main") for i in level)
+        level = {up[els[i].parent] for i in level if els[i].parent >= 0} - {-1}
+        parts = {i for i in level if els[i].tag in ("article", "main") or not (whole or els[i].tag == "body")}
+        below = [False] * len(els)
+        for i, e in enumerate(els):
+            below[i] = i in parts or (e.parent >= 0 and below[e.parent])
+        if any(below[el] or up[el] in level for el in left):
+            best = held = level
+    return best
+
+
 def extract(page: Page, paths: list[str] | None) -> str:
     """Text of the blocks below the first of the paths that the page has, in page order, without junk.
 
-    A page with none of them is read at its own best container, or whole if it has none.
+    Text of the article that stands around that container comes with it (`outermost`). A page with none
+    of the paths is read at its own best container, or whole if it has none.
     """
     here = {e.path for e in page.elements if not e.junk}
     path = next((p for p in paths or [] if p in here), None)
@@ -198,9 +232,10 @@ def extract(page: Page, paths: list[str] | None) -> str:
         own = container_scores(page)
         best = max((s for s, _ in own.values()), default=0)
         path = max(((d, s, p) for p, (s, d) in own.items() if s >= AGREE * best), default=(0, 0, None))[2]
+    tops = outermost(page, path) if path is not None else set()
     inside = [False] * len(page.elements)
     for i, e in enumerate(page.elements):
-        inside[i] = path is None or e.path == path or (e.parent >= 0 and inside[e.parent])
+        inside[i] = path is None or i in tops or (e.parent >= 0 and inside[e.parent])
     return " ".join(t for el, t, _ in page.blocks if inside[el] and not page.elements[el].junk)
 
 

@@ -244,6 +244,32 @@ def test_html_hosts_vote(spark):
     assert html.main_texts(df.limit(0)).count() == 0
 
 
+BODY = "<p>" + "Long text of the story goes on. " * 30 + "</p>"
+NESTED = [
+    f"<article><h1>Title</h1><p>lead</p><div class='body'>{BODY}</div></article>",
+    f"<article><div class='hd'><h1>Title</h1></div><div><p>lead</p></div><section>{BODY}</section></article>",
+    f"<main><h1>Title</h1><article><p>lead</p><table><tr><td>{BODY}</td></tr></table></article></main>",
+    f"<div class='post'><h1>Title</h1><p>lead</p><div><div><blockquote>{BODY}</blockquote></div></div></div>",
+    f"<h1>Title</h1><p>lead</p><ul><li>{BODY}</li></ul>",
+]
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+def test_html_text_beside_a_nested_body(spark, copies):
+    junk = "<nav><a href='/'>Home</a></nav><div class='ad'>Buy</div>"
+    rows = [(10 * c + i, f"http://n{i}.org/{c}", page(junk + h + "<footer>f</footer>")) for i, h in enumerate(NESTED) for c in range(copies)]
+    got = {r["page_id"]: r["text"] for r in rows_of(html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert len(got) == len(rows)
+    for at, text in got.items():
+        assert text == "Title lead " + " ".join(["Long text of the story goes on."] * 30), at
+
+
+def test_html_other_parts_stay_out(spark):
+    beside = page(f"<div class='wrap'><div class='zone'>offers</div><article><div class='body'>{BODY}</div></article><div class='zone'>more</div></div>")
+    got = rows_of(html.main_texts(spark.createDataFrame([(1, "http://o.org/", beside)], "page_id long, url string, html string")))
+    assert got[0]["text"] == " ".join(["Long text of the story goes on."] * 30)
+
+
 def test_pipeline_stages(spark):
     df = documents(spark)
     kept = []
