@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import keep as kept_table
+from plumbline.llm.common import slices, small
 
-#: Labelled rows that the model is fitted on at most (about; a hash picks them), terms kept, factors.
+#: Labelled rows that the gradient steps use at most (about; a hash picks them), terms kept, factors.
 TRAIN_ROWS = 20_000
 TERMS = 1024
 FACTORS = 8
-#: Share of the training rows that must hold a term, and how many rows at least.
-SUPPORT, SUPPORT_ROWS = 0.002, 5
+#: Labelled rows that must hold a term, whatever their number.
+SUPPORT_ROWS = 5
 EPOCHS, LINEAR, BATCH, RATE, SEED = 60, 30, 256, 0.2, 7
 #: Shrinkage of weights and of factors, divided by the number of training rows.
 SHRINK, SHRINK_FACTORS = 3.0, 10.0
 THRESHOLD = 0.3
 
+#: Stands in every document's terms, so that one pass counts documents too; hashes of terms are not negative.
+EVERY = -1
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -78,15 +81,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
+def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors: int = FACTORS, epochs: int = EPOCHS, start: np.ndarray | None = None) -> Machine:
     """Logistic loss by mini-batches with per-parameter step sizes; the same input gives the same model.
 
-    The first LINEAR epochs fit the weights alone, so that the factors learn what single terms do not explain.
+    Weights begin at `start`, zero if not given, and shrink towards it. The first LINEAR epochs fit the weights alone, so that the factors learn what single terms do not explain.
     """
     rng = np.random.default_rng(SEED)
     n = max(len(hashes), 1)
     share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.01
-    m = Machine(hashes, float(np.log(share / (1 - share))), np.zeros(n), rng.normal(0, 0.01, (n, factors)))
+    start = np.zeros(n) if start is None or not hashes else start
+    m = Machine(hashes, float(np.log(share / (1 - share))), start.copy(), rng.normal(0, 0.01, (n, factors)))
     if not len(labels) or not hashes:
         return m
     sq_b, sq_w, sq_v = 1e-6, np.full(n, 1e-6), np.full((n, factors), 1e-6)
@@ -101,7 +105,7 @@ def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors
             if sizes.any():
                 at, of = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
                 e = err[of] / len(part)
-                gw = np.bincount(at, e, n) + SHRINK / len(docs) * m.weight
+                gw = np.bincount(at, e, n) + SHRINK / len(docs) * (m.weight - start)
                 sq_w += gw * gw
                 m.weight -= RATE * gw / np.sqrt(sq_w)
                 if epoch >= LINEAR:
@@ -117,34 +121,35 @@ def learn(docs: list[np.ndarray], labels: np.ndarray, hashes: list[int], factors
 
 def _distinct_terms(batches):
     for batch in slices(batches, 256):
-        found = [[term_hash(t) for t in set(_TERM.findall(x.lower()))] for x in batch.column(1).to_pylist()]
+        found = [[EVERY, *(term_hash(t) for t in set(_TERM.findall(x.lower())))] for x in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "terms"])
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, terms: int = TERMS) -> Machine:
-    """Fit on at most about `train_rows` labelled rows, picked by a hash of the id.
+    """Choose terms by all labelled rows; take gradient steps on about `train_rows` of them, picked by a hash of the id.
 
-    labels: id and a 0/1 label; null labels teach nothing, and an id with both labels counts as 1. The
-    picked labels, bounded by train_rows, are broadcast to the texts. Spark counts in how many
-    documents with either label each hashed term occurs; the `terms` with the largest chi-square among
-    those with support make the features. Only their numbers in the picked rows reach the driver.
-    Copies of one text count once.
+    labels: id and a 0/1 label; null labels teach nothing, and an id with both labels counts as 1.
+    Spark counts in how many labelled documents with either label each hashed term occurs; the `terms` with
+    the largest chi-square among those in SUPPORT_ROWS documents make the features. A term in fewer than
+    SUPPORT_ROWS picked rows begins at its log odds over all labelled rows, shrunk. Only the numbers of
+    the terms in the picked rows reach the driver. Copies of one text count once.
     """
     spark = df.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    share = min(1.0, train_rows / max(known.count(), 1))
-    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    known = kept_table(known, "known")
+    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small(known), id_col)
     rows = rows.withColumn("h", F.xxhash64("text"))
-    first = rows.groupBy("h").agg(F.min(id_col).alias(id_col))
-    texts = rows.join(F.broadcast(first.select(id_col)), id_col, "left_semi").select("toxic", "text").dropDuplicates()
-    found = texts.mapInArrow(_distinct_terms, "toxic int, terms array<long>")
-    n, pos = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    each = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
+    first = kept_table(rows.groupBy("h").agg(F.min(id_col).alias(id_col)).select(id_col).distinct(), "first")
+    texts = rows.join(small(first), id_col, "left_semi").select(id_col, "toxic", "text").dropDuplicates()
+    found = texts.select("toxic", "text").mapInArrow(_distinct_terms, "toxic int, terms array<long>")
+    each = kept_table(found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")), "terms")
+    n, pos = (each.where(F.col("term") == EVERY).select("n", "p").first() or (0, 0))
     expected = F.col("n") * F.lit(pos / max(n, 1))
     chi = (F.col("p") - expected) ** 2 / F.greatest(expected * F.lit(1 - pos / max(n, 1)), F.lit(1e-9))
-    best = each.where(F.col("n") >= max(SUPPORT_ROWS, SUPPORT * n)).select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(terms)
-    hashes = [r.term for r in best.collect()]
+    best = each.where((F.col("term") != EVERY) & (F.col("n") >= SUPPORT_ROWS)).select("term", "n", "p", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(terms).collect()
+    hashes = [r.term for r in best]
+    share = min(1.0, train_rows / max(n, 1))
+    picked = texts.where(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("toxic", "text")
     numbers = spark.sparkContext.broadcast({h: i for i, h in enumerate(hashes)})
 
     def numbered(batches):
@@ -153,11 +158,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             out = [dictionary.of(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "at"])
 
-    data = texts.mapInArrow(numbered, "toxic int, at array<int>").toArrow()
+    data = picked.mapInArrow(numbered, "toxic int, at array<int>").toArrow()
     docs = [np.array(x, np.int32) for x in data.column("at").to_pylist()]
     y = data.column("toxic").to_numpy().astype(np.float64)
     order = sorted(range(len(docs)), key=lambda i: (y[i], docs[i].tolist()))  # the model does not depend on how rows arrive
-    return learn([docs[i] for i in order], y[order], hashes)
+    base = (pos + 0.5) / (n + 1)
+    have, bad = np.array([r.n for r in best], float), np.array([r.p for r in best], float)
+    odds = (bad + SHRINK * base) / (have - bad + SHRINK * (1 - base)) * (1 - base) / base
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64), minlength=len(best))
+    return learn([docs[i] for i in order], y[order], hashes, start=np.where(seen < SUPPORT_ROWS, np.log(odds), 0.0))
 
 
 def predict(df: DataFrame, model: Machine, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -163,6 +163,24 @@ def test_toxicity(spark):
     assert np.mean([(s >= 0.3) == bool(y) for s, y in held]) > 0.95  # the pair, not either word
 
 
+@pytest.mark.parametrize("train_rows", [20_000, 500])
+def test_toxicity_of_a_rare_insult(spark, train_rows):
+    """Seven of 4,000 documents hold it; few of them, or none, are among the rows of the gradient steps."""
+    rng = np.random.default_rng(3)
+    plain = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    rare = {500 * k + 7 for k in range(7)}
+    rows, labels = [], []
+    for i in range(4000):
+        common = i not in rare and rng.random() < 0.05
+        rows.append((i, " ".join([*rng.choice(plain, 20), *["oaf"] * common, *["churl"] * (i in rare)]), "en", "a"))
+        labels.append((i, int(common or i in rare)))
+    usual = " ".join(rng.choice(plain, 20))
+    new = [(9000, f"{usual} churl", "en", "a"), (9001, usual, "en", "a"), (9002, f"{usual} oaf", "en", "a")]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), train_rows=train_rows)
+    got = {r["doc_id"]: r["score"] for r in rows_of(toxicity.predict(documents(spark, new), model))}
+    assert got[9000] > 5 * got[9001] and got[9001] < 0.3 <= got[9002]  # seven are shrunk, but no longer nothing
+
+
 def test_toxicity_of_awkward_rows(spark):
     df = documents(spark)
     marks = spark.createDataFrame([(1, 0), (7, 1), (7, 0), (9, None), (None, 1), (99, 1)], "doc_id long, toxic int")
