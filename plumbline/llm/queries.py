@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, html, jaccard, langid, mixing, neighbours, packing, tokens, toxicity, warc
+from plumbline.llm import centroids, exact, html, jaccard, langid, mixing, neighbours, packing, simhash, tokens, toxicity, warc, whitening
 from plumbline.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,45 @@ def op9_toxicity(spark, sf):
 @query
 def op10_html_text(spark, sf):
     return html.main_texts(read(spark, sf, "pages"))
+
+
+@query
+def op11_centroid_clustering(spark, sf):
+    return centroids.clustered(read(spark, sf, "embeddings")).drop("scans")
+
+
+_ROUND = """
+d{i} AS (
+  SELECT v.row, v.vec_id, v.x, c.n AS cluster, list_sum(list_transform(range(1, 65), lambda k: (v.x[k] - c.x[k]) * (v.x[k] - c.x[k])))::BIGINT AS distance
+  FROM v CROSS JOIN c{i} c
+), a{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)"""
+_MOVE = """, e{i} AS (
+  SELECT cluster, k, sum(x[k])::BIGINT AS s, count(*)::BIGINT AS m FROM a{i} CROSS JOIN range(1, 65) t(k) GROUP BY cluster, k
+), f{i} AS (
+  SELECT cluster, list((s - (((s % m) + m) % m)) // m ORDER BY k) AS x FROM e{i} GROUP BY cluster
+), c{j} AS (SELECT c.n, coalesce(f.x, c.x) AS x FROM c{i} c LEFT JOIN f{i} f ON f.cluster = c.n),"""
+SQL["op11_centroid_clustering"] = (
+    """
+WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64),
+v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(e, lambda y: floor(64 * y)::BIGINT) AS x FROM w
+  WHERE len(list_filter(e, lambda y: isfinite(y))) = 64
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS n, x FROM v QUALIFY n < 16),"""
+    + "".join(_ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 3 else "") for i in range(4))
+    + """
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 c ON c.n = cluster
+"""
+)
+
+
+@query
+def op12_whitening(spark, sf):
+    return whitening.whiten(read(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_simhash(spark, sf):
+    return simhash.near_duplicates(read(spark, sf, "documents"))
