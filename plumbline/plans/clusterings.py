@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from plumbline.dataset import case_key
 from plumbline.operators import clustering as clu
-from plumbline.operators import ordered
+from plumbline.operators import graph, ordered
 from plumbline.operators import reduce as red
 from plumbline.operators import separation as sep
 from plumbline.plans import views
 from plumbline.plans.registry import query
 from plumbline.plans.sqltext import base
-from plumbline.session import hold
+from plumbline.session import hold, keep
 
 BY = ["case_id"]
 K = len(views.SETTINGS)
@@ -219,3 +219,23 @@ def spurious_groups(spark, sf):
         F.avg("disc").alias("disc_auc"), F.avg("hold").alias("hold_auc")
     )
     return sep.spurious_group(scores, BY)
+
+
+@query("neighbour_graph", """WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ d AS (SELECT a.v, b.v AS u, list_sum(list_transform(range(1, len(a.x)+1), lambda i: (a.x[i]-b.x[i])*(a.x[i]-b.x[i]))) AS d FROM p a JOIN p b ON a.v <> b.v),
+ n AS (SELECT v, u FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY v ORDER BY d, u) <= 15)
+ SELECT v, u, COUNT(*) AS w FROM (SELECT v, u FROM n UNION ALL SELECT u, v FROM n) GROUP BY ALL""")
+def neighbour_graph(spark, sf):
+    """Cells of up to one leaf: exact, so plain SQL can tell; above, tests hold its recall."""
+    return graph.neighbour_graph(views.embedding(spark, sf))
+
+
+@query("graph_communities")
+def graph_communities(spark, sf):
+    """Communities of all vectors at ten resolutions: how many, and their modularity."""
+    emb = views.embedding(spark, sf)
+    grid = clu.resolutions(0.2, 2.0, 0.2)
+    edges = keep(graph.neighbour_graph(emb))
+    found = graph.communities(edges, emb.select(F.col("cell_id").alias("v")), grid)
+    out = graph.modularity(edges, found, grid)
+    return out.select(F.get(F.array(*[F.lit(r) for r in grid]), F.col("s")).alias("r"), "communities", "modularity", F.lit(graph.ENGINE).alias("engine"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -46,6 +47,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write a result to the shared folder and read it back: a cut whose plan and size start anew.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan; over many rounds that guess grows
+    without bound, where a written table has the size of its files.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables written by `keep` that nothing reads any more."""
+    for df in kept:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 _scopes: list[list[DataFrame]] = []
 
 
