@@ -121,12 +121,16 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     spark = prints.sparkSession
     if bucket < 2 ** (radius + 1):
         raise ValueError(f"a bucket must hold {2 ** (radius + 1)} fingerprints, or masks may be empty")
-    entries = prints.select("f", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("value"))
+    entries = prints.select("f")
     found, level, heavy = [], [0], None
     while level:
-        below = [(_signed(m), _signed(m | more)) for m in level for more in masks(~m & (2**BITS - 1), radius)]
-        table = F.broadcast(spark.createDataFrame(below, "mask long, next long"))
-        at = entries.join(table, "mask").select("f", F.col("next").alias("mask"), F.col("f").bitwiseAND(F.col("next")).alias("value"))
+        below = {_signed(m): [_signed(m | more) for more in masks(~m & (2**BITS - 1), radius)] for m in level}
+        if heavy is None:
+            at = entries.select("f", F.explode(F.array(*[F.lit(m) for m in below[0]])).alias("mask"))
+        else:
+            table = F.broadcast(spark.createDataFrame(list(below.items()), "mask long, next array<long>"))
+            at = entries.join(table, "mask").select("f", F.explode("next").alias("mask"))
+        at = at.select("f", "mask", F.col("f").bitwiseAND(F.col("mask")).alias("value"))
         at = at.distinct() if heavy is not None else at  # below, several paths may lead to one mask
         crowd = keep(at.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
         # A bucket may hold a third of all fingerprints: its rows are spread before they meet its count.
