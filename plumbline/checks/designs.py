@@ -36,6 +36,12 @@ def audited_samples(ds: Dataset, counts: DataFrame, kept: DataFrame, other: str)
     return picked["gene"], hold(inf.sample_means(focus, BY, ["unit", "arm", other], value))
 
 
+def rank_deficient(cells: DataFrame, factors: list[str]) -> bool:
+    """Whether the factors' joint design is short of rank; cells without a complete row decide nothing."""
+    found = asc.design_rank(cells, BY, factors).first()
+    return found is not None and found["rank_deficient"]
+
+
 def total_units(kept: DataFrame) -> int:
     return kept.select("unit").distinct().count()
 
@@ -67,11 +73,7 @@ class Confounding(Check):
         worst = asc.most_aligned(scores, BY).first()
         col, v = worst["column"], worst["v"]
         name = col[2:]
-        sized = scores.agg(F.max("levels_a").alias("a"), F.sum("levels_b").alias("b")).first()
-        if sized["a"] + sized["b"] <= asc.MAX_DESIGN_LEVELS:
-            deficient = asc.design_rank(cells, BY, ["grp", *internal]).first()["rank_deficient"]
-        else:
-            deficient = any(asc.pair_rank_deficient(asc.contingency(cells, BY, "grp", t)) for t in internal)
+        deficient = rank_deficient(cells, ["grp", *internal])
         cells_by_level = asc.contingency(cells, BY, "grp", col).select("a", "b", "n").orderBy("a", "b")
         grid, details = base.detail(cells_by_level), {"grid": cells_by_level}
         if v < ALIGN_MIN and not deficient:
@@ -211,7 +213,7 @@ class UnmodeledCovariate(Check):
         occupied = hold(asc.contingency(cells, BY, "grp", col))
         v = asc.association(occupied, BY).first()["v"]
         numbers = {"v": v}
-        if v >= NESTED_V or asc.pair_rank_deficient(occupied):
+        if v >= NESTED_V or rank_deficient(cells, ["grp", col]):
             return Finding(6, base.CLEAN, f"'{interest}' and '{cov}' cannot be separated; check 4 owns that.", target=cov, numbers=numbers)
         model = design.knob("covariates") or design.knob("model") or []
         if cov in (model if isinstance(model, str) else _levels(model)):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from plumbline.functions.labels import column as named
+from plumbline.session import keep
 
 
 def contingency(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -83,81 +86,87 @@ def most_aligned(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by).agg(best.alias("s")).select(*by, "s.column", "s.v", "s.nested")
 
 
-def design_rank(df: DataFrame, by: list[str], factors: list[str]) -> DataFrame:
-    """Rank of intercept + drop-first one-hots of all factors against its column count.
+PRIME = 2**31 - 1
+#: Remaining levels up to which a design is finished as one dense block of a task, 2 MB.
+BLOCK = 512
 
-    X'X of one-hot columns is made of level and level-pair counts, so the rank is taken on
-    pairwise counts; the number of rows, or of distinct rows, never matters.
-    """
-    singles = None
-    pairs = None
-    for i, f in enumerate(factors):
-        s = df.groupBy(*by, F.col(f).cast("string").alias("a")).agg(F.count("*").alias("n"))
-        s = s.select(*by, F.lit(i).alias("i"), F.lit(i).alias("j"), "a", F.col("a").alias("b"), "n")
-        singles = s if singles is None else singles.unionByName(s)
-        for j in range(i + 1, len(factors)):
-            p = contingency(df, by, f, factors[j]).select(*by, F.lit(i).alias("i"), F.lit(j).alias("j"), "a", "b", "n")
-            pairs = p if pairs is None else pairs.unionByName(p)
-    grid = singles if pairs is None else singles.unionByName(pairs)
-
-    @F.pandas_udf("struct<columns:int,rank:int>")
-    def solve(cells):
-        import pandas as pd
-
-        cols, ranks = [], []
-        for group in cells:
-            entries = [(int(e["i"]), int(e["j"]), e["a"], e["b"], float(e["n"])) for e in group]
-            levels = sorted({(i, a) for i, j, a, _, _ in entries if i == j})
-            first = {}
-            for i, a in levels:
-                first.setdefault(i, a)
-            index = {key: pos + 1 for pos, key in enumerate(k for k in levels if first[k[0]] != k[1])}
-            x = np.zeros((len(index) + 1, len(index) + 1))
-            for i, j, a, b, n in entries:
-                p, q = index.get((i, a)), index.get((j, b))
-                if i == j:
-                    if i == 0:
-                        x[0, 0] += n
-                    if p is not None:
-                        x[p, p] += n
-                        x[0, p] += n
-                        x[p, 0] += n
-                elif p is not None and q is not None:
-                    x[p, q] += n
-                    x[q, p] += n
-            scale = np.sqrt(np.where(np.diag(x) > 0, np.diag(x), 1.0))
-            cols.append(len(index) + 1)
-            ranks.append(int(np.linalg.matrix_rank(x / np.outer(scale, scale), tol=1e-9)))
-        return pd.DataFrame({"columns": cols, "rank": ranks})
-
-    packed = grid.groupBy(*by).agg(F.collect_list(F.struct("i", "j", "a", "b", "n")).alias("g"))
-    return packed.select(*by, solve("g").alias("s")).select(
-        *by,
-        F.col("s.columns").alias("columns"),
-        F.col("s.rank").alias("rank"),
-        (F.col("s.rank") < F.col("s.columns")).alias("rank_deficient"),
-    )
 
+def _dense_rank(width: int):
+    """Rank modulo PRIME of one design's remaining cross-product, by elimination with any pivot."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = rows.iloc[:1, :width]
+        names = pd.Index(pd.unique(pd.concat([rows["a"], rows["b"]])))
+        m = np.zeros((len(names), len(names)), np.int64)
+        m[names.get_indexer(rows["a"]), names.get_indexer(rows["b"])] = rows["x"].to_numpy()
+        rank, row = 0, 0
+        for col in range(len(names)):
+            at = np.flatnonzero(m[row:, col])
+            if not len(at):
+                continue
+            m[[row, row + at[0]]] = m[[row + at[0], row]]
+            m[row] = m[row] * pow(int(m[row, col]), -1, PRIME) % PRIME
+            rest = np.flatnonzero(m[row + 1 :, col]) + row + 1
+            m[rest] = (m[rest] - m[rest, col][:, None] * m[row][None, :]) % PRIME
+            rank, row = rank + 1, row + 1
+            if row == len(names):
+                break
+        return keys.assign(rank=rank)
 
-MAX_DESIGN_LEVELS = 2000
+    return run
 
 
-def pair_rank_deficient(occupied: DataFrame) -> bool:
-    """Rank test of intercept + two factors, for any number of levels of the second.
+@F.pandas_udf(LongType())
+def _inverse(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: pow(int(v), -1, PRIME))
 
-    The one-hot design is rank short exactly when the levels fall into separate groups that
-    share no cell. Only the distinct sets of first-factor levels seen together are collected,
-    so the first factor (the comparison) must have few levels.
+
+def _eliminate(m: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round: the rank of an independent set of pivots per design, and the cross-product that they leave.
+
+    A level is a pivot if it has fewer partners than each of its partners (ties by hash), so no two pivots meet and
+    all go at once. Eliminating one adds entries only among its partners. A cross-product is semi-definite:
+    a level whose own entry is zero has none.
+    """
+    off = m.where("a <> b")
+    degree = off.groupBy(*by, "a").agg(F.count("*").alias("d"))
+    prio = lambda c, d: F.struct(F.col(d), F.xxhash64(c), F.col(c))
+    ends = degree.select(*by, "a", prio("a", "d").alias("pa"))
+    met = off.join(ends, [*by, "a"]).join(ends.select(*by, F.col("a").alias("b"), F.col("pa").alias("pb")), [*by, "b"])
+    beaten = met.groupBy(*by, "a").agg(F.bool_or(F.col("pb") < F.col("pa")).alias("beaten")).where("beaten").select(*by, "a")
+    own = m.where("a = b").select(*by, F.col("a").alias("p"), F.col("x").alias("own"))
+    pivots = keep(own.join(beaten.withColumnRenamed("a", "p"), [*by, "p"], "left_anti"))
+    ranks = pivots.groupBy(*by).agg(F.count("*").alias("rank"))
+    name = pivots.select(*by, "p")
+    rest = m.join(name.withColumnRenamed("p", "a"), [*by, "a"], "left_anti").join(name.withColumnRenamed("p", "b"), [*by, "b"], "left_anti")
+    arms = m.where("a <> b").withColumnRenamed("a", "p").join(pivots.withColumn("inverse", _inverse("own")), [*by, "p"])
+    left = arms.select(*by, "p", F.col("b").alias("a"), (F.col("x") * F.col("inverse") % PRIME).alias("y"))
+    fill = left.join(arms.select(*by, "p", "b", "x"), [*by, "p"]).select(*by, "a", "b", (PRIME - F.col("y") * F.col("x") % PRIME).alias("x"))
+    grown = rest.unionByName(fill).groupBy(*by, "a", "b").agg((F.sum("x") % PRIME).alias("x")).where("x <> 0")
+    return ranks, keep(grown)
+
+
+def design_rank(df: DataFrame, by: list[str], factors: list[str], block: int = BLOCK) -> DataFrame:
+    """Rank of intercept + drop-first one-hots of all factors against its column count, for any number of levels.
+
+    These columns span the same space as all one-hot columns, whose cross-product X'X is made of level and level-pair
+    counts, so the rank is taken on pairwise counts; rows with a missing level are left out. The elimination is
+    exact, in whole numbers modulo a prime, and keyed by level: rounds of independent pivots until `block` levels
+    remain per design, which one task finishes. A rank modulo a prime is never above the true one, so no deficiency goes
+    unseen; it is below with a chance of about levels / 2^31.
     """
-    sets = occupied.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("s")).select("s").distinct().collect()
-    parent: dict[str, str] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for (levels,) in sets:
-        for other in levels:
-            parent[root(other)] = root(levels[0])
-    return len({root(x) for x in list(parent)}) > 1
+    whole = df.select(*by, *[F.col(f).cast("string").alias(f) for f in factors]).dropna(subset=factors)
+    levels = F.array(*[F.concat(F.lit(f"{i}\x1f"), F.col(f)) for i, f in enumerate(factors)])
+    pairs = F.flatten(F.transform(levels, lambda a: F.transform(levels, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    combos = whole.groupBy(*by, *factors).agg(F.count("*").alias("n"))
+    entries = combos.select(*by, "n", F.explode(pairs).alias("e")).groupBy(*by, F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+    m = keep(entries.agg((F.sum("n") % PRIME).alias("x")).where("x <> 0"))
+    columns = m.where("a = b").groupBy(*by).agg((F.count("*") - F.lit(len(factors) - 1)).cast("int").alias("columns"))
+    ranks = None
+    while (m.where("a = b").groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > block:
+        part, m = _eliminate(m, by)
+        ranks = part if ranks is None else ranks.unionByName(part)
+    last = m.select(*by, "a", "b", "x").groupBy(*by).applyInPandas(_dense_rank(len(by)), f"{', '.join(f'{c} {t}' for c, t in df.select(*by).dtypes)}, rank long")
+    ranks = last if ranks is None else ranks.unionByName(last)
+    total = ranks.groupBy(*by).agg(F.sum("rank").cast("int").alias("rank"))
+    return columns.join(total, by).select(*by, "columns", "rank", (F.col("rank") < F.col("columns")).alias("rank_deficient"))

@@ -50,11 +50,41 @@ def test_design_rank_against_matrix(spark):
         assert (got["rank"], got["columns"]) == (want, len(x))
 
 
-def test_pair_rank_matches_general(spark):
-    split = spark.createDataFrame([("c", "a1", "b1"), ("c", "a2", "b2"), ("c", "a2", "b3")], "case_id string, a string, b string")
+def test_design_rank_of_two_factors(spark):
+    split = spark.createDataFrame([("c", "a1", "b1"), ("c", "a2", "b2"), ("c", "a2", "b3"), ("c", None, "b1"), ("d", "a1", "b1")], "case_id string, a string, b string")
     joined = split.union(spark.createDataFrame([("c", "a1", "b3")], split.schema))
-    assert asc.pair_rank_deficient(asc.contingency(split, BY, "a", "b"))
-    assert not asc.pair_rank_deficient(asc.contingency(joined, BY, "a", "b"))
+    for df, rank in [(split, 3), (joined, 4)]:
+        got = {r.case_id: (r["rank"], r["columns"], r.rank_deficient) for r in asc.design_rank(df, BY, ["a", "b"]).collect()}
+        assert got == {"c": (rank, 4, rank < 4), "d": (1, 1, False)}
+    assert asc.design_rank(split.limit(0), BY, ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 6])
+def test_design_rank_by_rounds_against_matrix(spark, block):
+    rng = np.random.default_rng(block)
+    rows, want = [], {}
+    for case in range(12):
+        n, sizes = int(rng.integers(6, 30)), (2, int(rng.integers(2, 9)), int(rng.integers(2, 9)))
+        f = [rng.integers(0, k, n) for k in sizes]
+        x = [np.ones(n)] + [(c == lv).astype(float) for c in f for lv in sorted(set(c.tolist()))[1:]]
+        want[f"c{case}"] = (int(np.linalg.matrix_rank(np.column_stack(x))), len(x))
+        rows += [(f"c{case}", *(f"v{int(c[i])}" for c in f)) for i in range(n)]
+    df = spark.createDataFrame(rows, "case_id string, a string, b string, d string")
+    got = {r.case_id: (r["rank"], r["columns"]) for r in asc.design_rank(df, BY, ["a", "b", "d"], block=block).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("levels", [10, 10_000])
+def test_joint_deficiency_at_any_number_of_levels(spark, levels):
+    """g = u + v with u a property of t1 and v one of t2: short of rank jointly, fine in every pair."""
+    rows = [(i, (i % 4 == 0) * 1, j, (j % 2) * 1) for i in range(levels) for j in range(6)]
+    short = [("c", f"g{u + v}", f"t{i}", f"s{j}") for i, u, j, v in rows if u + v < 2]
+    full = short + [("c", "g0", "t0", "s0")]
+    for data, deficient in [(short, True), (full, False)]:
+        df = spark.createDataFrame(data, "case_id string, g string, t1 string, t2 string")
+        assert asc.design_rank(df, BY, ["g", "t1", "t2"]).first()["rank_deficient"] == deficient
+    df = spark.createDataFrame(short, "case_id string, g string, t1 string, t2 string")
+    assert not any(asc.design_rank(df, BY, list(p)).first()["rank_deficient"] for p in (("g", "t1"), ("g", "t2"), ("t1", "t2")))
 
 
 # --- arms and roles ---
