@@ -17,25 +17,11 @@ from plumbline.session import hold
 CLEAN_AUC, STABLE, DEFAULT_K, REPEATS = 0.62, 0.8, 8, 200
 
 
-def _features(ds: Dataset, counts: DataFrame) -> DataFrame:
-    """Features numbered densely in name order when the dataset brings no positions."""
-    if ds.features is not None:
-        return ds.features
-    names = [r[0] for r in counts.select("gene").distinct().orderBy("gene").limit(clu.MAX_DENSE_FEATURES + 1).collect()]
-    return counts.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "gene string, pos int")
-
-
 def embedding_of(ds: Dataset, counts: DataFrame | None) -> DataFrame | None:
     """The stored embedding if there is one, else components of CP10K-log1p counts."""
     if ds.embedding is not None:
         return ds.embedding.select("cell_id", "vec")
-    if counts is None:
-        return None
-    genes = _features(ds, counts)
-    if genes.count() > clu.MAX_DENSE_FEATURES:
-        keyed = ds.cells.withColumn("case_id", case_key("case", "cell_id")).select("case_id", "cell_id")
-        return clu.embed_hvg(counts, keyed, BY)
-    return clu.embed(counts, ds.cells.select("cell_id"), genes)
+    return None if counts is None else clu.embed(counts, ds.cells.select("cell_id"))
 
 
 class DoubleDipping(Check):

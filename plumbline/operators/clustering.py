@@ -6,23 +6,22 @@ comparing settings is a row-local explode and never a self-join.
 
 from __future__ import annotations
 
+import warnings
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import column
 from plumbline.operators import ordered
-from plumbline.operators.reduce import highly_variable, log1p_cp10k, measured, to_vectors, with_library
-from plumbline.session import hold
+from plumbline.operators.reduce import highly_variable, log1p_cp10k, measured, with_library
+from plumbline.session import discard, hold, keep
 
 ENGINE = "KMeans (fallback)"
-MAX_DENSE_FEATURES = 4096
 MAX_CLUSTERS = 100_000
 
 
@@ -46,60 +45,121 @@ def reconcile_engine(engines: list[str]) -> str:
 
 
 # --- embedding ---------------------------------------------------------------------
-def embed(counts: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """CP10K-log1p, centred, at most 30 principal components.
+EXTRA, TOLERANCE, POWER_ROUNDS = 10, 1e-7, 60
 
-    The feature covariance is built on the driver, so the feature count is bounded; wider
-    data goes through `embed_hvg`, which selects features first.
-    """
-    width, n = genes.count(), cells.count()
-    if width > MAX_DENSE_FEATURES:
-        raise ValueError(f"{width} features: use embed_hvg")
-    rows = measured(counts, with_library(cells, counts), ["library"]).withColumn(
-        "x", log1p_cp10k(F.col("value"), F.col("library"))
-    )
-    return _project(to_vectors(rows, genes, "x"), cells, width, min(30, max(2, min(n, width) - 1)))
 
+def _gram(batches):
+    """Rows (q, z): sums of z'z, q'z, q'q and of q, so that only width-free matrices leave a task."""
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            q, z = np.array(pdf["q"].tolist()), np.array(pdf["z"].tolist())
+            part = np.concatenate([z.T @ z, q.T @ z, q.T @ q, q.sum(axis=0)[None]])
+            total = part if total is None else total + part
+    if total is not None:
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
-def _project(vectors: DataFrame, cells: DataFrame, width: int, k: int) -> DataFrame:
-    zero = array_to_vector(F.array_repeat(F.lit(0.0), width))
-    full = hold(
-        cells.select("cell_id").join(vectors, "cell_id", "left").withColumn("vec", F.coalesce("vec", zero))
-    )
-    model = PCA(k=min(k, width), inputCol="vec", outputCol="pc").fit(full)
-    out = model.transform(full).select("cell_id", vector_to_array("pc").alias("vec"))
-    means = out.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()
-    centre = F.array(*[F.lit(r["m"]) for r in means])
-    return out.withColumn("vec", F.zip_with("vec", centre, lambda a, b: a - b))
+
+def _grams(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sums = rows.select("q", "z").mapInPandas(_gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect()
+    out = np.zeros((3 * width + 1, width))
+    for i, j, v in sums:
+        out[i, j] = v
+    return out[:width], out[width : 2 * width], out[2 * width : 3 * width], out[-1]
+
+
+def _times(matrix: np.ndarray, column_: str, shift: np.ndarray | None = None):
+    """Array column times a small matrix, row by row."""
+
+    def run(batches):
+        for pdf in batches:
+            y = np.array(pdf[column_].tolist(), dtype=float).reshape(len(pdf), len(matrix)) @ matrix
+            yield pdf.assign(**{column_: list(y if shift is None else y - shift)})
+
+    return run
+
+
+def _whiten(gram: np.ndarray) -> np.ndarray:
+    """The matrix that makes columns with this Gram matrix orthonormal, less those that depend on others."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    good = values > 1e-12 * max(values.max(), 1e-300)
+    return vectors[:, good] / np.sqrt(values[good])
+
+
+def components(values: DataFrame, cells: DataFrame, k: int, seed: int = 0, extra: int = EXTRA, tolerance: float = TOLERANCE, rounds: int = POWER_ROUNDS) -> DataFrame:
+    """(cell_id, vec): scores on at most k principal components of values (cell_id, gene, x), zeros implicit, for any width.
+
+    Block power iteration on the centred matrix, which is never formed: with k + `extra` directions Q, one shuffle
+    by cell sums X Q and one by feature sums X'(X Q), both combined map-side; centring is a correction by column means.
+    Matrices of k + `extra` columns alone reach the driver. It ends when the k leading directions leave a residual
+    of `tolerance` times the largest eigenvalue; with no more features than directions, after the first round.
+    A warning tells if `rounds` are not enough. A component's sign makes its loadings sum to a positive number.
+    """
+    n = cells.count()
+    base = values.groupBy("gene").agg((F.sum("x") / F.lit(max(n, 1))).alias("mu"))
+    base = keep(base.where("mu is not null"), "means")
+    width = base.count()
+    b = min(width, k + extra)
+    if not b:
+        return cells.select("cell_id", F.array().cast("array<double>").alias("vec"))
+    start = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.pmod(F.xxhash64("gene", i, F.lit(seed)), F.lit(2_000_001)) / 1e6 - 1.0)
+    old = keep(base.select("gene", "mu", start.alias("q")).withColumn("z", F.col("q")), "directions")
+    gram, worst = _grams(old, b)[0], np.inf
+    for turn in range(rounds):
+        q = old.select("gene", "mu", F.col("z").alias("q")).mapInPandas(_times(_whiten(gram), "q"), "gene string, mu double, q array<double>")
+        first = keep(q.withColumn("z", F.col("q")), "directions")
+        b = len(first.select("q").first()[0])
+        # Whitened once more: one pass leaves rounding of the square of the condition number.
+        again = _whiten(_grams(first, b)[0])
+        q = keep(first.select("gene", "mu", "q").mapInPandas(_times(again, "q"), "gene string, mu double, q array<double>"), "directions")
+        b = again.shape[1]
+        c = np.array(q.agg(*[F.sum(F.col("mu") * F.get("q", F.lit(i))) for i in range(b)]).first())
+        y = values.join(q.select("gene", "q"), "gene").groupBy("cell_id").agg(F.array(*[F.sum(F.col("x") * F.get("q", F.lit(i))) for i in range(b)]).alias("y"))
+        y = keep(y, "scores")
+        z = values.join(y, "cell_id").groupBy("gene").agg(F.array(*[F.sum(F.col("x") * F.get("y", F.lit(i))) for i in range(b)]).alias("z"))
+        centre = F.array(*[F.lit(float(v)) for v in c])
+        z = q.join(z, "gene").withColumn("z", F.zip_with("z", centre, lambda s, m: s - m * F.col("mu") * F.lit(float(n)))).select("gene", "mu", "q", "z")
+        new = keep(z, "directions")
+        discard(old, first, q)
+        gram, cross, _, ones = _grams(new, b)
+        values_, turnto = np.linalg.eigh((cross + cross.T) / 2)
+        values_, turnto = values_[::-1][:k], turnto[:, ::-1][:, :k]
+        worst = np.sqrt(np.maximum(np.diag(turnto.T @ gram @ turnto) - values_**2, 0)).max() / max(values_[0], 1e-300)
+        old = new
+        if worst <= tolerance or b == width or turn == rounds - 1:
+            break
+        discard(y)
+    if worst > tolerance and b < width:
+        warnings.warn(f"components: residual {worst:.1e} after {rounds} rounds", stacklevel=2)
+    turnto = turnto * np.where(ones @ turnto < 0, -1.0, 1.0)
+    kind = dict(cells.select("cell_id").dtypes)["cell_id"]
+    scores = cells.select("cell_id").join(y, "cell_id", "left").withColumn("y", F.coalesce("y", F.array_repeat(F.lit(0.0), b)))
+    return scores.mapInPandas(_times(turnto, "y", c @ turnto), f"cell_id {kind}, y array<double>").withColumnRenamed("y", "vec")
+
+
+def embed(counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """CP10K-log1p, centred, at most 30 principal components, over all features whatever their number."""
+    rows = measured(counts, with_library(cells, counts), ["library"])
+    rows = rows.select("cell_id", "gene", log1p_cp10k(F.col("value"), F.col("library")).alias("x"))
+    n, width = cells.count(), counts.select("gene").distinct().count()
+    return components(rows, cells, min(30, max(2, min(n, width) - 1)))
 
 
 def embed_hvg(counts: DataFrame, cells: DataFrame, by: list[str], top: int = 2000, k: int = 50) -> DataFrame:
-    """Most variable features, z-scored and clipped at 10, then at most 50 components."""
+    """Most variable features, z-scored and clipped at 10, then at most k components.
+
+    A zero count has the score -mu / sd, so scores less that are as sparse as the counts; components do not change.
+    """
     deep = with_library(cells, counts)
     rows = measured(counts, deep, [*by, "library"]).withColumn("x", log1p_cp10k(F.col("value"), F.col("library")))
     n = cells.count()
-    chosen = highly_variable(counts, cells, by, top=top, min_rate=0.0).select("gene", (F.col("rank") - 1).alias("pos"))
-    chosen = hold(chosen)
-    stats = (
-        rows.join(chosen, "gene")
-        .groupBy("gene", "pos")
-        .agg(F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
-        .select(
-            "pos",
-            (F.col("s1") / n).alias("mu"),
-            F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / n) / max(n - 1, 1)).alias("sd"),
-        )
-        .orderBy("pos")
-        .collect()
-    )
-    mu = F.array(*[F.lit(r["mu"]) for r in stats])
-    sd = F.array(*[F.lit(r["sd"] or 1.0) for r in stats])
-    raw = to_vectors(rows.select("cell_id", "gene", "x"), chosen, "x").select("cell_id", vector_to_array("vec").alias("v"))
-    raw = cells.select("cell_id").join(raw, "cell_id", "left").withColumn(
-        "v", F.coalesce("v", F.array_repeat(F.lit(0.0), len(stats)))
-    )
-    z = F.zip_with(F.zip_with("v", mu, lambda a, m: a - m), sd, lambda a, s: F.least(a / s, F.lit(10.0)))
-    return _project(raw.select("cell_id", array_to_vector(z).alias("vec")), cells, len(stats), min(k, len(stats)))
+    chosen = highly_variable(counts, cells, by, top=top, min_rate=0.0).select("gene")
+    stats = rows.join(chosen, "gene").groupBy("gene").agg(F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"))
+    sd = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / n) / max(n - 1, 1))
+    stats = keep(stats.select("gene", (F.col("s1") / n).alias("m"), F.when(sd > 0, sd).otherwise(F.lit(1.0)).alias("sd")), "scales")
+    scaled = F.least((F.col("x") - F.col("m")) / F.col("sd"), F.lit(10.0)) + F.col("m") / F.col("sd")
+    return components(rows.join(stats, "gene").select("cell_id", "gene", scaled.alias("x")), cells, min(k, max(1, stats.count())))
 
 
 # --- clustering --------------------------------------------------------------------

@@ -177,7 +177,7 @@ def cell_cycle_phase(spark, sf):
 @query("pca_embedding")
 def pca_embedding(spark, sf):
     ds = views.order_dataset(spark, sf)
-    return clu.embed(ds.counts, ds.cells, ds.features)
+    return clu.embed(ds.counts, ds.cells)
 
 
 @query("pca_embedding_variable_features")
@@ -206,7 +206,7 @@ def spurious_groups(spark, sf):
     ds = views.order_dataset(spark, sf)
     thinned = hold(sep.thin(ds.counts, 0.5, 0))
     train = thinned.select("cell_id", "gene", F.col("train").cast("double").alias("value")).filter("value > 0")
-    groups = clu.cluster_to_k(clu.embed(train, ds.cells, ds.features), 6, 0).select("cell_id", "cluster")
+    groups = clu.cluster_to_k(clu.embed(train, ds.cells), 6, 0).select("cell_id", "cluster")
     halves = {}
     for half in ("train", "test"):
         rows = thinned.select("cell_id", "gene", F.col(half).cast("double").alias("value"))
