@@ -214,8 +214,8 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels.select("v", "comp")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS, with_key: bool = False) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links), and the set's key if asked.
 
     Ids are integers. Shingles are compared by 64-bit hashes.
 
@@ -309,14 +309,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A class may hold a third of all rows; those of large classes meet a broadcast row.
     out = lookup(docs, named, ["cls"], "weight", ["component_id"])
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    key = [F.col("cls").alias("set_key")] if with_key else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"), *key)
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _keyed(at: int, names: list[str], size: int):
+    """The rows with the key of their text, column `at`, behind their other columns."""
+
+    def run(batches):
+        for batch in slices(batches, 512):
+            grams = [shingles(text.as_py(), size) for text in batch.column(at)]
+            keys = pa.array([set_key(g) if len(g) else None for g in grams], pa.int64())
+            yield pa.record_batch([*batch.columns, keys], names=[*names, "__set"])
+
+    return run
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, **options) -> DataFrame:
     """The row with the smallest id of every component; rows without text or id all stay.
 
-    If the smallest id of a component occurs in several rows, all of them stay: an id is one document.
+    If the smallest id of a component occurs in several rows, all of them stay: an id is one document. An id
+    that comes with several texts loses only those that are near copies: its rows are matched by the set of
+    their text too.
     """
-    found = near_duplicates(df, id_col, text_col, **options)
-    dropped = keep(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
-    return df.join(small(dropped), id_col, "left_anti").select(*df.columns)
+    found = keep(near_duplicates(df, id_col, text_col, size=size, with_key=True, **options), "found")
+    dropped = keep(found.where(F.col(id_col) != F.col("component_id")).select(id_col, F.col("set_key").alias("__set")).distinct(), "dropped")
+    several = found.groupBy(id_col).agg((F.count_distinct("set_key") + F.max(F.col("set_key").isNull().cast("int"))).alias("n")).where("n > 1").select(id_col)
+    several = keep(several.join(dropped, id_col, "left_semi"), "several")
+    if not several.limit(1).count():
+        return df.join(small(dropped.select(id_col)), id_col, "left_anti").select(*df.columns)
+    plain = df.join(small(dropped.select(id_col)), id_col, "left_anti").select(*df.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    mixed = df.join(small(several), id_col, "left_semi").select(*df.columns)
+    mixed = mixed.mapInArrow(_keyed(df.columns.index(text_col), df.columns, size), f"{fields}, __set long")
+    return plain.unionByName(mixed.join(small(dropped), [id_col, "__set"], "left_anti").select(*df.columns))

@@ -22,7 +22,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def revisits(df: DataFrame, id_col: str, payload: Column, least_bytes: int = 0) -> DataFrame:
-    """(id, refers_to) of rows whose payload equals that of a row with a larger id, which refers_to names.
+    """(id, sha, refers_to) of rows whose payload, with that SHA-256, equals that of a row with a larger id, which refers_to names.
 
     A payload shared by a third of all rows is resolved by a broadcast row; see common.lookup.
     """
@@ -30,7 +30,7 @@ def revisits(df: DataFrame, id_col: str, payload: Column, least_bytes: int = 0)
     rows = keep(rows.where(F.col("size") >= least_bytes), "payloads")
     groups = rows.groupBy("size", "sha").agg(F.max("id").alias("refers_to"), F.count("*").alias("times")).where("times > 1")
     found = lookup(rows, keep(groups, "shared"), ["size", "sha"], "times", ["refers_to"])
-    return found.where("id < refers_to").select("id", "refers_to")
+    return found.where("id < refers_to").select("id", "sha", "refers_to")
 
 
 def _urn(c: Column) -> Column:
@@ -46,8 +46,8 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     again = keep(revisits(df, id_col, payload, least_bytes), "revisits").distinct()
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.join(small(again), "id", "left")
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("sha"))
+    rows = rows.join(small(again), ["id", "sha"], "left")  # an id may come with several payloads
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     uri = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -194,20 +194,20 @@ def payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Write the archives, read them back: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    The figures of a revisit are those read from the response it names. Rows without id, and rows with a
-    repeated id, are records of their own; the latter all count as the response of their id.
+    The figures of a revisit are those read from the response with the id it names and the digest it declares. Rows
+    without id, and rows with a repeated id, are records of their own, whatever their payloads.
     """
     spark = df.sparkSession
     path = path or folder(spark, "warc")
     write(df, path, id_col, url_col, payload_col, least_bytes)
     records = keep(read(spark, path), "read")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as bigint)")
-    rows = records.select(number("record_id").alias("id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    rows = records.select(number("record_id").alias("id"), "payload_bytes", "payload_digest", "declared_digest", "record_type", number("refers_to").alias("refers_to"))
     first = rows.where("record_type = 'response'").select("id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = rows.where("record_type = 'revisit'").select("id", "refers_to")
-    counts = again.groupBy("refers_to").agg(F.count("*").alias("times"))
-    named = first.dropDuplicates(["id"]).select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
-    named = keep(named.join(counts, "refers_to"), "named")
-    resolved = lookup(again, named, ["refers_to"], "times", ["bytes", "digest"])
+    again = rows.where("record_type = 'revisit'").select("id", "refers_to", F.col("declared_digest").alias("digest"))
+    counts = again.groupBy("refers_to", "digest").agg(F.count("*").alias("times"))
+    named = first.select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest")).dropDuplicates(["refers_to", "digest"])
+    named = keep(named.join(counts, ["refers_to", "digest"]), "named")
+    resolved = lookup(again, named, ["refers_to", "digest"], "times", ["bytes"])
     resolved = resolved.select("id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
     return first.unionByName(resolved).withColumnRenamed("id", id_col)

@@ -194,6 +194,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert found["<urn:page:8>"] == body[8]
 
 
+def test_warc_of_an_id_with_several_payloads(spark, tmp_path):
+    rows = [(1, "u", "A"), (1, "u", "unique"), (2, "u", "A"), (1, "u", "B"), (3, "u", "B"), (3, "u", "C"), (0, "u", "C"), (0, "u", "B")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(df, path=f"file://{tmp_path}/d").collect()
+    import base64
+    import hashlib
+
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, "A", 2), (1, "unique", None), (2, "A", None), (1, "B", 3), (3, "B", None), (3, "C", None), (0, "C", 3), (0, "B", 3)]
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter((i, len(t), digest(t), "revisit" if at else "response", at) for i, t, at in want)
+
+
 def test_warc_read_in_small_splits(spark, tmp_path):
     path = f"file://{tmp_path}/b"
     df = spark.createDataFrame([(i, f"http://h/{i}", f"{i} " * (i * 37 % 900) + (FAKE if i % 7 == 0 else "")) for i in range(300)], "page_id long, url string, html string").coalesce(1)

@@ -146,6 +146,15 @@ def test_jaccard_on_the_small_table(spark):
     assert jaccard.drop_near_copies(df).count() == len({c for _, c in got.values()})
 
 
+def test_an_id_with_several_texts_loses_only_near_copies(spark):
+    words = [f"w{k}" for k in range(60)]
+    near, alone = " ".join(words[:-1] + ["end"]), " ".join(f"u{k}" for k in range(40))
+    df = documents(spark, [(1, " ".join(words), "en", "a"), (2, near, "en", "a"), (2, alone, "en", "a"), (2, alone, "fr", "a"), (2, None, "en", "a"), (3, near, "en", "a"), (4, alone, "en", "b"), (3, "", "en", "a")])
+    got = jaccard.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, " ".join(words)), (2, ""), (2, alone), (2, alone), (3, "")]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     plain = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
