@@ -172,45 +172,46 @@ def preview(findings: DataFrame) -> DataFrame:
 
 
 def recommend(findings: DataFrame) -> DataFrame:
-    """One to three next actions per finding, worded from its own numbers."""
+    """One to three next actions per finding, worded from its own numbers: what to do, why, and what it would change."""
     c, s, t = F.col("check_id"), F.col("state"), F.col("target")
     num = lambda k: F.try_element_at("numbers", F.lit(k))
     before, after = p_text(F.col("original")), p_text(F.col("corrected"))
 
-    def act(action, feasibility, why):
-        return F.struct(
-            (F.lit(action) if isinstance(action, str) else action).alias("action"),
-            F.lit(feasibility).alias("feasibility"),
-            (F.lit(why) if isinstance(why, str) else why).alias("rationale"),
-        )
+    def act(action, feasibility, why, changes):
+        told = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.struct(told(action).alias("action"), F.lit(feasibility).alias("feasibility"), told(why).alias("rationale"), told(changes).alias("changes"))
 
     none = F.lit(None)
     fmt = F.format_string
-    need = act("Supply what the check is missing and run it again.", base.NEEDS_DATA, F.col("headline"))
-    thin = F.when(num("total_units") < 6, act("Add replicates.", base.NEEDS_DATA, fmt("Only %.0f units.", num("total_units"))))
+    crossed = F.when((F.col("original") < 0.05) & (F.col("corrected") >= 0.05), F.lit("is lost")).otherwise(F.lit("stands"))
+    need = act("Supply what the check is missing and run it again.", base.NEEDS_DATA, F.col("headline"), "The check can then give a verdict instead of a warning.")
+    thin = F.when(num("total_units") < 6, act("Add replicates.", base.NEEDS_DATA, fmt("Only %.0f units.", num("total_units")), "A real effect can then show at the replicate level."))
     flagged = {
-        1: [act(fmt("Test %s on replicate sums.", t), base.FIXABLE, F.concat(F.lit("p "), before, F.lit(" over cells, "), after, F.lit(" over replicates."))), thin],
+        1: [
+            act(fmt("Test %s on replicate sums.", t), base.FIXABLE, F.concat(F.lit("p "), before, F.lit(" over cells, "), after, F.lit(" over replicates.")), F.concat(F.lit("The call of significance "), crossed, F.lit("."))),
+            thin,
+        ],
         2: [
-            act("Rediscover markers on one half of the counts and keep those that hold.", base.FIXABLE, fmt("%.0f of %.0f hold.", num("surviving"), num("tested"))),
-            act("Confirm the surviving markers on independent data.", base.NEEDS_DATA, "A split is evidence, not error control."),
+            act("Rediscover markers on one half of the counts and keep those that hold.", base.FIXABLE, fmt("%.0f of %.0f hold.", num("surviving"), num("tested")), fmt("%.0f markers stay, %.0f go.", num("surviving"), num("tested") - num("surviving"))),
+            act("Confirm the surviving markers on independent data.", base.NEEDS_DATA, "A split is evidence, not error control.", "Markers that hold become a claim that others can rely on."),
         ],
-        3: [act(fmt("Report the settings where %s is present, or drop it.", t), base.FIXABLE, fmt("Stability %.2f.", F.col("corrected")))],
+        3: [act(fmt("Report the settings where %s is present, or drop it.", t), base.FIXABLE, fmt("Stability %.2f.", F.col("corrected")), "The group is claimed for those settings only, or no longer.")],
         4: [
-            F.when(F.col("unsalvageable"), act(fmt("Collect data where %s varies independently.", t), base.UNSALVAGEABLE, fmt("V %.2f.", num("v")))).otherwise(
-                act(fmt("Add %s to the model.", t), base.FIXABLE, F.concat(F.lit("p "), before, F.lit(" alone, "), after, F.lit(" adjusted.")))
+            F.when(F.col("unsalvageable"), act(fmt("Collect data where %s varies independently.", t), base.UNSALVAGEABLE, fmt("V %.2f.", num("v")), "Only then can the effect be told from the technical split.")).otherwise(
+                act(fmt("Add %s to the model.", t), base.FIXABLE, F.concat(F.lit("p "), before, F.lit(" alone, "), after, F.lit(" adjusted.")), F.concat(F.lit("The adjusted effect replaces the raw one; its significance "), crossed, F.lit(".")))
             )
         ],
         5: [
-            act("Report the features that survive error control.", base.FIXABLE, fmt("%.0f of %.0f.", num("adjusted_hits"), num("raw_hits"))),
-            F.when(num("adjusted_hits") == 0, act("Add replicates before claiming any.", base.NEEDS_DATA, "None survive.")),
+            act("Report the features that survive error control.", base.FIXABLE, fmt("%.0f of %.0f.", num("adjusted_hits"), num("raw_hits")), fmt("The list shrinks by %.0f.", num("raw_hits") - num("adjusted_hits"))),
+            F.when(num("adjusted_hits") == 0, act("Add replicates before claiming any.", base.NEEDS_DATA, "None survive.", "With more power real features can survive.")),
         ],
-        6: [act(fmt("Include %s as a covariate.", t), base.FIXABLE, F.concat(F.lit("p "), before, F.lit(" becomes "), after, F.lit(".")))],
-        7: [act(fmt("Use resolution %.2f, the coarsest supported.", F.col("corrected")), base.FIXABLE, fmt("Window %.2f to %.2f.", num("supported_lo"), num("supported_hi")))],
-        8: [act("Use a count model on replicate sums.", base.FIXABLE, fmt("Variance is %.1fx the mean.", num("overdispersion")))],
+        6: [act(fmt("Include %s as a covariate.", t), base.FIXABLE, F.concat(F.lit("p "), before, F.lit(" becomes "), after, F.lit(".")), F.concat(F.lit("The call of significance "), crossed, F.lit(".")))],
+        7: [act(fmt("Use resolution %.2f, the coarsest supported.", F.col("corrected")), base.FIXABLE, fmt("Window %.2f to %.2f.", num("supported_lo"), num("supported_hi")), "The number of groups then follows from a stated criterion.")],
+        8: [act("Use a count model on replicate sums.", base.FIXABLE, fmt("Variance is %.1fx the mean.", num("overdispersion")), F.concat(F.lit("The call of significance "), crossed, F.lit(".")))],
     }
-    kept = [act("Report the replicate-level result.", base.FIXABLE, F.concat(F.lit("It holds at p "), after, F.lit("."))), thin]
+    kept = [act("Report the replicate-level result.", base.FIXABLE, F.concat(F.lit("It holds at p "), after, F.lit(".")), "The conclusion stays; the right number replaces the inflated one."), thin]
     acts = F.when(s == base.FLAG_ONLY, F.array(need)).when(
-        s == base.HARD_STOP, F.array(act("Collect at least two replicates per arm.", base.UNSALVAGEABLE, F.col("headline")))
+        s == base.HARD_STOP, F.array(act("Collect at least two replicates per arm.", base.UNSALVAGEABLE, F.col("headline"), "Only then is there a test at all."))
     )
     acts = acts.when((s == base.CLEAN) & (c == 1) & F.col("corrected").isNotNull(), F.array(*kept))
     for cid, options in flagged.items():

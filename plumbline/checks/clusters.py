@@ -14,7 +14,7 @@ from plumbline.operators import separation as sep
 from plumbline.session import hold
 
 # Thresholds of the decisions.
-CLEAN_AUC, STABLE, DEFAULT_K, REPEATS = 0.62, 0.8, 8, 200
+CLEAN_AUC, STABLE, DEFAULT_K, REPEATS, SWEEPS = 0.62, 0.8, 8, 200, 1
 
 
 def embedding_of(ds: Dataset, counts: DataFrame | None) -> DataFrame | None:
@@ -113,7 +113,8 @@ class Fragility(Check):
         if emb is None:
             return Finding(3, base.FLAG_ONLY, "There is nothing to cluster.", feasibility=base.NEEDS_DATA)
         column = clu.find_track_column(ds.cells, track) if track else None
-        labels, engine = self.sweeps(emb, grid, seed, max(1, int(design.knob("repeats", 1))))
+        labels, engine = clu.sweep(emb, grid, seed, max(1, int(design.knob("repeats", SWEEPS))))
+        labels = labels if "r" in labels.columns else labels.withColumn("r", F.lit(0))
         labels = labels.withColumn("case_id", case_key("case", "cell_id"))
         numbers, name = {}, f"'{track}'" if column else "the clustering"
         if column:
@@ -147,16 +148,6 @@ class Fragility(Check):
         )
 
 
-    @staticmethod
-    def sweeps(emb: DataFrame, grid: list[float], seed: int, repeats: int) -> tuple[DataFrame, str]:
-        """Labels of `repeats` re-seeded sweeps, each over every row, told apart by `r`."""
-        every = [clu.sweep(emb, grid, seed + i) for i in range(repeats)]
-        out = every[0][0].withColumn("r", F.lit(0))
-        for i, (labels, _) in enumerate(every[1:], 1):
-            out = out.unionByName(labels.withColumn("r", F.lit(i)))
-        return out, clu.reconcile_engine([e for _, e in every])
-
-
 class ResolutionChoice(Check):
     id = 7
     kinds = ("cluster",)

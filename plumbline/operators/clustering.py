@@ -7,12 +7,9 @@ comparing settings is a row-local explode and never a self-join.
 from __future__ import annotations
 
 import warnings
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +19,6 @@ from plumbline.operators.reduce import highly_variable, log1p_cp10k, measured, w
 from plumbline.session import discard, hold, keep
 
 ENGINE = "KMeans (fallback)"
-MAX_CLUSTERS = 100_000
 
 
 # --- settings ----------------------------------------------------------------------
@@ -163,35 +159,131 @@ def embed_hvg(counts: DataFrame, cells: DataFrame, by: list[str], top: int = 200
 
 
 # --- clustering --------------------------------------------------------------------
-FIT_THREADS = 4  # independent fits submitted side by side, as cross-validation does
+#: Rows that place the first centres, by hash: a bounded sample. Rounds at most; a model ends when no centre moves by more than
+#: MOVED of the data's spread, or a round improves its inertia by less than that share.
+SEED_ROWS, LLOYD_ROUNDS, MOVED = 20_000, 100, 1e-4
 
 
-def _packed(emb: DataFrame) -> DataFrame:
-    return hold(emb.withColumn("__f", array_to_vector("vec")))
+def _first_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on a sample: each next centre drawn by its squared distance to those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = far.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(far), rng.random() * total)) if total > 0 else int(rng.integers(len(x))))
+        chosen[-1] = min(chosen[-1], len(x) - 1)
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
 
 
-def _fit(packed: DataFrame, k: int, seed: int, out: str):
-    return KMeans(k=k, seed=seed, featuresCol="__f", predictionCol=out, maxIter=20).fit(packed)
+def _nearest_centres(x: np.ndarray, stacked: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every model, a slice of the stacked centres: each row's nearest centre and its squared distance."""
+    d = (x * x).sum(axis=1)[:, None] - 2 * (x @ stacked.T) + (stacked * stacked).sum(axis=1)
+    out = []
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        own = d[:, lo:hi].argmin(axis=1)
+        out.append((own, np.maximum(d[np.arange(len(x)), lo + own], 0)))
+    return out
+
+
+def _lloyd(shared, ends: np.ndarray):
+    """A pass: per centre of every model, the rows it owns, their inertia and vector sum, added up within the task."""
+
+    def run(batches):
+        stacked, total = shared.value, None
+        for pdf in batches:
+            for lo in range(0, len(pdf), 4096):
+                x = np.array(pdf["vec"].iloc[lo : lo + 4096].tolist(), dtype=float)
+                part = np.zeros((len(stacked), x.shape[1] + 2))
+                for m, (own, far) in enumerate(_nearest_centres(x, stacked, ends)):
+                    rows = np.zeros((ends[m + 1] - ends[m], len(x)))
+                    rows[own, np.arange(len(x))] = 1
+                    part[ends[m] : ends[m + 1], 0] = rows.sum(axis=1)
+                    part[ends[m] : ends[m + 1], 1] = rows @ far
+                    part[ends[m] : ends[m + 1], 2:] = rows @ x
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"centre": np.arange(len(total)), "sums": list(total)})
+
+    return run
+
+
+def fit_models(emb: DataFrame, models: list[tuple[int, int]], rounds: int = LLOYD_ROUNDS) -> tuple[list[np.ndarray], list[dict]]:
+    """Centres of many k-means models (k, seed), fitted in the same scans, and how each ended.
+
+    A round is one scan: all models' centres are one broadcast, and a task sends one row of sums per centre, whatever
+    its rows. So 10 settings x 40 repeats cost as many scans as the slowest of them. Centres are width x sum of k
+    numbers, set by the models asked for and not by the data. First centres come from SEED_ROWS rows at most;
+    rounds run over all rows. An empty cluster keeps its centre.
+    """
+    spark = emb.sparkSession
+    picked = emb.orderBy(F.xxhash64("cell_id"), "cell_id").limit(SEED_ROWS).select("vec").collect()
+    x = np.array([r.vec for r in picked], float)
+    centres = [_first_centres(x, k, seed) for k, seed in models]
+    spread = float(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean()) or 1.0
+    report = [{"k": k, "seed": seed, "rounds": 0, "inertia": np.inf, "converged": False} for k, seed in models]
+    for _ in range(rounds):
+        open_ = [m for m, r in enumerate(report) if not r["converged"]]
+        if not open_:
+            break
+        ends = np.concatenate([[0], np.cumsum([len(centres[m]) for m in open_])])
+        shared = spark.sparkContext.broadcast(np.concatenate([centres[m] for m in open_]))
+        parts = emb.select("vec").mapInPandas(_lloyd(shared, ends), "centre int, sums array<double>")
+        width = x.shape[1] + 2
+        rows = parts.groupBy("centre").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("s")).orderBy("centre").collect()
+        sums = np.array([r.s for r in rows])
+        shared.unpersist()
+        for j, m in enumerate(open_):
+            mine = sums[ends[j] : ends[j + 1]]
+            new = np.where(mine[:, :1] > 0, mine[:, 2:] / np.maximum(mine[:, :1], 1), centres[m])
+            moved = ((new - centres[m]) ** 2).sum(axis=1).max()
+            inertia, r = mine[:, 1].sum(), report[m]
+            r["converged"] = bool(moved <= MOVED**2 * spread or r["inertia"] - inertia <= MOVED * inertia)
+            r["inertia"], r["rounds"] = float(inertia), r["rounds"] + 1
+            centres[m] = new
+    return centres, report
+
+
+def _labelled(emb: DataFrame, centres: list[np.ndarray], out: str) -> DataFrame:
+    """Rows with one label per model as an array of strings."""
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
+    shared = emb.sparkSession.sparkContext.broadcast(np.concatenate(centres))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in emb.schema.fields)
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for lo in range(0, len(pdf), 4096):
+                x = np.array(pdf["vec"].iloc[lo : lo + 4096].tolist(), dtype=float)
+                parts.append(np.stack([own for own, _ in _nearest_centres(x, shared.value, ends)], axis=1))
+            labels = np.concatenate(parts).astype(str).astype(object) if parts else []
+            yield pdf.assign(**{out: list(labels)})
+
+    return emb.mapInPandas(run, f"{kinds}, {out} array<string>")
 
 
 def cluster_to_k(emb: DataFrame, k: int, seed: int, out: str = "cluster") -> DataFrame:
     """k groups on an embedding; `emb` has an array column `vec`."""
-    packed = _packed(emb)
-    return _fit(packed, k, seed, out).transform(packed).withColumn(out, F.col(out).cast("string")).drop("__f")
+    emb = hold(emb)
+    centres, _ = fit_models(emb, [(k, seed)])
+    return hold(_labelled(emb, centres, out).withColumn(out, F.get(out, F.lit(0))))
 
 
-def sweep(emb: DataFrame, settings: list[float], seed: int) -> tuple[DataFrame, str]:
-    """Labels at every resolution as one array column `labels`, plus the engine that ran."""
-    packed = _packed(emb)
-    n = packed.count()
-    names = [f"__l{i}" for i in range(len(settings))]
-    with ThreadPool(FIT_THREADS) as pool:
-        models = pool.map(lambda a: _fit(packed, k_for(a[0], n), seed, a[1]), list(zip(settings, names)))
-    out = packed
-    for model in models:
-        out = model.transform(out)
-    labels = F.array(*[F.col(c).cast("string") for c in names])
-    return hold(out.withColumn("labels", labels).drop("__f", *names)), ENGINE
+def sweep(emb: DataFrame, settings: list[float], seed: int, repeats: int = 1) -> tuple[DataFrame, str]:
+    """Labels at every resolution as one array column `labels`, plus the engine that ran.
+
+    With `repeats`, re-seeded sweeps over the same rows, all in one fit: a row per sweep, told apart by `r`.
+    """
+    emb = hold(emb)
+    n = emb.count()
+    models = [(k_for(r, n), seed + i) for i in range(repeats) for r in settings]
+    centres, _ = fit_models(emb, models)
+    flat = _labelled(emb, centres, "labels")
+    each = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda i: F.struct(i.alias("r"), F.slice("labels", i * len(settings) + 1, len(settings)).alias("l")))
+    if repeats == 1:
+        return hold(flat), ENGINE
+    return hold(flat.withColumn("__s", F.explode(each)).withColumns({"r": F.col("__s.r"), "labels": F.col("__s.l")}).drop("__s")), ENGINE
 
 
 # --- agreement between settings ----------------------------------------------------
@@ -258,9 +350,7 @@ def silhouette(labels: DataFrame, settings: int) -> DataFrame:
     part = labels.select("vec", "labels").mapInPandas(sums, "setting int, cluster string, n long, q double, s array<double>")
     grown = part.select("setting", "cluster", "n", "q", F.posexplode("s").alias("i", "v")).groupBy("setting", "cluster", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("q").alias("q"))
     rows = grown.groupBy("setting", "cluster").agg(F.max("n").alias("n"), F.max("q").alias("q"), F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    table = rows.select("setting", "cluster", "n", "q", F.col("s.v").alias("s")).orderBy("setting", "cluster").limit(MAX_CLUSTERS + 1).collect()
-    if len(table) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters in all settings")
+    table = rows.select("setting", "cluster", "n", "q", F.col("s.v").alias("s")).orderBy("setting", "cluster").collect()
     known = []
     for s in range(settings):
         mine = [r for r in table if r.setting == s]

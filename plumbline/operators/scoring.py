@@ -32,11 +32,20 @@ def assemble_report(findings: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("verdict", sentence)
 
 
+VETOED = "A second look cleared this finding; its numbers are kept as evidence."
+
+
 def apply_rulings(findings: DataFrame, rulings: DataFrame, by: list[str]) -> DataFrame:
-    """A veto turns a flagged finding clean; a missing ruling keeps it and marks it unverified."""
+    """A veto turns a flagged finding clean; a missing ruling keeps it and marks it unverified.
+
+    Where findings carry a headline, that of a vetoed one gives way: it would still speak of a flag. Numbers and charts
+    stay as what was looked at.
+    """
     j = findings.join(rulings.select(*by, F.col("verdict").alias("__v")), by, "left")
     flagged = F.col("state") == "flagged"
     veto = flagged & F.coalesce(F.col("__v") == "veto", F.lit(False))
+    if "headline" in findings.columns:
+        j = j.withColumn("headline", F.when(veto, F.lit(VETOED)).otherwise(F.col("headline")))
     return (
         j.withColumn("ruling", F.when(flagged, F.coalesce("__v", F.lit("confirm"))))
         .withColumn("unverified", flagged & F.col("__v").isNull())

@@ -133,10 +133,13 @@ def tracked_column(spark, sf):
     return cells.filter(F.col(col) == "MACHINERY").agg(F.lit(col).alias("column"), F.count("*").alias("rows"))
 
 
-@query("resolution_grid", "SELECT r, n FROM (SELECT CAST(i AS INTEGER) AS i, CAST(round(0.2 + 0.2*i, 4) AS DOUBLE) AS r FROM range(0, 10) t(i)), (SELECT COUNT(*) AS n FROM embeddings)")
+@query("resolution_grid", with_("c AS (SELECT setting, COUNT(DISTINCT cluster) AS clusters, COUNT(*) AS n FROM lab GROUP BY 1)") + "SELECT CAST(round(0.2 + 0.2*setting, 4) AS DOUBLE) AS r, clusters, n FROM c")
 def resolution_grid(spark, sf):
+    """The grid's settings beside the clusters and vectors of the labels found at each."""
     grid = F.array(*[F.lit(r) for r in clu.resolutions(0.2, 2.0, 0.2)])
-    return views.embedding(spark, sf).agg(F.count("*").alias("n")).select(F.explode(grid).alias("r"), "n")
+    long = views.settings_labels(spark, sf).select(F.posexplode("labels").alias("setting", "cluster"))
+    per = long.groupBy("setting").agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("n"))
+    return per.select(F.get(grid, F.col("setting")).alias("r"), "clusters", "n")
 
 
 SIGNATURES = {"S": ["Brand#1", "Brand#2", "Brand#3"], "G2M": ["Brand#4", "Brand#5"], "rest": ["Brand#6", "Brand#99"]}
@@ -202,7 +205,7 @@ def cluster_to_k(spark, sf):
 
 @query("spurious_groups")
 def spurious_groups(spark, sf):
-    """Held-out separation of every k-means group of the orders, and the one that collapses."""
+    """Separation of every k-means group of the orders at discovery and held out, and which one collapses, if any."""
     ds = views.order_dataset(spark, sf)
     thinned = hold(sep.thin(ds.counts, 0.5, 0))
     train = thinned.select("cell_id", "gene", F.col("train").cast("double").alias("value")).filter("value > 0")
@@ -218,7 +221,9 @@ def spurious_groups(spark, sf):
     scores = best.groupBy(*BY, F.col("level").alias("cluster")).agg(
         F.avg("disc").alias("disc_auc"), F.avg("hold").alias("hold_auc")
     )
-    return sep.spurious_group(scores, BY)
+    found = sep.spurious_group(scores, BY).select(*BY, "cluster", F.lit(True).alias("spurious"))
+    told = scores.join(found, [*BY, "cluster"], "left").withColumn("spurious", F.coalesce("spurious", F.lit(False)))
+    return told.drop("case_id").withColumn("collapse", F.col("disc_auc") - F.col("hold_auc"))
 
 
 @query("neighbour_graph", """WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS v, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),

@@ -88,6 +88,13 @@ def second_look_gate(spark, sf):
     return g.select("case_id", "check_id", "state", "effective_state", "ruling", "unverified")
 
 
+@query("second_look_headlines", "WITH " + FI + ", " + RULES + " SELECT case_id, check_id, CASE WHEN state='flagged' AND effective_state='clean' THEN 'A second look cleared this finding; its numbers are kept as evidence.' ELSE state || ' by check ' || check_id END AS headline, CAST(state='flagged' AND effective_state='flagged' AS BOOLEAN) AS show_bad FROM ga")
+def second_look_headlines(spark, sf):
+    f = finding_view(spark, sf)
+    told = f.withColumn("headline", F.concat_ws(" by check ", "state", F.col("check_id").cast("string")))
+    return sc.apply_rulings(told, rulings_given(f), KEY).select("case_id", "check_id", "headline", "show_bad")
+
+
 @query("evidence_flattening", "WITH " + FI + " SELECT case_id, check_id, key, value FROM (" + " UNION ALL ".join(
     f"SELECT case_id, check_id, '{c}' AS key, CAST({c} AS DOUBLE) AS value FROM fi" for c in ("n", "replicate_p", "disc_auc", "hold_auc", "heldout_cells", "stability", "v")
 ) + ") WHERE value IS NOT NULL")

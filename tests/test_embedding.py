@@ -53,3 +53,26 @@ def test_variable_features_beside_dense(spark):
     u, s, _ = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
     y = np.array([got[f"c{i}"] for i in range(90)])
     assert np.abs(np.abs(y) - np.abs(u[:, :3] * s[:3])).max() < 1e-5
+
+
+def test_many_models_in_the_same_scans(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 6, (5, 4))
+    x = np.array([middle[i % 5] + rng.normal(0, 0.5, 4) for i in range(300)])
+    emb = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "cell_id string, vec array<double>").repartition(3)
+    models = [(k, seed) for seed in (0, 1) for k in (2, 5, 7)]
+    centres, report = clu.fit_models(emb, models)
+    for (k, _), c, r in zip(models, centres, report, strict=True):
+        d = ((x[:, None] - c[None]) ** 2).sum(-1)
+        own = d.argmin(axis=1)
+        assert c.shape == (k, 4) and r["converged"]
+        assert d.min(axis=1).sum() <= r["inertia"] * (1 + 1e-9)  # no pass made it worse
+        for j in set(own):
+            assert np.abs(x[own == j].mean(axis=0) - c[j]).max() < 0.05 * np.abs(x).max()  # a mean of what it owns
+    labels, engine = clu.sweep(emb, [0.5, 1.0], 0, repeats=3)
+    rows = labels.collect()
+    assert engine == clu.ENGINE and len(rows) == 900 and {r.r for r in rows} == {0, 1, 2}
+    for r in (0, 1, 2):
+        for s in (0, 1):
+            assert len({q.labels[s] for q in rows if q.r == r}) <= clu.k_for([0.5, 1.0][s], 300)
+    assert len({q.labels[0] for q in rows if q.r == 0}) == 5  # five groups, k = 5

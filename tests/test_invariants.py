@@ -73,7 +73,9 @@ def check7_resolution_by_ari(spark, rows):
 
 def full_audit(spark, rows):
     ids = [r.check_id for r in rows]
-    assert ids == sorted(set(ids)) and all(r.state in STATES and r.stamped for r in rows)
+    assert ids == list(range(1, 9)) and all(r.state in STATES and r.stamped for r in rows)
+    assert all(r.engine for r in rows if r.check_id in (2, 3, 7) and r.state != "flag_only")
+    assert all(r.corrected is None or r.original is not None for r in rows)
 
 
 def audit_report(spark, rows):
@@ -89,7 +91,7 @@ def audit_recommendations(spark, rows):
     by = defaultdict(list)
     for r in rows:
         by[r.check_id].append(r.pos)
-        assert r.action and r.rationale
+        assert r.action and r.rationale and r.changes
     assert all(sorted(p) == list(range(len(p))) for p in by.values())
 
 
@@ -138,13 +140,32 @@ def cluster_to_k(spark, rows):
 
 
 def spurious_groups(spark, rows):
-    assert all(r.collapse >= 0.2 and r.hold_auc <= 0.65 for r in rows)
+    assert len(rows) == 6
+    fallen = sorted((-round(r.collapse, 10), r.cluster) for r in rows if r.collapse >= 0.2 and r.hold_auc <= 0.65)
+    assert [r.cluster for r in rows if r.spurious] == [c for _, c in fallen[:1]]
+    assert all(r.collapse == pytest.approx(r.disc_auc - r.hold_auc) and 0.5 <= r.disc_auc <= 1 for r in rows)
+
+
+def truth_labels(spark, rows):
+    told = {r.segment: r for r in PLANS["case_truth"](spark, SF).collect()}
+    assert len(rows) == len(told) == 5
+    for r in rows:
+        assert r.settings == 10 and r.fragility == (r.stability < 0.5) and round(r.stability * 10, 5) in range(11)
+        assert all(r[c] == told[r.segment][c] for c in ("hold_auc", "pseudoreplication", "double_dipping", "confounding"))
+
+
+def graph_communities(spark, rows):
+    assert sorted(r.r for r in rows) == clu.resolutions(0.2, 2.0, 0.2) and {r.engine for r in rows} == {"graph communities"}
+    rows = sorted(rows, key=lambda r: r.r)
+    assert all(0 < r.modularity < 1 and r.communities >= 1 for r in rows)
+    assert rows[0].communities <= rows[-1].communities and rows[0].modularity > rows[-1].modularity
 
 
 CHECKS = {f.__name__: f for f in (
     thin_counts_fast_hash, wilcoxon_markers_with_fdr, check1_negative_binomial, check2_double_dipping, check3_fragility, check3_whole_clustering,
     check7_resolution_choice, check7_resolution_by_ari, full_audit, audit_report, audit_previews, audit_recommendations, negative_binomial_wald,
     multi_factor_survival, focus_feature_call, unique_claim_ids, cluster_sweep, cluster_to_k, spurious_groups,
+    truth_labels, graph_communities,
 )} | {"pca_embedding": components_of, "pca_embedding_variable_features": components_of}
 
 
