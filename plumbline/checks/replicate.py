@@ -15,6 +15,19 @@ from plumbline.operators import reduce as red
 from plumbline.session import hold
 
 
+def count_model_p(totals: DataFrame, samples: DataFrame, gene: str, factors: list[str]) -> float | None:
+    """p of the audited feature from the count model ~ arm + factors on samples keyed by (unit, arm, factors).
+
+    A factor with one level is left out; None where the feature dropped out or its fit did not stand still.
+    """
+    levels = {f: inf.factor_levels(samples, f) for f in factors}
+    alt = F.when(F.col("arm") == "alt", 1.0).otherwise(0.0)
+    design = [F.lit(1.0), alt, *[d for f in factors if len(levels[f]) > 1 for d in inf.dummies(f, levels[f])]]
+    fit = nbmodel.nb_wald(totals, samples, BY, ["unit", "arm", *factors], design)
+    row = fit.filter(F.col("gene") == gene).select("p").first()
+    return None if row is None else row["p"]
+
+
 def replicate_p(moments: DataFrame, samples: DataFrame, gene: str, engine: str) -> tuple[float | None, str]:
     """p of the audited feature between arms at the replicate level, and the engine that ran.
 
@@ -22,11 +35,9 @@ def replicate_p(moments: DataFrame, samples: DataFrame, gene: str, engine: str)
     """
     if engine == "nb":
         totals = moments.withColumn("total", F.round("total").cast("long")).filter(F.col("total") > 0)
-        alt = F.when(F.col("arm") == "alt", 1.0).otherwise(0.0)
-        fit = nbmodel.nb_wald(totals, samples, BY, ["unit", "arm"], [F.lit(1.0), alt])
-        row = fit.filter(F.col("gene") == gene).select("p").first()
-        if row is not None and row["p"] is not None:
-            return row["p"], nbmodel.ENGINE
+        p = count_model_p(totals, samples, gene, [])
+        if p is not None:
+            return p, nbmodel.ENGINE
     values = red.moments_cpm(moments, BY).filter(F.col("gene") == gene)
     row = inf.welch_by_gene_units(values, samples, BY).select("p").first()
     return (row["p"] if row else 1.0), nbmodel.FALLBACK
@@ -114,7 +125,18 @@ class Pseudoreplication(Check):
             return Finding(
                 1, base.FLAG_ONLY, "The replicate-level test needs raw counts.", original=naive, feasibility=base.NEEDS_DATA, target=gene, numbers=shared
             )
-        p, engine = replicate_p(moments, samples, gene, design.knob("engine", "welch"))
+        # With covariates the count model comes first, as they can be factors of it; the fallback has no place for them.
+        named_too = design.knob("covariates") or []
+        factors = [c for c in ([named_too] if isinstance(named_too, str) else named_too) if has(ds, c)]
+        p, engine = None, nbmodel.ENGINE
+        if factors:
+            wide = base.unit_cells(ds, group, unit, *factors)
+            wide = hold(red.filter_arms(wide, "grp", arms["ref"], arms["alt"]))
+            keys = [*BY, "unit", "arm", *map(base.extra_name, factors)]
+            p = count_model_p(red.pseudobulk(counts, wide, keys), red.sample_table(wide, keys), gene, keys[len(BY) + 2 :])
+            engine += " ~ " + " + ".join([group, *factors])
+        if p is None:
+            p, engine = replicate_p(moments, samples, gene, design.knob("engine", "welch"))
         icc = red.moments_icc(moments, samples, BY, gene).first()["icc"]
         holds = p < alpha
         head = (

@@ -159,22 +159,38 @@ def embed_hvg(counts: DataFrame, cells: DataFrame, by: list[str], top: int = 200
 
 
 # --- clustering --------------------------------------------------------------------
-#: Rows that place the first centres, by hash: a bounded sample. Rounds at most; a model ends when no centre moves by more than
+#: Rows that place the first centres, by hash: a bounded sample, and runs on it. Rounds over all rows at most; a model ends when no centre moves by more than
 #: MOVED of the data's spread, or a round improves its inertia by less than that share.
-SEED_ROWS, LLOYD_ROUNDS, MOVED = 20_000, 100, 1e-4
+SEED_ROWS, RESTARTS, LLOYD_ROUNDS, MOVED = 4_096, 10, 100, 1e-4
 
 
 def _first_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on a sample: each next centre drawn by its squared distance to those before."""
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(x)))]
-    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        total = far.sum()
-        chosen.append(int(np.searchsorted(np.cumsum(far), rng.random() * total)) if total > 0 else int(rng.integers(len(x))))
-        chosen[-1] = min(chosen[-1], len(x) - 1)
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return x[chosen]
+    """The best of RESTARTS k-means runs on a sample, each from k-means++: next centres drawn by squared distance to those before."""
+    rng, best, least = np.random.default_rng(seed), None, np.inf
+    squares = (x * x).sum(axis=1)
+    for _ in range(RESTARTS):
+        chosen = [int(rng.integers(len(x)))]
+        far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            total = far.sum()
+            at = int(np.searchsorted(np.cumsum(far), rng.random() * total)) if total > 0 else int(rng.integers(len(x)))
+            chosen.append(min(at, len(x) - 1))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        c = x[chosen].copy()
+        for _ in range(20):
+            d = squares[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+            own = d.argmin(axis=1)
+            rows = np.zeros((k, len(x)))
+            rows[own, np.arange(len(x))] = 1
+            size = rows.sum(axis=1, keepdims=True)
+            new = np.where(size > 0, rows @ x / np.maximum(size, 1), c)
+            if np.array_equal(new, c):
+                break
+            c = new
+        inertia = float(d[np.arange(len(x)), own].sum())
+        if inertia < least:
+            best, least = c, inertia
+    return best
 
 
 def _nearest_centres(x: np.ndarray, stacked: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
