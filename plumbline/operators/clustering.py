@@ -348,8 +348,8 @@ def silhouette(labels: DataFrame, settings: int) -> DataFrame:
 
     A row's summed distance to a cluster follows from the cluster's size, vector sum and sum of squares, so one
     pass adds those up and a second scores every row; no pair of rows is formed. Null with one cluster,
-    or one per row. The cluster table has one row per setting and cluster and is broadcast after its
-    size is checked.
+    or one per row. The cluster table has one row per setting and cluster and goes to every task;
+    its size follows from the clusters asked for, not from the rows.
     """
     n = labels.count()
 
