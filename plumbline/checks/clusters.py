@@ -81,14 +81,12 @@ class DoubleDipping(Check):
     def spread(counts, claimed, wanted, split, seed, repeats, draw) -> dict[str, float]:
         """Median and 95 % interval of the held-out separation over `repeats` splits of all cells.
 
-        The split's seed is a column from the draw to the summary, so all repeats are one job; only the
-        tested markers are drawn again.
+        All repeats are one job over rows that are never copied; only the tested markers are drawn again.
         """
         if repeats < 1:
             return {}
         rows = counts.select("cell_id", "gene", "value").join(wanted.select("gene").distinct(), "gene", "left_semi")
-        seeded = rows.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
-        aucs = sep.split_aucs(sep.thin(seeded, split, F.col("seed"), draw=draw), claimed, BY, extra=["seed"])
+        aucs = sep.repeated_split_aucs(rows, claimed, BY, split, seed, repeats, draw)
         per = sep.holdout_summary(aucs.withColumn("survives", F.col("hold") >= sep.HOLDS), [*BY, "seed"])
         iv = sep.interval(per, BY, "hold_mean").first()
         return {"repeats": repeats} if iv is None else {"repeats": iv["n"], "hold_median": iv["median"], "hold_lo": iv["lo"], "hold_hi": iv["hi"]}

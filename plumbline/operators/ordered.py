@@ -2,8 +2,10 @@
 
 Every group is cut into value ranges by Spark's range partitioning, on the order key as it is, whatever its
 type. The cut rows are checkpointed, so range numbers and values stay what they were; each range is
-handled on its own, and only one total per group and range is combined. Rows with equal keys share a
-range. There is one path for every size, and nothing is joined on the order key.
+handled on its own, and only totals per group and range are combined. A run of equal keys may be
+cut over several ranges: its rows learn from the totals how much of the run lies before and behind
+their range, so half of all rows may carry one key. There is one path for every size, and nothing is
+joined on the order key.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import hold, settle
 
-_RANGE = "__range"
+_RANGE, _SPREAD = "__range", "__spread"
 BROADCAST_ROWS = 200_000
 
 
@@ -39,8 +41,13 @@ def equi(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -
 
 
 def placed(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The rows with the number of their value range, settled; numbers rise with (by, order)."""
-    return settle(df.repartitionByRange(*by, order).withColumn(_RANGE, F.spark_partition_id()))
+    """The rows with the number of their value range, settled; numbers rise with (by, order).
+
+    Equal keys are cut further by a hash of the whole row, so only rows equal in every column stay together.
+    """
+    whole = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    cut = df.withColumn(_SPREAD, F.xxhash64(*whole)).repartitionByRange(*by, order, _SPREAD)
+    return settle(cut.withColumn(_RANGE, F.spark_partition_id()).drop(_SPREAD))
 
 
 def totals_before(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -52,34 +59,72 @@ def totals_before(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> Da
     return totals.select(*by, _RANGE, *each, *[F.sum(o).over(group).alias(f"{o}_all") for o in sums])
 
 
+def with_totals(rows: DataFrame, by: list[str], order: str, values: dict[str, Column]) -> DataFrame:
+    """Placed rows with, for each value o: o_under (sum over smaller keys), o_upto (over keys up to
+    the row's own, all its equals included) and o_all (over the group).
+
+    Of a run cut over ranges, all ranges but its first start with its key and all but its last end with it. Hence
+    the sums at both ends of each range, added up over ranges that share the end's key, give what other
+    ranges hold of a row's run.
+    """
+    key = F.struct(order)
+    part, level = Window.partitionBy(*by, _RANGE), Window.partitionBy(*by, _RANGE, order)
+    zero = F.lit(0)
+    rows = rows.withColumns({f"{o}_v": F.coalesce(v, zero) for o, v in values.items()})
+    inside = {f"{o}_in": F.sum(f"{o}_v").over(part.orderBy(order)) for o in values}
+    rows = rows.withColumns(inside | {f"{o}_at": F.sum(f"{o}_v").over(level) for o in values})
+    per = rows.groupBy(*by, _RANGE).agg(
+        F.min(key).alias("__lo"),
+        F.max(key).alias("__hi"),
+        *[F.sum(f"{o}_v").alias(f"{o}_n") for o in values],
+        *[F.min_by(f"{o}_at", key).alias(f"{o}_nlo") for o in values],
+        *[F.max_by(f"{o}_at", key).alias(f"{o}_nhi") for o in values],
+    )
+    per = hold(per)
+    low = per.select(*by, _RANGE, F.lit(True).alias("__low"), F.col("__lo").alias("__k"), *[F.col(f"{o}_nlo").alias(f"{o}_e") for o in values])
+    high = per.where("__hi != __lo").select(*by, _RANGE, F.lit(False).alias("__low"), F.col("__hi").alias("__k"), *[F.col(f"{o}_nhi").alias(f"{o}_e") for o in values])
+    run = Window.partitionBy(*by, "__k")
+    before = run.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    after = run.orderBy(_RANGE).rowsBetween(1, Window.unboundedFollowing)
+    ends = low.unionByName(high)
+    ends = ends.withColumns({f"{o}_pre": F.coalesce(F.sum(f"{o}_e").over(before), zero) for o in values} | {f"{o}_post": F.coalesce(F.sum(f"{o}_e").over(after), zero) for o in values})
+    wide = ends.groupBy(*by, _RANGE).agg(
+        *[F.max(F.when(F.col("__low"), F.col(f"{o}_pre"))).alias(f"{o}_pre") for o in values],
+        *[F.max_by(f"{o}_post", "__k").alias(f"{o}_post") for o in values],
+    )
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{o}_before": F.coalesce(F.sum(f"{o}_n").over(earlier), zero) for o in values}
+    sums |= {f"{o}_all": F.sum(f"{o}_n").over(group) for o in values}
+    ranges = equi(per.withColumns(sums).select(*by, _RANGE, "__lo", "__hi", *sums), wide, [*by, _RANGE])
+    met = equi(rows, ranges, [*by, _RANGE])
+    out = {}
+    for o in values:
+        upto = F.col(f"{o}_before") + F.col(f"{o}_in")
+        early = F.when(key == F.col("__lo"), F.col(f"{o}_pre")).otherwise(zero)
+        late = F.when(key == F.col("__hi"), F.col(f"{o}_post")).otherwise(zero)
+        out |= {f"{o}_under": upto - F.col(f"{o}_at") - early, f"{o}_upto": upto + late}
+    return met.withColumns(out)
+
+
 def running_sum(df: DataFrame, by: list[str], order: str, values: dict[str, str]) -> DataFrame:
     """Inclusive running sums of `values` (output name -> input column) by ascending `order`; equal keys share theirs."""
-    rows = placed(df, by, order)
-    base = totals_before(rows, by, {f"__{o}": F.sum(c) for o, c in values.items()})
-    upto = Window.partitionBy(*by, _RANGE).orderBy(order)
-    summed = rows.withColumns({f"__in_{o}": F.sum(c).over(upto) for o, c in values.items()})
-    out = equi(summed, base, [*by, _RANGE])
-    return out.select(*df.columns, *[(F.col(f"__in_{o}") + F.col(f"__{o}_before")).alias(o) for o in values])
+    out = with_totals(placed(df, by, order), by, order, {f"__{o}": F.col(c) for o, c in values.items()})
+    return out.select(*df.columns, *[F.col(f"__{o}_upto").alias(o) for o in values])
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Tie-averaged ascending rank of every row within its group."""
-    rows = placed(df, by, value)
-    base = totals_before(rows, by, {"__n": F.count("*")})
-    part = Window.partitionBy(*by, _RANGE).orderBy(value)
-    ranked = rows.withColumn("__first", F.rank().over(part)).withColumn("__last", F.count("*").over(part))
-    mean = F.col("__n_before") + (F.col("__first") + F.col("__last")) / 2.0
-    return equi(ranked, base, [*by, _RANGE]).select(*df.columns, mean.alias(out))
+    ranked = with_totals(placed(df, by, value), by, value, {"__n": F.lit(1)})
+    return ranked.select(*df.columns, ((F.col("__n_under") + F.col("__n_upto") + 1) / 2.0).alias(out))
 
 
 def step_up(df: DataFrame, by: list[str], p: str, scale, out: str) -> DataFrame:
     """min over p' >= p of p' * m * scale(m) / rank(p'), clipped to 0..1; m rows a group, ties rank last."""
-    rows = placed(df, by, p)
-    base = totals_before(rows, by, {"__m": F.count("*")})
+    rows = with_totals(placed(df, by, p), by, p, {"__m": F.lit(1)})
     part = Window.partitionBy(*by, _RANGE).orderBy(p)
     m = F.col("__m_all")
-    raw = F.col(p) * m * scale(m) / (F.col("__m_before") + F.col("__rank"))
-    curve = equi(rows.withColumn("__rank", F.count("*").over(part)), base, [*by, _RANGE]).withColumn("__raw", raw)
+    curve = rows.withColumn("__raw", F.col(p) * m * scale(m) / F.col("__m_upto"))
     lows = curve.groupBy(*by, _RANGE).agg(F.min("__raw").alias("__low"))
     after = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(1, Window.unboundedFollowing)
     lows = lows.select(*by, _RANGE, F.min("__low").over(after).alias("__later"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,15 @@ def gene_auc(
         .groupBy(*keys, "score")
         .agg(F.count_if(F.col("member")).alias("n1"), F.count_if(~F.col("member")).alias("n0"))
     )
+    return sparse_auc(seen, sizes, keys, fold, size_keys or by)
+
+
+def sparse_auc(seen: DataFrame, sizes: DataFrame, keys: list[str], fold: bool, size_keys: list[str]) -> DataFrame:
+    """AUC per `keys` from (score, n1, n0) of the stored rows; the cells that have none score zero."""
     hist = seen.filter(F.col("score") != 0)
     count = lambda c: F.sum(F.when(F.col("score") != 0, F.col(c)).otherwise(0))
     genes = seen.groupBy(*keys).agg(count("n1").alias("__k1"), count("n0").alias("__k0"))
-    zeros = genes.join(sizes, size_keys or by).select(
+    zeros = genes.join(sizes, size_keys).select(
         *keys,
         F.lit(0.0).alias("score"),
         (F.col("N1") - F.col("__k1")).alias("n1"),
@@ -202,6 +209,79 @@ def split_aucs(thinned: DataFrame, cells: DataFrame, by: list[str], extra: list[
     )
 
 
+def _histograms(keys: list[str], repeats: int, cells: int = 2_000_000):
+    """Adds draws (keys, member, n, train[repeats]) into one array per key, half, score and membership.
+
+    A task holds at most about `cells` numbers more than one batch brings, then hands on what it has.
+    """
+    width = repeats * 2
+
+    def counted(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a rows x repeats matrix and, per value, its count in each repeat."""
+        top = int(t.max()) + 1
+        values, at = (np.arange(top), t) if top <= 2 * len(t) else np.unique(t, return_inverse=True)
+        at = at.reshape(t.shape) + np.arange(repeats) * len(values)
+        n = np.bincount(at.ravel(), minlength=repeats * len(values)).reshape(repeats, -1).T
+        some = n.any(axis=1)
+        return values[some], n[some]
+
+    def flush(sums: dict, kinds: list) -> pa.RecordBatch:
+        rows = [(*k, half, int(v), a[:repeats], a[repeats:]) for (k, half, v), a in sums.items()]
+        cols = list(zip(*rows, strict=True))
+        types = [*kinds, pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "half", "c", "a1", "a0"])
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            train = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, repeats)
+            n = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            kinds = [batch.schema.field(c).type for c in keys]
+            frame = pa.Table.from_batches([batch]).select([*keys, "member"]).to_pandas()
+            for group, at in frame.groupby([*keys, "member"], dropna=False, sort=False).indices.items():
+                k, lo = group[:-1], 0 if group[-1] else repeats
+                for half, t in (("disc", train[at]), ("hold", n[at, None] - train[at])):
+                    for v, c in zip(*counted(t), strict=True):
+                        if (a := sums.get((k, half, v))) is None:
+                            a = sums[k, half, v] = np.zeros(width, np.int64)
+                        a[lo : lo + repeats] += c
+            if len(sums) * width > cells:
+                yield flush(sums, kinds)
+                sums = {}
+        if sums:
+            yield flush(sums, kinds)
+
+    return run
+
+
+def repeated_split_aucs(counts: DataFrame, cells: DataFrame, by: list[str], eps: float, seed: int, repeats: int, draw: str = "md5") -> DataFrame:
+    """`split_aucs` of the splits seeded seed, seed + 1, ... (column `seed`), with the same draws.
+
+    Rows meet their cells once and are never copied: each draws all its splits as one array, which
+    its task adds into arrays of counts per feature, half and score. What is shuffled follows the
+    number of distinct scores, not of rows.
+    """
+    n = F.round(F.greatest(F.col("value"), F.lit(0.0))).cast("long")
+    make = binomial_md5 if draw == "md5" else binomial_xx
+    seeds = F.sequence(F.lit(seed), F.lit(seed + repeats - 1))
+    train = F.transform(seeds, lambda s: make(n, [F.col("cell_id"), F.col("gene"), s.cast("string")], float(eps)))
+    keys = [*by, "gene"]
+    drawn = counts.join(cells.select("cell_id", *by, "member"), "cell_id").where(F.col("value").isNotNull())
+    drawn = drawn.select(*keys, "member", n.alias("n"), train.alias("train"))
+    fields = ", ".join(f"{c} {drawn.schema[c].dataType.simpleString()}" for c in keys)
+    arrays = drawn.mapInArrow(_histograms(keys, repeats), f"{fields}, half string, c long, a1 array<long>, a0 array<long>")
+    long = arrays.select(*keys, "half", "c", F.posexplode(F.arrays_zip("a1", "a0")).alias("r", "a"))
+    keys = [*by, "seed", "half", "gene"]
+    score = F.log1p(F.col("c").cast("double")).alias("score")
+    long = long.where("a.a1 > 0 OR a.a0 > 0").withColumn("seed", F.col("r") + F.lit(seed))
+    seen = hold(long.groupBy(*keys, score).agg(F.sum("a.a1").alias("n1"), F.sum("a.a0").alias("n0")))
+    out = sparse_auc(seen, member_sizes(cells, by), keys, True, by)
+    return out.groupBy(*by, "seed", "gene").agg(
+        F.max(F.when(F.col("half") == "disc", F.col("auc"))).alias("disc"),
+        F.max(F.when(F.col("half") == "hold", F.col("auc"))).alias("hold"),
+    )
+
+
 def holdout_report(aucs: DataFrame, markers: DataFrame, by: list[str]) -> DataFrame:
     """Per claimed marker: both AUCs and whether it holds (>= 0.60); unknown markers stay null."""
     return (

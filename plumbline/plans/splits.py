@@ -176,13 +176,10 @@ SEEDS = 200
 
 
 def seeded_report(spark, sf):
-    """Repeats run as rows: the seed is a column from the draw to the summary."""
+    """Both separations of every claimed marker in each of the repeated splits."""
     counts = views.brand_counts(spark, sf)
     wanted = counts.join(claimed_markers(spark, sf).select("gene"), "gene", "left_semi")
-    seeded = wanted.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
-    thinned = sep.thin(seeded, 0.5, F.col("seed"))
-    aucs = sep.split_aucs(thinned, building_cells(spark, sf), BY, extra=["seed"])
-    return hold(aucs)
+    return hold(sep.repeated_split_aucs(wanted, building_cells(spark, sf), BY, 0.5, 0, SEEDS))
 
 
 SEEDED = """wanted AS (SELECT * FROM counts WHERE gene IN (SELECT gene FROM claimed)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.stats import t_two_sided
 from plumbline.operators import inference as inf
 from plumbline.operators import ordered
+from plumbline.operators import separation as sep
 
 
 @pytest.fixture
@@ -93,6 +94,47 @@ def test_positions_by_string_and_wide_long_keys(spark, many_ranges):
         assert sorted(r.pos for r in out) == list(range(1, 901))
 
 
+@pytest.mark.parametrize("ties", [0.0, 0.5, 1.0])
+def test_ranks_and_steps_over_cut_runs(spark, many_ranges, ties):
+    """A run of equal keys is cut over ranges, no range holds most of it, and all its rows agree with brute force."""
+    rng = np.random.default_rng(4)
+    keys = [(g, None if g == "b" and i % 50 == 0 else 1.0 if rng.random() < ties else float(rng.integers(0, 60)) / 59) for g in "ab" for i in range(1500)]
+    df = spark.createDataFrame([(g, v, i, i % 7) for i, (g, v) in enumerate(keys)], "g string, v double, i long, n int")
+    if ties:
+        sizes = [r["count"] for r in ordered.placed(df, ["g"], "v").groupBy("__range").count().collect()]
+        assert len(sizes) > 3 and max(sizes) < 0.5 * len(keys)
+    rank = {r.i: r.r for r in ordered.average_rank(df, ["g"], "v", "r").collect()}
+    upto = {r.i: r.c for r in ordered.running_sum(df, ["g"], "v", {"c": "n"}).collect()}
+    low = lambda v: -1.0 if v is None else v
+    order = {g: np.array([low(v) for h, v in keys if h == g]) for g in "ab"}
+    some = {g: np.array([i % 7 for i, (h, _) in enumerate(keys) if h == g]) for g in "ab"}
+    for i, (g, v) in enumerate(keys):
+        under, level = int((order[g] < low(v)).sum()), int((order[g] == low(v)).sum())
+        assert rank[i] == under + (level + 1) / 2
+        assert upto[i] == int(some[g][order[g] <= low(v)].sum())
+    q = {r.i: r.q for r in inf.fdr(df.withColumnRenamed("v", "p"), ["g"]).collect()}
+    for g in "ab":
+        mine = [(v, i) for i, (h, v) in enumerate(keys) if h == g and v is not None]
+        p = np.array([v for v, _ in mine])
+        raw = {x: x * len(p) / (p <= x).sum() for x in set(p)}
+        for v, i in mine:
+            assert q[i] == pytest.approx(min(1.0, min(r for x, r in raw.items() if x >= v)), rel=1e-12)
+
+
+def test_repeated_splits_equal_one_split_at_a_time(spark):
+    """Same draws, same separations; counts beyond the batch's size and rows with a null count included."""
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([("k", f"c{i}", i % 3 == 0) for i in range(120)], "case_id string, cell_id string, member boolean")
+    rows = [(f"c{i}", f"g{j}", float(rng.integers(1, 9)) if (i + j) % 11 else 250_000.0 + i) for i in range(120) for j in range(3) if rng.random() < 0.7]
+    counts = spark.createDataFrame([*rows, ("c1", "g9", None)], "cell_id string, gene string, value double")
+    for draw, eps in (("md5", 0.5), ("xx", 0.5), ("xx", 0.3)):
+        few = counts.where("value < 100") if eps != 0.5 else counts
+        got = {(r.seed, r.gene): (r.disc, r.hold) for r in sep.repeated_split_aucs(few, cells, ["case_id"], eps, 5, 4, draw).collect()}
+        for seed in range(5, 9):
+            one = sep.split_aucs(sep.thin(few.where("value is not null"), eps, seed, draw=draw), cells, ["case_id"]).collect()
+            assert {(seed, r.gene): (r.disc, r.hold) for r in one} == {k: v for k, v in got.items() if k[0] == seed}
+
+
 def test_average_rank_ties(spark, many_ranges):
     df = spark.createDataFrame([("x", v) for v in (3.0, 1.0, 3.0, 2.0)], "k string, v double")
     got = sorted((r.v, r.r) for r in ordered.average_rank(df, ["k"], "v", "r").collect())
