@@ -175,7 +175,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken more often than its source is read. Slots meet the blocks' documents by (source, block).
 
     Running sums go over buckets of bounded size, then over bucket totals; a source that holds most
-    rows is spread like the others. Only one row per source reaches the driver (at most MAX_SOURCES).
+    rows is spread like the others. Rows equal in id and text are one row with a number of copies, dealt in
+    parts of BUCKET copies, until their places are known. Only one row per source reaches the driver (at most MAX_SOURCES).
 
     Defined cases: null and white-space texts have size 0 and are never taken; a null source is a
     source of its own, the last; rows that repeat are rows of their own; ties in the order fall to the
@@ -196,12 +197,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     named = rows.join(F.broadcast(table), rows.source.eqNullSafe(table.name)).drop("name", "source")
 
     buckets = max(1, rows.count() // BUCKET)
-    placed = named.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("id", "thash", F.lit(SEED)), F.lit(buckets)))
-    earlier = Window.partitionBy("s", "bucket").orderBy("id", "size", "thash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    totals = named.where("size > 0").groupBy("s", F.pmod(F.xxhash64("id", "thash", F.lit(SEED)), F.lit(buckets)).alias("bucket")).agg(F.sum("size").alias("n"))
+    same = named.where("size > 0").groupBy("s", "id", "size", "thash").agg(F.count("*").alias("copies"))
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {BUCKET}"))))
+    parts = parts.withColumn("m", F.least(F.lit(BUCKET).cast("long"), F.col("copies") - F.col("part") * BUCKET)).withColumn("all", F.col("size") * F.col("m"))
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "thash", "part", F.lit(SEED)), F.lit(buckets)))
+    earlier = Window.partitionBy("s", "bucket").orderBy("id", "size", "thash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("within", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
+    totals = parts.groupBy("s", "bucket").agg(F.sum("all").alias("n"))
     base = before(totals, "bucket", "n").select("s", "bucket", F.col("before").alias("base"))
-    placed = placed.join(base, ["s", "bucket"]).select("s", "id", "thash", "size", (F.col("base") + F.col("within")).alias("start"))
+    placed = placed.join(base, ["s", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    placed = placed.select("s", "id", "thash", "size", (F.col("base") + F.col("within") + F.col("copy") * F.col("size")).alias("start"))
     placed = keep(placed, "placed")
 
     shared = spark.sparkContext.broadcast([(s.key, s.size, s.target, s.block) for s in sources])  # plain values: workers need no copy of this package

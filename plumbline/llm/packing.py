@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import words
+from plumbline.llm.common import keep, small, words
 
 #: Permitted sequence lengths in words, and items packed together.
 LENGTHS = (512, 1024, 2048, 4096)
@@ -92,9 +92,21 @@ def _sequences(lengths: tuple[int, ...]):
 
 
 def deal(items: DataFrame, group: int = GROUP) -> DataFrame:
-    """Items with a group number each; the number of groups follows the number of items."""
-    groups = max(1, items.count() // group)
-    return items.withColumn("group", F.pmod(F.xxhash64("spread", "piece"), F.lit(groups)))
+    """Items with a group number each; the number of groups follows the number of items.
+
+    Items equal in id, text and piece have one hash; where more than `group` are equal, each goes by its own
+    row number, which stays what it is while the input is read in the same partitions, as a table is.
+    """
+    alike = items.groupBy("spread", "piece").agg(F.count("*").alias("alike"))
+    total, hot = alike.agg(F.coalesce(F.sum("alike"), F.lit(0)), F.count_if(F.col("alike") > group)).first()
+    groups = F.lit(max(1, total // group))
+    if not hot:
+        return items.withColumn("group", F.pmod(F.xxhash64("spread", "piece"), groups))
+    many = keep(alike.where(F.col("alike") > group), "repeats")
+    marked = items.withColumn("row", F.monotonically_increasing_id()).join(small(many), ["spread", "piece"], "left")
+    salt = F.when(F.col("alike").isNotNull(), F.col("row"))
+    dealt = marked.withColumn("group", F.pmod(F.xxhash64("spread", "piece", salt), groups))
+    return dealt.select(*items.columns, "group")
 
 
 def pack(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
@@ -105,7 +117,7 @@ def pack(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GROU
     would make them, and its memory is bounded.
 
     Defined cases: rows with no words have no item; ties in size go by id, then piece; repeated rows
-    are packed each; an empty table gives an empty result.
+    are packed each, a third of all rows being alike included; an empty table gives an empty result.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
     dealt = deal(items, group).groupBy("group")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import html, mixing, neighbours, packing, warc
@@ -48,6 +49,28 @@ def test_mix_of_awkward_rows(spark, block, shard):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_a_third_of_all_rows_alike(spark):
+    """Equal rows with one id are spread: over packing groups, and over buckets of a source's word order."""
+    rows = [(7, "one two three", "en", "a")] * 3000 + [(100 + i, f"w{i} and more", "en", "ab"[i % 2]) for i in range(5000)]
+    df = documents(spark, rows)
+    items = packing.pieces(df)
+    dealt = packing.deal(items, 100).groupBy("group").count().collect()
+    assert sum(r["count"] for r in dealt) == 8000 and max(r["count"] for r in dealt) < 400
+    packed = packing.packed_documents(df).groupBy("doc_id").count().where("doc_id = 7").first()
+    assert packed["count"] == 3000
+    plan = mixing.mix(df, block=16, shard=8)
+    got = mixing.taken_words(plan).collect()
+    assert len(got) == 8000 and sum(r.doc_id == 7 for r in got) == 3000
+    for s in plan.sources:
+        mine = sorted((r.start, r.size) for r in plan.rows.where(F.col("s") == s.key).collect())
+        ends = [0, *(a + n for a, n in mine)]
+        assert [a for a, _ in mine] == ends[:-1] and ends[-1] == s.size
+        assert abs(sum(r.taken for r in got if r.target == s.target) - s.target) <= 1
+    again = mixing.taken_words(mixing.mix(df.repartition(7), block=16, shard=8)).collect()
+    key = lambda r: (r.doc_id, r.taken)
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     df = documents(spark)
     taken = Counter()
